@@ -20,12 +20,13 @@ SKETCH_ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float],
-                    keys: Sequence[str] = (), small_group: int = SKETCH_ACCURACY,
+                    keys: Sequence[str] = (), count_as: str | None = None,
+                    small_group: int = SKETCH_ACCURACY,
                     accuracy: int = SKETCH_ACCURACY) -> DataFrame:
     """One row per key with a column per wanted quantile, linearly interpolated.
 
     Groups of at most ``small_group`` rows need no bracket: their values fit any
-    buffer.
+    buffer. ``count_as`` names a column for the number of known values.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
@@ -65,7 +66,7 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float],
             F.when(F.col("_q") == i, F.col("_v")), F.lit(float(wanted[n])), F.col("_c")
         ).alias(n)
         for i, n in enumerate(names)
-    ])
+    ], *([F.sum(F.when(F.col("_q") == 0, F.col("_c"))).alias(count_as)] if count_as else []))
 
 
 def most_common(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -22,10 +22,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
-    """Round every double column: sums of doubles depend on the order of rows."""
+def rounded(df: DataFrame, digits: int = 2, **by_column: int) -> DataFrame:
+    """Round every double column: sums of doubles depend on the order of rows.
+
+    Sums of money take 2 digits. Averages take 6: an average of two-digit amounts
+    can lie exactly between two 2-digit values.
+    """
     return df.select(*[
-        F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
+        F.round(c, by_column.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes
     ])
 
 

@@ -94,21 +94,21 @@ def fill_calendar(spark, d):
 
 
 @query("dataset_summary", f"""WITH {facts_sql()}
-SELECT "rows", round(total, 2) AS total, round(row_avg, 2) AS row_avg, first_day, last_day, months,
-  round(month_avg, 2) AS month_avg, best_month, round(best_sales, 2) AS best_sales, worst_month,
+SELECT "rows", round(total, 2) AS total, round(row_avg, 6) AS row_avg, first_day, last_day, months,
+  round(month_avg, 6) AS month_avg, best_month, round(best_sales, 2) AS best_sales, worst_month,
   round(worst_sales, 2) AS worst_sales, latest_month, round(latest_sales, 2) AS latest_sales FROM facts""")
 def dataset_summary(spark, d):
-    return rounded(R.dataset_summary(V.sales(spark, d)))
+    return rounded(R.dataset_summary(V.sales(spark, d)), 6, total=2, best_sales=2, worst_sales=2, latest_sales=2)
 
 
 def _facts(spark, d, keys, *columns):
-    return rounded(R.business_facts(V.sales(spark, d), keys).select(*keys, *columns), 2)
+    return rounded(R.business_facts(V.sales(spark, d), keys).select(*keys, *columns), 6)
 
 
 def _facts_sql(keys, *columns):
     from .registry import cols
     return f"WITH {facts_sql(keys)} SELECT {cols(keys)}" + ", ".join(
-        f"round({c}, 2) AS {c}" for c in columns) + " FROM facts"
+        f"round({c}, 6) AS {c}" for c in columns) + " FROM facts"
 
 
 @query("growth_first_last3", _facts_sql(["Nation"], "first3", "last3", "growth_3"))
@@ -188,10 +188,10 @@ def dim_values(spark, d):
 
 @query("uplift", f"""WITH {facts_sql(["Region"])}
 SELECT Region, round(total, 2) AS total, round(total * 1.2, 2) AS uplift_total,
-  round(total * 1.2 - total, 2) AS extra_total, round(month_avg, 2) AS month_avg,
-  round(month_avg * 1.2, 2) AS uplift_month_avg FROM facts""")
+  round(total * 1.2 - total, 2) AS extra_total, round(month_avg, 6) AS month_avg,
+  round(month_avg * 1.2, 6) AS uplift_month_avg FROM facts""")
 def uplift(spark, d):
-    return rounded(R.uplift(V.sales(spark, d), ["Region"]))
+    return rounded(R.uplift(V.sales(spark, d), ["Region"]), 2, month_avg=6, uplift_month_avg=6)
 
 
 @query("rank_dim", """

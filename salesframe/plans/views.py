@@ -100,3 +100,9 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
         "conv_id", "turn",
         F.concat_ws(" ", F.col("text"), F.get(phrases, slot)).alias("question"),
     )
+
+
+def dirty_typed(spark: SparkSession, folder: str) -> DataFrame:
+    """``dirty`` with its amounts and dates read."""
+    from ..operators.clean import parse_amounts, parse_dates
+    return parse_dates(parse_amounts(dirty(spark, folder), ["Revenue"]), ["Order Date"])
