@@ -73,3 +73,14 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumns({c: F.col(f"_stats.{c}") for c in fields})
         .drop("_stats")
     )
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    Plain projections may be merged, and an array expression that a later lambda
+    mentions would then run again for each element. Unpacking a one-element array
+    keeps the two steps apart; it moves no rows.
+    """
+    new = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], new)

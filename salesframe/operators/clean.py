@@ -11,6 +11,7 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 from ..functions.exprs import attach
 from ..functions.quantiles import exact_quantiles, most_common
 from ..functions.text import amount, repair_text, text_columns
+from ..session import settle
 from .features import calendar_features, min_max, one_hot, row_features
 
 # Words that mark a date column and a target column.
@@ -134,7 +135,8 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
     """
     df = parse_dates(parse_amounts(df))
     date_col, value_col = date_col or date_column(df), value_col or target_column(df)
-    df = drop_missing(drop_duplicates(df), [c for c in (date_col, value_col) if c])
+    # Medians, modes and row numbers each pass over the table: write it once.
+    df = settle(drop_missing(drop_duplicates(df), [c for c in (date_col, value_col) if c]), "clean")
     df = fill_mode(fill_median(df, [c for c in numeric_columns(df) if c not in tiebreak]))
     if value_col:
         df = clip_negative(df, value_col)
@@ -151,7 +153,7 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
 def clean_upload(df: DataFrame, date_col: str, value_col: str,
                  ids: Sequence[str] = ()) -> DataFrame:
     """The shorter order for a table whose dates and amounts are already typed."""
-    df = drop_missing(drop_duplicates(df), [date_col, value_col])
+    df = settle(drop_missing(drop_duplicates(df), [date_col, value_col]), "clean")
     df = repair_text(fill_mode(fill_median(df, [c for c in numeric_columns(df) if c not in ids])))
     return rename_canonical(clip_negative(df, value_col), date_col, value_col)
 

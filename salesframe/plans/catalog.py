@@ -1,7 +1,7 @@
 """All registered queries; importing a query module registers its queries."""
 
 from .registry import ORACLES, QUERIES
-from . import clean_queries, rollup_queries, rule_queries
+from . import clean_queries, forecast_queries, rollup_queries, rule_queries
 
 FLAGSHIP = "monthly_totals"
 

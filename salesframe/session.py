@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "salesframe") -> SparkSession:
+                  app_name: str = "salesframe", extra: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the library assumes; a cluster's own settings win."""
     builder = (
         SparkSession.builder.appName(app_name)
@@ -22,6 +22,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (extra or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
@@ -46,6 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/salesframe/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For a table that several later passes need: they then read only their own
+    columns, and lost executors cost no recomputation of what came before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that later steps restart from files."""
     context = df.sparkSession.sparkContext
