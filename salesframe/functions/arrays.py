@@ -1,68 +1,52 @@
-"""Arithmetic on one series held as an array of doubles.
+"""Arithmetic on one series held as an array of doubles, as Spark SQL text.
 
-A monthly history is at most a few hundred values, so the array is small
-however many rows the month totals were made from.
+A monthly history is at most a few hundred values, so the array is small however
+many rows the month totals were made from. Every function takes and returns SQL
+text; an argument should be a plain column where a lambda mentions it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def tail(a: Column, k: int) -> Column:
+def tail(a: str, k: int | str) -> str:
     """The last ``k`` values, fewer if the series is shorter."""
-    return F.slice(a, F.greatest(F.size(a) - F.lit(k - 1), F.lit(1)), F.lit(k))
-
+    return f"slice({a}, greatest(size({a}) - {k} + 1, 1), {k})"
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
+def total(a: str) -> str:
+    return f"aggregate({a}, 0D, (s, x) -> s + x)"
 
-def mean(a: Column) -> Column:
-    return F.try_divide(total(a), F.size(a))
 
+def mean(a: str) -> str:
+    return f"try_divide({total(a)}, size({a}))"
 
-def _moments(a: Column, finish) -> Column:
-    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + 1
-        gap = x - acc["m"]
-        m = acc["m"] + gap / n
-        return F.struct(n.alias("n"), m.alias("m"), (acc["q"] + gap * (x - m)).alias("q"))
-
-    return F.aggregate(a, start, step, finish)
+def _moments(a: str, finish: str) -> str:
+    """Fold count, mean and squared deviations; stable for large values."""
+    gap = "(x - acc.m)"
+    return (
+        f"aggregate({a}, named_struct('n', 0D, 'm', 0D, 'q', 0D), (acc, x) -> named_struct("
+        f"'n', acc.n + 1, 'm', acc.m + {gap} / (acc.n + 1), "
+        f"'q', acc.q + {gap} * {gap} * acc.n / (acc.n + 1)), acc -> {finish})"
+    )
 
 
-def std_pop(a: Column) -> Column:
-    return _moments(a, lambda acc: F.sqrt(F.try_divide(acc["q"], acc["n"])))
+def std_pop(a: str) -> str:
+    return _moments(a, "sqrt(try_divide(acc.q, acc.n))")
 
 
-def std_samp(a: Column) -> Column:
-    return _moments(
-        a, lambda acc: F.when(acc["n"] > 1, F.sqrt(F.try_divide(acc["q"], acc["n"] - 1)))
-    )
+def std_samp(a: str) -> str:
+    return _moments(a, "CASE WHEN acc.n > 1 THEN sqrt(acc.q / (acc.n - 1)) END")
 
 
-def slope(a: Column) -> Column:
+def slope(a: str) -> str:
     """Least-squares slope against 0, 1, 2, …; 0 for fewer than two values."""
-    n = F.size(a).cast("double")
-    weighted = F.transform(a, lambda x, i: x * (i - (n - 1) / 2))
-    return F.when(n < 2, F.lit(0.0)).otherwise(
-        F.try_divide(total(weighted) * 12, n * (n * n - 1))
-    )
+    n = f"CAST(size({a}) AS DOUBLE)"
+    weighted = f"transform({a}, (x, i) -> x * (i - (size({a}) - 1) / 2))"
+    return f"CASE WHEN {n} < 2 THEN 0D ELSE try_divide({total(weighted)} * 12, {n} * ({n} * {n} - 1)) END"
 
 
-def median(a: Column) -> Column:
+def median(a: str) -> str:
     """Median by linear interpolation, NULL for an empty array."""
-    s = F.array_sort(a)
-    n = F.size(a)
-    lower = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    upper = F.get(s, F.floor(n / 2).cast("int"))
-    return (lower + upper) / 2
-
-
-def damped_steps(step: Column, d: float) -> Column:
-    """1 + d + … + d^(step-1)."""
-    return (1 - F.pow(F.lit(d), step)) / (1 - d)
+    s = f"array_sort({a})"
+    return f"(get({s}, CAST(floor((size({a}) - 1) / 2) AS INT)) + get({s}, CAST(floor(size({a}) / 2) AS INT))) / 2"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,12 +75,13 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are worked out once per row.
+def staged(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Add columns, given as SQL text, that are worked out once per row.
 
     Plain projections may be merged, and an array expression that a later lambda
     mentions would then run again for each element. Unpacking a one-element array
     keeps the two steps apart; it moves no rows.
     """
-    new = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
-    return df.select(*[c for c in df.columns if c not in columns], new)
+    fields = ", ".join(f"'{name}', {text}" for name, text in columns.items())
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, f"inline(array(named_struct({fields})))")

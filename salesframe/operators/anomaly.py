@@ -127,19 +127,14 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2
                       severity(score, 3, 4).alias("severity"), F.lit(method).alias("method"))
 
 
-def rolling_scores(y: Column, window: int = 6) -> Column:
-    """Rolling deviation score of every month of one series array; NULL where undefined."""
-    def one(x: Column, i: Column) -> Column:
-        near = F.slice(y, F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window)))
-        return F.when(i >= 2, F.abs(F.try_divide(x - A.mean(near), A.std_samp(near))))
-    return F.transform(y, one)
-
-
-def rolling_count(y: Column, threshold: float = 2.5, window: int = 6) -> Column:
-    """Number of rolling anomalies in one series array."""
+def rolling_count(y: str, threshold: float = 2.5, window: int = 6) -> Column:
+    """Number of rolling anomalies in the series array of column ``y``."""
     if not rolling_can_fire(window, threshold):
         return F.lit(0).cast("long")
-    return F.size(F.filter(rolling_scores(y, window), lambda z: z > threshold)).cast("long")
+    near = f"slice({y}, greatest(i - {window} + 2, 1), least(i + 1, {window}))"
+    score = f"abs(try_divide(v - {A.mean(near)}, {A.std_samp(near)}))"
+    scores = f"transform({y}, (v, i) -> CASE WHEN i >= 2 THEN {score} END)"
+    return F.expr(f"CAST(size(filter({scores}, z -> z > {threshold}D)) AS BIGINT)")
 
 
 def severity_counts(anomalies: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

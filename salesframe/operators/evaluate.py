@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.exprs import attach, per_series
 from .anomaly import rolling_count
-from .forecast import CANDIDATES, Params, add_models, check_models, series_of
+from .forecast import CANDIDATES, Params, listed_paths, add_models, check_models, series_of
 from .rollup import business_facts
 
 
@@ -65,14 +65,9 @@ def _scored(series: DataFrame, keys: Sequence[str], models: Sequence[str], param
         F.slice("_all", F.col("o") + 1, F.col("h")).alias("_actual"),
     )
     done = add_models(cut, models, params=params)
-    listed = F.array_compact(F.array(*[
-        F.when(F.col(f"p_{m}").isNotNull(), F.struct(F.lit(m).alias("model_key"), F.col(f"p_{m}.f").alias("f")))
-        for m in models
-    ]))
-    return done.select(*keys, "o", "h", "_actual", F.explode(listed).alias("_m")).select(
-        *keys, "o", "h", F.col("_m.model_key").alias("model_key"),
-        F.explode(F.arrays_zip(F.col("_actual").alias("actual"), F.col("_m.f").alias("predicted"))).alias("_v"),
-    ).select(*keys, "o", "h", "model_key", "_v.actual", "_v.predicted")
+    quoted = [f"`{k}`" for k in keys]
+    return done.selectExpr(*quoted, "o", "h", "_actual", f"inline({listed_paths(models, 'p_{}.f')})").selectExpr(
+        *quoted, "o", "h", "model_key", "inline(arrays_zip(_actual, v)) AS (actual, predicted)")
 
 
 def _holdout_plan(series: DataFrame, test_ratio: float = 0.2) -> DataFrame:
@@ -188,7 +183,7 @@ def confidence(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5,
     """How far the champion's forecast of each series can be trusted."""
     best = champions(df, keys).select(*keys, "model_key", "MAPE")
     facts = business_facts(df, keys).select(
-        *keys, "months", "cv", rolling_count(F.col("_y"), threshold, window).alias("anomalies"))
+        *keys, "months", "cv", rolling_count("_y", threshold, window).alias("anomalies"))
     return with_confidence(attach(facts, best, keys))
 
 
@@ -198,7 +193,7 @@ def executive_summary(df: DataFrame, keys: Sequence[str] = (), threshold: float
     facts = business_facts(df, keys).select(
         *keys, "total", "best_month", "best_sales", "worst_month", "worst_sales", "months", "cv",
         F.coalesce("growth_half", "growth_3").alias("growth"),
-        rolling_count(F.col("_y"), threshold, window).alias("anomalies"))
+        rolling_count("_y", threshold, window).alias("anomalies"))
     best = compare_models(df, keys).filter("rank = 1").select(*keys, F.col("model_key").alias("best_model"), "MAPE")
     out = with_confidence(attach(facts, best, keys))
     return out.select(

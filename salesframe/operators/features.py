@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import arrays as A
-from ..functions.exprs import attach, clip, pct_change, per_series
+from ..functions.exprs import attach, clip, per_series, staged
 from .ordered import over_rows
 
 MAX_LEVELS = 10_000
@@ -100,21 +100,21 @@ def month_arrays(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def recent_growth(monthly: DataFrame, keys: Sequence[str] = (), window: int = 6,
                   limit: float = 0.15) -> DataFrame:
-    """Mean month-over-month ratio of the last months, clamped."""
-    y = F.col("y")
-    pairs = F.zip_with(F.slice(y, 1, F.greatest(F.size(y) - 1, F.lit(0))),
-                       F.slice(y, 2, F.size(y)), lambda a, b: F.try_divide(b - a, a))
-    last = F.slice(pairs, F.greatest(F.size(pairs) - window + 1, F.lit(1)), window)
-    known = F.filter(last, lambda r: r.isNotNull())
-    return month_arrays(monthly, keys).select(*keys, "y", known.alias("_r")).select(
-        *keys, A.mean(A.tail(F.col("y"), window)).alias("recent_avg"),
-        clip(F.coalesce(A.mean(F.col("_r")), F.lit(0.0)), -limit, limit).alias("recent_growth"),
+    """Mean month-over-month ratio of the last months, clamped, beside their average."""
+    ratios = ("zip_with(slice(y, 1, size(y) - 1), slice(y, 2, size(y)), "
+              "(a, b) -> try_divide(b - a, a))")
+    rows = staged(month_arrays(monthly, keys), {"_r": ratios})
+    rows = staged(rows, {"_r": f"filter({A.tail('_r', window)}, r -> r IS NOT NULL)"})
+    return rows.select(
+        *keys, F.expr(A.mean(A.tail("y", window))).alias("recent_avg"),
+        clip(F.expr(f"coalesce({A.mean('_r')}, 0D)"), -limit, limit).alias("recent_growth"),
     )
 
 
 def recent_slope(monthly: DataFrame, keys: Sequence[str] = (), window: int = 6) -> DataFrame:
     """Least-squares slope of the last months."""
-    return month_arrays(monthly, keys).select(*keys, A.slope(A.tail(F.col("y"), window)).alias("slope"))
+    rows = staged(month_arrays(monthly, keys), {"_r": A.tail("y", window)})
+    return rows.select(*keys, F.expr(A.slope("_r")).alias("slope"))
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = (),

@@ -41,7 +41,8 @@ RECENT = 6
 Z_95 = 1.96
 Z_VALUES = {"80%": 1.28, "95%": 1.96, "99%": 2.576}
 
-Params = Mapping[str, Mapping[str, "float | Column"]]
+# A setting is a number, or SQL text over the columns of the series table.
+Params = Mapping[str, Mapping[str, "float | str"]]
 
 
 def check_models(models: Sequence[str]) -> None:
@@ -50,57 +51,49 @@ def check_models(models: Sequence[str]) -> None:
         raise ValueError(f"unknown model {unknown[0]}, use one of {MODELS}")
 
 
-def _settings(params: Params | None) -> dict[str, dict[str, Column]]:
+def _settings(params: Params | None) -> dict[str, dict[str, str]]:
+    """Settings of every model as SQL text."""
     given = params or {}
-    return {
-        m: {k: (v if isinstance(v, Column) else F.lit(v)) for k, v in {**d, **given.get(m, {})}.items()}
-        for m, d in DEFAULTS.items()
-    }
-
+    whole = {"window", "season", "top_n"}
+    text = lambda name, v: v if isinstance(v, str) else (str(int(v)) if name in whole else f"{float(v)!r}D")
+    return {m: {k: text(k, v) for k, v in {**d, **given.get(m, {})}.items()} for m, d in DEFAULTS.items()}
 
-def _steps(h: Column, one) -> Column:
-    return F.transform(F.sequence(F.lit(1), h), one)
 
+def _damped(step: str, d: str) -> str:
+    """1 + d + … + d^(step-1)."""
+    return f"(1 - pow({d}, {step})) / (1 - {d})"
 
-def _damped(step: Column, d: Column) -> Column:
-    return (1 - F.pow(d, step)) / (1 - d)
 
+def _exp_levels(y: str, alpha: str) -> str:
+    return (f"aggregate(slice({y}, 2, size({y})), slice({y}, 1, 1), (acc, v) -> "
+            f"concat(acc, array({alpha} * v + (1 - {alpha}) * element_at(acc, -1))))")
 
-def _exp_levels(y: Column, alpha: Column) -> Column:
-    start = F.slice(y, 1, 1)
-    rest = F.slice(y, 2, F.size(y))
-    return F.aggregate(rest, start, lambda acc, v: F.concat(
-        acc, F.array(alpha * v + (1 - alpha) * F.element_at(acc, -1))))
 
-
-def _holt_state(y: Column, alpha: Column, beta: Column) -> Column:
+def _holt_state(y: str, alpha: str, beta: str) -> str:
     """Final level and trend, with sums of the same-month residuals and their squares."""
-    level, trend = F.get(y, F.lit(0)), F.get(y, F.lit(1)) - F.get(y, F.lit(0))
-    first = -trend
-    start = F.struct(level.alias("l"), trend.alias("t"), first.alias("e"), (first * first).alias("q"))
-
-    def step(acc: Column, v: Column) -> Column:
-        new = alpha * v + (1 - alpha) * (acc["l"] + acc["t"])
-        turn = beta * (new - acc["l"]) + (1 - beta) * acc["t"]
-        miss = v - new - turn
-        return F.struct(new.alias("l"), turn.alias("t"), (acc["e"] + miss).alias("e"),
-                        (acc["q"] + miss * miss).alias("q"))
-
-    return F.when(F.size(y) >= 2, F.aggregate(F.slice(y, 2, F.size(y)), start, step))
+    first = f"(get({y}, 0) - get({y}, 1))"
+    level = f"({alpha} * v + (1 - {alpha}) * (acc.l + acc.t))"
+    trend = f"({beta} * ({level} - acc.l) + (1 - {beta}) * acc.t)"
+    miss = f"(v - {level} - {trend})"
+    return (
+        f"CASE WHEN size({y}) >= 2 THEN aggregate(slice({y}, 2, size({y})), "
+        f"named_struct('l', get({y}, 0), 't', -{first}, 'e', {first}, 'q', {first} * {first}), "
+        f"(acc, v) -> named_struct('l', {level}, 't', {trend}, 'e', acc.e + {miss}, 'q', acc.q + {miss} * {miss})) END"
+    )
 
 
-def _growth_factor(now: Column, then: Column) -> Column:
-    ratios = F.zip_with(now, then, lambda a, b: F.when(b > 0, a / b))
-    known = F.filter(ratios, lambda r: r.isNotNull())
-    return F.coalesce(clip(A.median(known), *GROWTH_LIMITS), F.lit(1.0))
+def _growth_factor(now: str, then: str) -> str:
+    low, high = GROWTH_LIMITS
+    known = f"filter(zip_with({now}, {then}, (a, b) -> CASE WHEN b > 0 THEN a / b END), r -> r IS NOT NULL)"
+    return f"coalesce(least(greatest({A.median(known)}, {low}D), {high}D), 1D)"
 
 
-def band(f: Column, s: Column, z: float) -> Column:
+def _band(f: str, s: str, z: float) -> str:
     """A path with its interval; the lower end is not negative."""
-    return F.when(f.isNotNull() & s.isNotNull(), F.struct(
-        f.alias("f"), F.transform(f, lambda x: x + s * z).alias("u"),
-        F.transform(f, lambda x: F.greatest(x - s * z, F.lit(0.0))).alias("l"),
-    ))
+    return (
+        f"CASE WHEN {f} IS NOT NULL AND {s} IS NOT NULL THEN named_struct('f', {f}, "
+        f"'u', transform({f}, x -> x + {s} * {z}D), 'l', transform({f}, x -> greatest(x - {s} * {z}D, 0D))) END"
+    )
 
 
 def add_paths(df: DataFrame, models: Sequence[str], y: str = "y", h: str = "h", out: str = "p_",
@@ -112,107 +105,109 @@ def add_paths(df: DataFrame, models: Sequence[str], y: str = "y", h: str = "h",
     p = _settings(params)
     models = list(dict.fromkeys(models))
     seasonal = [m for m in models if m.startswith("seasonal")]
-    yc, hc, n = F.col(y), F.col(h).cast("int"), F.size(y)
-    c = lambda name: F.col(f"_{out}{name}")
-    add = lambda frame, columns: staged(frame, {f"_{out}{k}": v for k, v in columns.items()})
+    line = "linear_trend" in models or seasonal
+    n = f"size({y})"
+    c = lambda name: f"_{out}{name}"
+    steps = lambda body: f"transform(sequence(1, {h}), k -> {body})"
+    made: list[str] = []
+
+    def add(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+        made.extend(c(k) for k in columns)
+        return staged(frame, {c(k): v for k, v in columns.items()})
 
-    first: dict[str, Column] = {"recent": A.tail(yc, RECENT)}
+    first = {"recent": A.tail(y, RECENT), "flat": flat_limit(y)}
     if "moving_average" in models:
-        w = p["moving_average"]["window"].cast("int")
-        first["win"] = F.slice(yc, F.greatest(n - w + 1, F.lit(1)), w)
-    if "linear_trend" in models or seasonal:
-        first |= {"lin_b": A.slope(yc), "lin_m": A.mean(yc)}
+        first["win"] = A.tail(y, p["moving_average"]["window"])
+    if line:
+        first |= {"b": A.slope(y), "m": A.mean(y)}
     if seasonal:
-        season = p[seasonal[0]]["season"].cast("int")
+        season = p[seasonal[0]]["season"]
         first |= {
-            "now": F.when(n >= season, F.slice(yc, n - season + 1, season)),
-            "then": F.when(n >= 2 * season, F.slice(yc, n - 2 * season + 1, season)),
+            "now": f"CASE WHEN {n} >= {season} THEN {A.tail(y, season)} END",
+            "then": f"CASE WHEN {n} >= 2 * {season} THEN slice({y}, {n} - 2 * {season} + 1, {season}) END",
         }
     if "exp_smoothing" in models:
-        first["lv"] = _exp_levels(yc, p["exp_smoothing"]["alpha"])
+        first["lv"] = _exp_levels(y, p["exp_smoothing"]["alpha"])
     if "holts" in models:
-        first["ho"] = _holt_state(yc, p["holts"]["alpha"], p["holts"]["beta"])
+        first["ho"] = _holt_state(y, p["holts"]["alpha"], p["holts"]["beta"])
     df = add(df, first)
 
-    second: dict[str, Column] = {"slope": A.slope(c("recent"))}
-    if "holts" in models:
-        second["flat"] = F.greatest(A.mean(F.transform(yc, lambda v: F.abs(v))) * 0.001, F.lit(1e-9))
-    if "linear_trend" in models or seasonal:
-        second["lin_a"] = c("lin_m") - c("lin_b") * (n - 1) / 2
+    second = {"slope": A.slope(c("recent"))}
+    if "moving_average" in models:
+        second |= {"ma": A.mean(c("win")), "ma_s": A.std_pop(c("win"))}
+    if line:
+        second["a"] = f"{c('m')} - {c('b')} * ({n} - 1) / 2"
     if seasonal:
-        second["g"] = F.when(c("then").isNotNull(), _growth_factor(c("now"), c("then"))).otherwise(1.0)
+        second["g"] = f"CASE WHEN {c('then')} IS NULL THEN 1D ELSE {_growth_factor(c('now'), c('then'))} END"
     if "exp_smoothing" in models:
-        second["lv_slope"] = A.slope(A.tail(c("lv"), RECENT))
+        second |= {"lv6": A.tail(c("lv"), RECENT), "ex_s": A.std_pop(f"zip_with({y}, {c('lv')}, (a, b) -> a - b)")}
+    if "holts" in models:
+        second["ho_s"] = f"sqrt(greatest({c('ho')}.q / {n} - pow({c('ho')}.e / {n}, 2), 0D))"
     df = add(df, second)
 
-    third: dict[str, Column] = {}
-    if "linear_trend" in models or seasonal:
-        third["lin_s"] = A.std_pop(F.transform(yc, lambda v, i: v - (c("lin_a") + c("lin_b") * i)))
-        third["lin_f"] = F.when(n >= 2, _steps(hc, lambda k: c("lin_a") + c("lin_b") * (n - 1 + k)))
+    third: dict[str, str] = {}
+    if line:
+        at = f"{c('a')} + {c('b')} *"
+        third |= {
+            "li_s": A.std_pop(f"transform({y}, (v, i) -> v - ({at} i))"),
+            "li": f"CASE WHEN {n} >= 2 THEN {steps(f'{at} ({n} - 1 + k)')} END",
+        }
     if seasonal:
-        jumps = F.zip_with(F.slice(c("now"), 2, F.size(c("now"))), c("now"), lambda a, b: a - b)
-        third["sea_s"] = F.when(
-            c("then").isNotNull(), A.std_pop(F.zip_with(c("now"), c("then"), lambda a, b: a - b * c("g")))
-        ).otherwise(A.std_pop(F.filter(jumps, lambda v: v.isNotNull())))
+        jumps = f"zip_with(slice({c('now')}, 2, size({c('now')})), slice({c('now')}, 1, size({c('now')}) - 1), (a, b) -> a - b)"
+        misses = f"zip_with({c('now')}, {c('then')}, (a, b) -> a - b * {c('g')})"
+        third["se_s"] = f"CASE WHEN {c('then')} IS NOT NULL THEN {A.std_pop(misses)} WHEN {c('now')} IS NOT NULL THEN {A.std_pop(jumps)} END"
+    if "seasonal_naive" in models:
+        third["all_s"] = A.std_pop(y)
+    for m in seasonal:
+        season, strength = p[m]["season"], p[m]["trend_strength"]
+        base = f"get({y}, greatest({n} - {season} + (k - 1) % {season}, 0))"
+        grown = f"greatest(1 + ({c('g')} - 1) * {strength} * (floor((k - 1) / {season}) + 1), 0D)"
+        third[m] = steps(f"{base} * CASE WHEN {n} >= {season} THEN {grown} ELSE 1D END")
     if "exp_smoothing" in models:
-        third["exp_s"] = A.std_pop(F.zip_with(yc, c("lv"), lambda a, b: a - b))
+        w = p["exp_smoothing"]["trend_weight"]
+        third["ex_t"] = f"{w} * {c('slope')} + (1 - {w}) * {A.slope(c('lv6'))}"
     if "holts" in models:
-        ho = c("ho")
-        third["ho_s"] = F.sqrt(F.greatest(
-            ho["q"] / n - F.pow(ho["e"] / n, F.lit(2)), F.lit(0.0)))
-        third["ho_t"] = F.when(
-            (F.abs(ho["t"]) <= c("flat")) & (F.abs(c("slope")) > c("flat")), c("slope")).otherwise(ho["t"])
+        third["ho_t"] = (f"CASE WHEN abs({c('ho')}.t) <= {c('flat')} AND abs({c('slope')}) > {c('flat')} "
+                         f"THEN {c('slope')} ELSE {c('ho')}.t END")
     if "moving_average" in models:
-        third |= {"ma": A.mean(c("win")), "ma_s": A.std_pop(c("win"))}
+        q = p["moving_average"]
+        third["moving_average"] = steps(
+            f"greatest({c('ma')} + {q['trend_weight']} * {c('slope')} * {_damped('k', q['damping'])}, 0D)")
     df = add(df, third)
 
-    def seasonal_path(strength: Column, season: Column) -> Column:
-        def one(k: Column) -> Column:
-            base = F.get(yc, F.greatest(n - season + (k - 1) % season, F.lit(0)))
-            grown = 1 + (c("g") - 1) * strength * (F.floor((k - 1) / season) + 1)
-            return base * F.greatest(grown, F.lit(0.0))
-        return _steps(hc, one)
-
-    last: dict[str, Column] = {}
-    for m in models:
-        q = p[m]
-        if m == "moving_average":
-            path = _steps(hc, lambda k: F.greatest(
-                c("ma") + q["trend_weight"] * c("slope") * _damped(k, q["damping"]), F.lit(0.0)))
-            last[m] = band(path, c("ma_s"), z)
-        elif m == "linear_trend":
-            last[m] = band(c("lin_f"), c("lin_s"), z)
-        elif m == "seasonal_trend":
-            season = q["season"].cast("int")
-            last[m] = F.when(n >= season, band(seasonal_path(q["trend_strength"], season), c("sea_s"), z)).otherwise(
-                band(c("lin_f"), c("lin_s"), z))
-        elif m == "seasonal_naive":
-            season = q["season"].cast("int")
-            short = _steps(hc, lambda k: F.get(yc, F.greatest(n - season + (k - 1) % season, F.lit(0))))
-            last[m] = F.when(n >= season, band(seasonal_path(q["trend_strength"], season), c("sea_s"), z)).otherwise(
-                band(short, A.std_pop(yc), z))
-        elif m == "exp_smoothing":
-            pull = q["trend_weight"] * c("slope") + (1 - q["trend_weight"]) * c("lv_slope")
-            path = _steps(hc, lambda k: F.element_at(c("lv"), -1) + pull * _damped(k, q["damping"]))
-            last[m] = band(path, c("exp_s"), z)
-        elif m == "holts":
-            path = F.when(c("ho").isNotNull(), _steps(hc, lambda k: c("ho")["l"] + k * c("ho_t")))
-            last[m] = band(path, c("ho_s"), z)
-    df = staged(df, {f"{out}{m}": v for m, v in last.items()})
-    return df.drop(*[f"_{out}{k}" for k in (*first, *second, *third)])
-
-
-def move_if_flat(f: Column, slope: Column, flat: Column, weight: float, damping: float,
-                 fewest: int = 3) -> Column:
-    """A path that is flat at 2 decimals follows the recent slope; never negative."""
-    is_flat = (F.size(f) >= fewest) & (F.size(F.array_distinct(F.transform(f, lambda x: F.round(x, 2)))) == 1)
-    moved = F.transform(f, lambda x, i: x + weight * slope * (1 - F.pow(F.lit(damping), i + 1)) / (1 - damping))
-    path = F.when(is_flat & (F.abs(slope) > flat), moved).otherwise(f)
-    return F.transform(path, lambda x: F.greatest(x, F.lit(0.0)))
+    paths: dict[str, str] = {}
+    if "exp_smoothing" in models:
+        pull = f"{c('ex_t')} * {_damped('k', p['exp_smoothing']['damping'])}"
+        paths["exp_smoothing"] = steps(f"element_at({c('lv')}, -1) + {pull}")
+    if "holts" in models:
+        climb = steps(f"{c('ho')}.l + k * {c('ho_t')}")
+        paths["holts"] = f"CASE WHEN {c('ho')} IS NOT NULL THEN {climb} END"
+    if paths:
+        df = add(df, paths)
+
+    short = lambda m: f"{n} < {p[m]['season']}"
+    bands = {
+        "moving_average": lambda m: _band(c(m), c("ma_s"), z),
+        "linear_trend": lambda m: _band(c("li"), c("li_s"), z),
+        "exp_smoothing": lambda m: _band(c(m), c("ex_s"), z),
+        "holts": lambda m: _band(c(m), c("ho_s"), z),
+        "seasonal_trend": lambda m: f"CASE WHEN {short(m)} THEN {_band(c('li'), c('li_s'), z)} ELSE {_band(c(m), c('se_s'), z)} END",
+        "seasonal_naive": lambda m: f"CASE WHEN {short(m)} THEN {_band(c(m), c('all_s'), z)} ELSE {_band(c(m), c('se_s'), z)} END",
+    }
+    return staged(df, {f"{out}{m}": bands[m](m) for m in models}).drop(*made)
 
 
-def flat_limit(y: Column) -> Column:
-    return F.greatest(A.mean(F.transform(y, lambda v: F.abs(v))) * 0.001, F.lit(1e-9))
+def flat_limit(y: str) -> str:
+    """Changes up to this size count as flat."""
+    return f"greatest({A.mean(f'transform({y}, v -> abs(v))')} * 0.001D, 1e-9D)"
+
+
+def move_if_flat(f: str, slope: str, flat: str, weight: float, damping: float, fewest: int = 3) -> str:
+    """A path that is flat at 2 decimals follows the recent slope; never negative."""
+    is_flat = f"size({f}) >= {fewest} AND size(array_distinct(transform({f}, x -> round(x, 2)))) = 1"
+    moved = f"x + {weight}D * {slope} * {_damped('(i + 1)', f'{damping}D')}"
+    path = f"CASE WHEN {is_flat} AND abs({slope}) > {flat} THEN transform({f}, (x, i) -> {moved}) ELSE {f} END"
+    return f"transform({path}, x -> greatest(x, 0D))"
 
 
 def add_ensemble(df: DataFrame, y: str = "y", h: str = "h", out: str = "p_", z: float = Z_95,
@@ -222,59 +217,42 @@ def add_ensemble(df: DataFrame, y: str = "y", h: str = "h", out: str = "p_", z:
     Needs ``<out><member>`` already there. The validation forecasts are made from
     the same row, so no join is needed. ``<out>members`` keeps the blend.
     """
-    top_n = _settings(params)["smart_ensemble"]["top_n"].cast("int")
-    yc, n, hc = F.col(y), F.size(y), F.col(h).cast("int")
-    k = F.when(n >= 6, F.greatest(F.lit(2), F.least(F.lit(6), F.floor(n / 4).cast("int"))))
-    df = staged(df.withColumn("_ek", k), {
-        "_ey": F.slice(yc, 1, n - F.col("_ek")),
-        "_et": F.slice(yc, n - F.col("_ek") + 1, F.col("_ek")),
+    top_n = _settings(params)["smart_ensemble"]["top_n"]
+    n = f"size({y})"
+    df = staged(df, {"_ek": f"CASE WHEN {n} >= 6 THEN CAST(greatest(2, least(6, floor({n} / 4))) AS INT) END"})
+    df = staged(df, {
+        "_ey": f"slice({y}, 1, {n} - _ek)", "_et": f"slice({y}, {n} - _ek + 1, _ek)",
     })
     df = add_paths(df, ENSEMBLE_MEMBERS, "_ey", "_ek", "_e_", z, params)
-
-    def score(m: str) -> Column:
-        errors = F.zip_with(F.col("_et"), F.col(f"_e_{m}.f"),
-                            lambda a, b: F.abs(a - b) / F.greatest(F.abs(a), F.lit(1.0)))
-        return A.mean(errors) * 100
-
-    df = staged(df, {f"_s_{m}": score(m) for m in ENSEMBLE_MEMBERS})
-    entries = [
-        F.when(
-            F.col(f"_s_{m}").isNotNull() & F.col(f"{out}{m}").isNotNull()
-            & ((n >= 12) if m == "seasonal_trend" else F.lit(True)),
-            F.struct(
-                F.greatest(F.col(f"_s_{m}"), F.lit(0.01)).alias("mape"), F.lit(i).alias("place"),
-                F.lit(m).alias("model_key"), F.col(f"{out}{m}").alias("p"),
-            ))
-        for i, m in enumerate(ENSEMBLE_MEMBERS)
-    ]
-    best = F.slice(F.array_sort(F.array_compact(F.array(*entries))), 1, top_n)
-    df = staged(staged(df, {"_best": best}), {
-        "_wsum": F.aggregate("_best", F.lit(0.0), lambda s, e: s + 1 / (e["mape"] + 1)),
-        "_slope": A.slope(A.tail(yc, RECENT)), "_flat": flat_limit(yc),
+    df = staged(df, {
+        f"_s_{m}": A.mean(f"zip_with(_et, _e_{m}.f, (a, b) -> abs(a - b) / greatest(abs(a), 1D))") + " * 100"
+        for m in ENSEMBLE_MEMBERS
     })
-
-    def blend(part: str) -> Column:
-        return _steps(hc, lambda k: F.aggregate(
-            F.col("_best"), F.lit(0.0),
-            lambda s, e: s + F.try_divide(F.get(e["p"][part], k - 1), (e["mape"] + 1) * F.col("_wsum"))))
-
-    df = staged(df, {"_bf": blend("f"), "_bu": blend("u"), "_bl": blend("l")})
-    df = staged(df, {"_bf": move_if_flat(F.col("_bf"), F.col("_slope"), F.col("_flat"), 0.18, 0.80)})
-    blended = F.struct(
-        F.col("_bf").alias("f"),
-        F.zip_with("_bu", "_bf", lambda a, b: F.greatest(a, b)).alias("u"),
-        F.zip_with("_bl", "_bf", lambda a, b: F.greatest(F.least(a, b), F.lit(0.0))).alias("l"),
+    entries = ", ".join(
+        f"CASE WHEN _s_{m} IS NOT NULL AND {out}{m} IS NOT NULL{f' AND {n} >= 12' if m == 'seasonal_trend' else ''} "
+        f"THEN named_struct('mape', greatest(_s_{m}, 0.01D), 'place', {i}, 'model_key', '{m}', 'p', {out}{m}) END"
+        for i, m in enumerate(ENSEMBLE_MEMBERS)
     )
-    enough = (n >= 6) & (F.size("_best") > 0)
-    members = F.transform("_best", lambda e: F.struct(
-        e["model_key"].alias("model_key"), e["mape"].alias("validation_mape"),
-        F.try_divide(F.lit(1.0), (e["mape"] + 1) * F.col("_wsum")).alias("weight")))
+    df = staged(df, {"_best": f"slice(array_sort(array_compact(array({entries}))), 1, {top_n})", "_recent": A.tail(y, RECENT)})
     df = staged(df, {
-        f"{out}smart_ensemble": F.when(enough, blended).otherwise(F.col(f"{out}holts")),
-        f"{out}members": F.when(enough, members),
+        "_wsum": "aggregate(_best, 0D, (s, e) -> s + 1 / (e.mape + 1))",
+        "_slope": A.slope("_recent"), "_flat": flat_limit(y),
     })
-    return df.drop("_ek", "_ey", "_et", "_best", "_wsum", "_slope", "_flat", "_bf", "_bu", "_bl",
-                   *[f"_{s}_{m}" for s in ("e", "s") for m in ENSEMBLE_MEMBERS])
+    blend = lambda part: (
+        f"transform(sequence(1, {h}), k -> aggregate(_best, 0D, "
+        f"(s, e) -> s + try_divide(get(e.p.{part}, k - 1), (e.mape + 1) * _wsum)))")
+    df = staged(df, {"_bf": blend("f"), "_bu": blend("u"), "_bl": blend("l")})
+    df = staged(df, {"_bf": move_if_flat("_bf", "_slope", "_flat", 0.18, 0.80)})
+    enough = f"{n} >= 6 AND size(_best) > 0"
+    blended = ("named_struct('f', _bf, 'u', zip_with(_bu, _bf, (a, b) -> greatest(a, b)), "
+               "'l', zip_with(_bl, _bf, (a, b) -> greatest(least(a, b), 0D)))")
+    members = ("transform(_best, e -> named_struct('model_key', e.model_key, 'validation_mape', e.mape, "
+               "'weight', try_divide(1D, (e.mape + 1) * _wsum)))")
+    return staged(df, {
+        f"{out}smart_ensemble": f"CASE WHEN {enough} THEN {blended} ELSE {out}holts END",
+        f"{out}members": f"CASE WHEN {enough} THEN {members} END",
+    }).drop("_ek", "_ey", "_et", "_best", "_recent", "_wsum", "_slope", "_flat", "_bf", "_bu", "_bl",
+            *[f"_{s}_{m}" for s in ("e", "s") for m in ENSEMBLE_MEMBERS])
 
 
 def add_models(df: DataFrame, models: Sequence[str], y: str = "y", h: str = "h", z: float = Z_95,
@@ -288,22 +266,23 @@ def add_models(df: DataFrame, models: Sequence[str], y: str = "y", h: str = "h",
     return add_ensemble(df, y, h, "p_", z, params) if "smart_ensemble" in models else df
 
 
-def paths_to_rows(df: DataFrame, ids: Sequence[str], models: Sequence[str], last_date: Column) -> DataFrame:
-    """One row per id, model and step."""
-    listed = F.array_compact(F.array(*[
-        F.when(F.col(f"p_{m}").isNotNull(), F.struct(F.lit(m).alias("model_key"), F.col(f"p_{m}").alias("p")))
-        for m in models
-    ]))
-    long = df.select(*ids, last_date.alias("_last"), F.explode(listed).alias("_m")).select(
-        *ids, "_last", F.col("_m.model_key").alias("model_key"),
-        F.posexplode(F.arrays_zip(F.col("_m.p.f").alias("f"), F.col("_m.p.u").alias("u"), F.col("_m.p.l").alias("l")))
-        .alias("_i", "_v"),
-    )
-    step = (F.col("_i") + 1)
-    return long.select(
-        *ids, "model_key", step.cast("long").alias("step"),
-        F.add_months("_last", step).alias("Date"), F.col("_v.f").alias("Forecast"),
-        F.col("_v.u").alias("Upper"), F.col("_v.l").alias("Lower"),
+def listed_paths(models: Sequence[str], value: str) -> str:
+    """Array of (model_key, value) for the models a row can run; ``{}`` stands for the model."""
+    entries = ", ".join(
+        f"CASE WHEN p_{m} IS NOT NULL THEN named_struct('model_key', '{m}', 'v', {value.format(m)}) END" for m in models)
+    return f"array_compact(array({entries}))"
+
+
+def paths_to_rows(df: DataFrame, ids: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """One row per id, model and step; months follow the last of ``dates``."""
+    ids = list(ids)
+    quoted = [f"`{i}`" for i in ids]
+    long = df.selectExpr(*quoted, "element_at(dates, -1) AS _last", f"inline({listed_paths(models, 'p_{}')})")
+    return long.selectExpr(
+        *quoted, "_last", "model_key", "posexplode(arrays_zip(v.f, v.u, v.l)) AS (_i, _v)"
+    ).selectExpr(
+        *quoted, "model_key", "CAST(_i + 1 AS BIGINT) AS step", "add_months(_last, _i + 1) AS Date",
+        "_v.f AS Forecast", "_v.u AS Upper", "_v.l AS Lower",
     )
 
 
@@ -320,7 +299,7 @@ def forecast(df: DataFrame, model: str | Sequence[str], horizon: int = 6, keys:
     """
     models = [model] if isinstance(model, str) else list(model)
     rows = series_of(df, keys).withColumn("h", F.lit(horizon))
-    out = paths_to_rows(add_models(rows, models, z=z, params=params), keys, models, F.element_at("dates", -1))
+    out = paths_to_rows(add_models(rows, models, z=z, params=params), keys, models)
     return out.withColumn("Forecast", F.greatest("Forecast", F.lit(0.0))) if clip_at_zero else out
 
 
@@ -335,16 +314,17 @@ def with_chosen_path(df: DataFrame, preferred: Column, z: float = Z_95,
                      params: Params | None = None) -> DataFrame:
     """Add ``model_key`` and ``p_chosen``: the preferred model, else the first fallback that can run."""
     df = add_models(df.withColumn("_want", preferred), MODELS, z=z, params=params)
-    wanted = [F.when((F.col("_want") == m) & F.col(f"p_{m}").isNotNull(), F.lit(m)) for m in MODELS]
-    others = [F.when(F.col(f"p_{m}").isNotNull(), F.lit(m)) for m in FALLBACK_ORDER]
-    df = df.withColumn("model_key", F.coalesce(*wanted, *others))
-    path = F.coalesce(*[F.when(F.col("model_key") == m, F.col(f"p_{m}")) for m in MODELS])
-    return df.withColumn("p_chosen", path).drop("_want", "p_members", *[f"p_{m}" for m in MODELS])
+    wanted = [f"CASE WHEN _want = '{m}' AND p_{m} IS NOT NULL THEN '{m}' END" for m in MODELS]
+    others = [f"CASE WHEN p_{m} IS NOT NULL THEN '{m}' END" for m in FALLBACK_ORDER]
+    df = staged(df, {"model_key": f"coalesce({', '.join(wanted + others)})"})
+    path = " ".join(f"WHEN '{m}' THEN p_{m}" for m in MODELS)
+    return staged(df, {"p_chosen": f"CASE model_key {path} END"}).drop(
+        "_want", "p_members", *[f"p_{m}" for m in MODELS])
 
 
 def chosen_rows(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     rows = df.withColumnRenamed("model_key", "_key")
-    out = paths_to_rows(rows, [*ids, "_key"], ["chosen"], F.element_at("dates", -1))
+    out = paths_to_rows(rows, [*ids, "_key"], ["chosen"])
     return out.drop("model_key").withColumnRenamed("_key", "model_key")
 
 
@@ -375,15 +355,15 @@ def forecast_groups(df: DataFrame, group_cols: Sequence[str], horizon: int = 6,
     if max_groups:
         rows = rows_of_top_groups(rows, groups, max_groups)
     series = with_champion(series_of(rows, groups, fewest_months), groups).withColumn("h", F.lit(horizon))
-    picked = with_chosen_path(series, F.col("champion"), z).withColumn("TotalForecast", A.total(F.col("p_chosen.f")))
+    picked = with_chosen_path(series, F.col("champion"), z).withColumn("TotalForecast", F.expr(A.total("p_chosen.f")))
     return chosen_rows(picked, [*groups, "TotalForecast"])
 
 
 def flat_guard(forecasts: DataFrame, df: DataFrame, keys: Sequence[str] = (), weight: float = 0.45,
                damping: float = 0.88) -> DataFrame:
     """Shift flat forecast paths and their bands along the recent slope of each series."""
-    facts = series_of(df, keys).select(
-        *keys, A.slope(A.tail(F.col("y"), RECENT)).alias("_slope"), flat_limit(F.col("y")).alias("_flat"),
+    facts = staged(series_of(df, keys), {"_recent": A.tail("y", RECENT)}).select(
+        *keys, F.expr(A.slope("_recent")).alias("_slope"), F.expr(flat_limit("y")).alias("_flat"),
         F.size("y").alias("_n"))
     path = per_series([*keys, "model_key"])
     same = F.min("Forecast").over(path) == F.max("Forecast").over(path)
@@ -431,36 +411,27 @@ def path_summary(forecasts: DataFrame, actuals: DataFrame, keys: Sequence[str] =
     ids = [*keys, "model_key"]
     at = F.array_sort(F.collect_list(F.struct("step", "Date", "Forecast", "Upper", "Lower")))
     rows = attach(forecasts.groupBy(*ids).agg(at.alias("_p")), actuals, keys)
-    p = F.col("_p")
-    f = F.transform(p, lambda e: e["Forecast"])
-    one = F.lit(1.0)
-    rows = rows.withColumns({
-        "_f": f, "_first": p[0]["Forecast"], "_last": F.element_at(p, -1)["Forecast"],
-        "_diff": F.transform(F.slice(p, 2, F.size(p)), lambda e, i: F.struct(
-            (e["Forecast"] - F.get(p, i)["Forecast"]).alias("k"), e["Date"].alias("d"),
-            F.get(p, i)["Forecast"].alias("b"))),
+    rows = staged(rows, {
+        "_f": "transform(_p, e -> e.Forecast)", "_first": "_p[0].Forecast", "_last": "element_at(_p, -1).Forecast",
+        "_width": "_p[0].Upper - _p[0].Lower",
+        "_diff": "transform(slice(_p, 2, size(_p)), (e, i) -> named_struct("
+                 "'k', e.Forecast - get(_p, i).Forecast, 'd', e.Date, 'b', get(_p, i).Forecast))",
     })
-    top = F.array_min(F.transform(p, lambda e: F.struct((-e["Forecast"]).alias("k"), e["Date"].alias("d"))))
-    low = F.array_min(F.transform(p, lambda e: F.struct(e["Forecast"].alias("k"), e["Date"].alias("d"))))
-    rise = F.array_min(F.transform("_diff", lambda e: F.struct((-e["k"]).alias("k"), e["d"].alias("d"), e["b"].alias("b"))))
-    fall = F.array_min(F.col("_diff"))
-    scale = F.greatest(F.abs("_first") if absolute else F.col("_first"), one)
-    rows = rows.withColumns({
-        "total_change": (F.col("_last") - F.col("_first")) / scale * 100,
-        "launch_change": (F.col("_first") - F.col("last_actual")) / F.greatest(F.col("last_actual"), one) * 100,
-        "_top": top, "_low": low, "_rise": rise, "_fall": fall,
+    rows = staged(rows, {
+        "total_change": f"(_last - _first) / greatest({'abs(_first)' if absolute else '_first'}, 1D) * 100",
+        "launch_change": "(_first - last_actual) / greatest(last_actual, 1D) * 100",
+        "_top": "array_min(transform(_p, e -> named_struct('k', -e.Forecast, 'd', e.Date)))",
+        "_low": "array_min(transform(_p, e -> named_struct('k', e.Forecast, 'd', e.Date)))",
+        "_rise": "array_min(transform(_diff, e -> named_struct('k', -e.k, 'd', e.d, 'b', e.b)))",
+        "_fall": "array_min(_diff)",
     })
-    move = lambda e: F.abs(F.col(f"{e}.k")) / F.greatest(F.col(f"{e}.b"), one) * 100
-    change = F.col("total_change")
-    return rows.select(
-        *ids, A.total(F.col("_f")).alias("total"), A.mean(F.col("_f")).alias("mean"),
-        F.when(change > limit, "up").when(change < -limit, "down").otherwise("steady").alias("direction"),
-        "total_change", "launch_change",
-        F.col("_top.d").alias("peak_month"), (-F.col("_top.k")).alias("peak"),
-        F.col("_low.d").alias("low_month"), F.col("_low.k").alias("low"),
-        F.col("_rise.d").alias("rise_month"), move("_rise").alias("rise_pct"),
-        F.col("_fall.d").alias("drop_month"), move("_fall").alias("drop_pct"),
-        ((p[0]["Upper"] - p[0]["Lower"]) / F.greatest(F.col("_first"), one) * 100).alias("range_width_pct"),
+    return rows.selectExpr(
+        *[f"`{i}`" for i in ids], f"{A.total('_f')} AS total", f"{A.mean('_f')} AS mean",
+        f"CASE WHEN total_change > {limit} THEN 'up' WHEN total_change < -{limit} THEN 'down' ELSE 'steady' END AS direction",
+        "total_change", "launch_change", "_top.d AS peak_month", "-_top.k AS peak", "_low.d AS low_month", "_low.k AS low",
+        "_rise.d AS rise_month", "abs(_rise.k) / greatest(_rise.b, 1D) * 100 AS rise_pct",
+        "_fall.d AS drop_month", "abs(_fall.k) / greatest(_fall.b, 1D) * 100 AS drop_pct",
+        "_width / greatest(_first, 1D) * 100 AS range_width_pct",
     )
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import labels as L
 from ..functions.exprs import (
-    attach, known_keys, month_of, nz_sum, pct, pct_change, per_series, ratio,
+    attach, known_keys, month_of, nz_sum, pct, pct_change, per_series, staged,
 )
 
 
@@ -212,46 +212,37 @@ def recent_days(df: DataFrame, keys: Sequence[str] = (), days: int = 30,
 # ---------------------------------------------------------------------------
 # One wide row of facts per series, from one scan.
 
-def _avg_of(y: Column, start: Column, length: Column) -> Column:
-    return F.when(length > 0, A.mean(F.slice(y, start, length)))
-
-
-def series_columns(series: str = "_s") -> dict[str, Column]:
-    """Facts of one month-ordered array of (Date, Sales)."""
-    s = F.col(series)
-    y = F.transform(s, lambda e: e["Sales"])
-    best = F.array_min(F.transform(s, lambda e: F.struct((-e["Sales"]).alias("k"), e["Date"].alias("d"))))
-    worst = F.array_min(F.transform(s, lambda e: F.struct(e["Sales"].alias("k"), e["Date"].alias("d"))))
-    return {"_y": y, "months": F.size(s).cast("long"), "_best": best, "_worst": worst}
-
-
 def _with_series_facts(df: DataFrame) -> DataFrame:
-    n, y = F.col("months"), F.col("_y")
-    ni = n.cast("int")
-    half = F.floor(ni / 2).cast("int")
-    at = lambda k: F.get(F.col("_s"), ni - k)
-    first = {
-        "month_avg": A.mean(y),
-        "month_std": A.std_samp(y),
-        "best_month": F.col("_best.d"), "best_sales": -F.col("_best.k"),
-        "worst_month": F.col("_worst.d"), "worst_sales": F.col("_worst.k"),
-        "latest_month": at(1)["Date"], "latest_sales": at(1)["Sales"],
-        "previous_month": at(2)["Date"], "previous_sales": at(2)["Sales"],
-        "before_previous_sales": at(3)["Sales"],
-        "first3": A.mean(F.slice(y, 1, 3)),
-        "last3": A.mean(A.tail(y, 3)),
-        "prev3": F.when(n >= 6, _avg_of(y, ni - 5, F.lit(3))).when(n > 3, _avg_of(y, F.lit(1), ni - 3)),
-        "first_half": F.when(n >= 6, _avg_of(y, F.lit(1), half)),
-        "second_half": F.when(n >= 6, _avg_of(y, half + 1, ni - half)),
-    }
-    second = {
-        "cv": F.when(F.col("month_avg") > 0, pct(F.col("month_std"), F.col("month_avg"))).otherwise(0.0),
-        "growth_3": F.when(n >= 2, pct_change(F.col("last3"), F.col("first3"))).otherwise(0.0),
-        "growth_half": F.when(n >= 6, pct_change(F.col("second_half"), F.col("first_half"))),
-        "momentum": F.when(n >= 4, pct_change(F.col("last3"), F.col("prev3"))),
-        "mom": F.when(n >= 2, pct_change(F.col("latest_sales"), F.col("previous_sales"))),
-    }
-    return df.withColumns(first).withColumns(second).drop("_best", "_worst")
+    """Facts of the month-ordered array ``_s`` of (Date, Sales)."""
+    df = staged(df, {
+        "_y": "transform(_s, e -> e.Sales)",
+        "months": "CAST(size(_s) AS BIGINT)",
+        "_best": "array_min(transform(_s, e -> named_struct('k', -e.Sales, 'd', e.Date)))",
+        "_worst": "array_min(transform(_s, e -> named_struct('k', e.Sales, 'd', e.Date)))",
+    })
+    n = "size(_y)"
+    at = lambda k, field: f"get(_s, {n} - {k}).{field}"
+    df = staged(df, {
+        "month_avg": A.mean("_y"), "month_std": A.std_samp("_y"),
+        "best_month": "_best.d", "best_sales": "-_best.k",
+        "worst_month": "_worst.d", "worst_sales": "_worst.k",
+        "latest_month": at(1, "Date"), "latest_sales": at(1, "Sales"),
+        "previous_month": at(2, "Date"), "previous_sales": at(2, "Sales"),
+        "before_previous_sales": at(3, "Sales"),
+        "first3": A.mean("slice(_y, 1, 3)"), "last3": A.mean(A.tail("_y", 3)),
+        "prev3": f"CASE WHEN {n} >= 6 THEN {A.mean(f'slice(_y, {n} - 5, 3)')} "
+                 f"WHEN {n} > 3 THEN {A.mean(f'slice(_y, 1, {n} - 3)')} END",
+        "first_half": f"CASE WHEN {n} >= 6 THEN {A.mean(f'slice(_y, 1, CAST({n} div 2 AS INT))')} END",
+        "second_half": f"CASE WHEN {n} >= 6 THEN {A.mean(f'slice(_y, CAST({n} div 2 + 1 AS INT), {n})')} END",
+    }).drop("_best", "_worst")
+    change = lambda new, old: f"coalesce(try_divide({new} - {old}, {old}), 0D) * 100"
+    return staged(df, {
+        "cv": "CASE WHEN month_avg > 0 THEN coalesce(month_std / month_avg, 0D) * 100 ELSE 0D END",
+        "growth_3": f"CASE WHEN months >= 2 THEN {change('last3', 'first3')} ELSE 0D END",
+        "growth_half": f"CASE WHEN months >= 6 THEN {change('second_half', 'first_half')} END",
+        "momentum": f"CASE WHEN months >= 4 THEN {change('last3', 'prev3')} END",
+        "mom": f"CASE WHEN months >= 2 THEN {change('latest_sales', 'previous_sales')} END",
+    })
 
 
 def business_facts(df: DataFrame, keys: Sequence[str] = (), dims: Sequence[str] = (),
@@ -297,7 +288,7 @@ def business_facts(df: DataFrame, keys: Sequence[str] = (), dims: Sequence[str]
     wide = totals.groupBy(*keys).agg(*aggs).withColumn(
         "row_avg", F.try_divide(F.col("total"), F.col("_known"))
     )
-    wide = _with_series_facts(wide.withColumns(series_columns()))
+    wide = _with_series_facts(wide)
     for d in dims:
         wide = wide.withColumns({
             f"top_{d}": F.col(f"_top_{d}.v"),

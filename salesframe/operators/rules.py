@@ -128,7 +128,7 @@ def business_actions(df: DataFrame, keys: Sequence[str] = (), threshold: float =
                      window: int = 6) -> DataFrame:
     dims = [d for d in _present(df, ["Category", "Region"]) if d not in keys]
     c, n = F.col, F.col("months")
-    facts = business_facts(df, keys, dims).withColumn("anomalies", rolling_count(c("_y"), threshold, window))
+    facts = business_facts(df, keys, dims).withColumn("anomalies", rolling_count("_y", threshold, window))
     rules: list[Rule] = []
     if "Region" in dims:
         rules.append((c("top_Region").isNotNull(), "focus_top_region", "action", c("top_Region"), c("top_Region_share")))
@@ -187,7 +187,7 @@ def upload_insights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def signals(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5, window: int = 6) -> DataFrame:
     """Direction, latest month movement and whether forecasts deserve a warning."""
     facts, c = business_facts(df, keys), F.col
-    odd = rolling_count(c("_y"), threshold, window)
+    odd = rolling_count("_y", threshold, window)
     return facts.select(
         *keys, "growth_3", signal(c("growth_3"), 5, "growing", "declining", "stable").alias("direction"),
         F.coalesce("mom", F.lit(0.0)).alias("mom"),

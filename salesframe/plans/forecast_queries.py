@@ -43,10 +43,12 @@ _ITEMS_SQL = """sales AS (SELECT CAST(l_shipdate AS DATE) AS "Date", l_extendedp
 
 
 @query("fc_brands", all_models_sql(["Brand", "Product"], full_outer(["Brand", "Product"], 3)).replace(SALES_SQL, _ITEMS_SQL) + f"""
-SELECT Brand, Product, model_key, step, {_DATE}, round(f, 2) AS "Forecast", round(u, 2) AS "Upper", round(l, 2) AS "Lower"
-FROM af JOIN size USING (Brand, Product)""")
+SELECT Brand, model_key, {_DATE}, round(sum(f), 2) AS "Forecast", round(sum(u), 2) AS "Upper", round(sum(l), 2) AS "Lower"
+FROM af JOIN size USING (Brand, Product) GROUP BY ALL""")
 def fc_brands(spark, d):
-    return rounded(P.forecast(V.item_sales(spark, d), P.MODELS, 3, ["Brand", "Product"]))
+    out = P.forecast(V.item_sales(spark, d), P.MODELS, 3, ["Brand", "Product"])
+    return rounded(out.groupBy("Brand", "model_key", "Date").agg(
+        *[F.sum(c).alias(c) for c in ("Forecast", "Upper", "Lower")]))
 
 
 @query("fc_ensemble_members", all_models_sql(KEYS, full_outer(KEYS, 1)) + """
