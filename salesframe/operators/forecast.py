@@ -70,15 +70,17 @@ def _exp_levels(y: str, alpha: str) -> str:
 
 
 def _holt_state(y: str, alpha: str, beta: str) -> str:
-    """Final level and trend, with sums of the same-month residuals and their squares."""
-    first = f"(get({y}, 0) - get({y}, 1))"
+    """Final level ``l`` and trend ``t``, with count, mean and squared deviations of the same-month residuals."""
+    start = f"get({y}, 0)"
+    climb = f"(get({y}, 1) - {start})"
     level = f"({alpha} * v + (1 - {alpha}) * (acc.l + acc.t))"
     trend = f"({beta} * ({level} - acc.l) + (1 - {beta}) * acc.t)"
-    miss = f"(v - {level} - {trend})"
+    gap = f"(v - {level} - {trend} - acc.m)"
     return (
         f"CASE WHEN size({y}) >= 2 THEN aggregate(slice({y}, 2, size({y})), "
-        f"named_struct('l', get({y}, 0), 't', -{first}, 'e', {first}, 'q', {first} * {first}), "
-        f"(acc, v) -> named_struct('l', {level}, 't', {trend}, 'e', acc.e + {miss}, 'q', acc.q + {miss} * {miss})) END"
+        f"named_struct('l', {start}, 't', {climb}, 'n', 1D, 'm', -{climb}, 'q', 0D), "
+        f"(acc, v) -> named_struct('l', {level}, 't', {trend}, 'n', acc.n + 1, 'm', acc.m + {gap} / (acc.n + 1), "
+        f"'q', acc.q + {gap} * {gap} * acc.n / (acc.n + 1))) END"
     )
 
 
@@ -142,7 +144,7 @@ def add_paths(df: DataFrame, models: Sequence[str], y: str = "y", h: str = "h",
     if "exp_smoothing" in models:
         second |= {"lv6": A.tail(c("lv"), RECENT), "ex_s": A.std_pop(f"zip_with({y}, {c('lv')}, (a, b) -> a - b)")}
     if "holts" in models:
-        second["ho_s"] = f"sqrt(greatest({c('ho')}.q / {n} - pow({c('ho')}.e / {n}, 2), 0D))"
+        second["ho_s"] = f"sqrt({c('ho')}.q / {c('ho')}.n)"
     df = add(df, second)
 
     third: dict[str, str] = {}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.exprs import attach, staged
-from ..session import cut_lineage
+from ..session import cut_lineage, settle
 from .evaluate import metrics, ranked, time_split
 from .features import model_features, month_arrays
 from .forecast import RECENT, Z_95, flat_limit, move_if_flat
@@ -63,7 +63,8 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
     Every step is a projection over one row per series.
     """
     keys = list(keys)
-    monthly = monthly_totals(df, keys)
+    # History, training rows and residuals all start from the month totals.
+    monthly = settle(monthly_totals(df, keys), "monthly")
     series = month_arrays(monthly, keys).filter(F.size("y") >= FEWEST_MONTHS)
     rows = model_features(monthly, keys)
     if keys:
@@ -104,8 +105,8 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
 
 
 def feature_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Features of a panel with the train/test part of every month."""
-    return time_split(model_features(monthly_totals(df, keys), keys), keys)
+    """Features of a panel with the train/test part of every month, written once for the fits."""
+    return settle(time_split(model_features(monthly_totals(df, keys), keys), keys), "features")
 
 
 def compare_regressors(table: DataFrame, seed: int = 42) -> tuple[DataFrame, dict[str, PipelineModel]]:

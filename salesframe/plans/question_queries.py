@@ -62,8 +62,9 @@ FLAGS_SQL = f"""fl AS (SELECT *, intent = 'forecast' AND {_any([*Q.EACH_PRODUCT,
 MENTION_SQL = """dv AS (SELECT 'Category' AS dim, c_mktsegment AS value, 0 AS place FROM customer GROUP BY ALL
   UNION ALL SELECT 'Region', r_name, 1 FROM region UNION ALL SELECT 'Nation', n_name, 2 FROM nation),
 sv AS (SELECT DISTINCT dim, value, place FROM dv WHERE value IN (SELECT Category FROM sales UNION SELECT Region FROM sales UNION SELECT Nation FROM sales)),
-mn AS (SELECT conv_id, turn, dim, value FROM fl, sv
-  WHERE contains(q, lower(value)) AND regexp_matches(q, '(^|[^\\pL\\pN_])' || lower(value) || '([^\\pL\\pN_]|$)')
+bq AS (SELECT *, '|' || regexp_replace(q, '([^\\pL\\pN_])', '|\\1|', 'g') || '|' AS pieces FROM fl),
+bv AS (SELECT *, '|' || regexp_replace(lower(value), '([^\\pL\\pN_])', '|\\1|', 'g') || '|' AS run FROM sv),
+mn AS (SELECT conv_id, turn, dim, value FROM bq, bv WHERE contains(pieces, run)
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY
     CASE WHEN contains(q, 'category') AND dim = 'Category' THEN -1
       WHEN NOT contains(q, 'category') AND contains(q, 'region') AND dim = 'Region' THEN -1 ELSE place END, length(value) DESC, value) = 1)"""
