@@ -17,7 +17,10 @@ from .features import calendar_features, min_max, one_hot, row_features
 # Words that mark a date column and a target column.
 DATE_WORDS = ["date", "time", "day", "timestamp"]
 TARGET_WORDS = ["sale", "sales", "revenue", "amount", "total", "price", "value", "income"]
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd MMM yyyy"]
+DATE_FORMATS = {
+    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd", r"^\d{2}/\d{2}/\d{4}$": "MM/dd/yyyy",
+    r"^\d{2}-\d{2}-\d{4}$": "dd-MM-yyyy", r"^\d{2} [A-Za-z]{3} \d{4}$": "dd MMM yyyy",
+}
 ENOUGH = 0.6
 
 
@@ -69,12 +72,14 @@ def parse_amounts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return df.withColumns({c: amount(F.col(c)) for c in columns})
 
 
-def read_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("date")
+def read_date(c: Column, formats: Mapping[str, str] = DATE_FORMATS) -> Column:
+    """ISO dates first; other formats only where the text has their shape, so nothing is tried in vain."""
+    others = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt))) for shape, fmt in formats.items()]
+    return F.coalesce(c.try_cast("timestamp"), *others).cast("date")
 
 
 def parse_dates(df: DataFrame, columns: Sequence[str] | None = None,
-                formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+                formats: Mapping[str, str] = DATE_FORMATS) -> DataFrame:
     """Date-named text columns become dates when 60 % of all rows read."""
     if columns is None:
         candidates = [c for c in text_columns(df) if _named_like(c, DATE_WORDS)]

@@ -88,8 +88,13 @@ def running_total(totals: DataFrame, keys: Sequence[str] = (), value_col: str =
 def month_arrays(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One row per series: month-ordered ``dates`` and ``y``.
 
-    Only monthly rows are collected, so an array is as long as the calendar.
+    Only monthly rows are collected, so an array is as long as the calendar. The
+    exchange by key that this needs anyway keeps its full number of partitions:
+    the rows are small but the models on them are not.
     """
+    if keys:
+        spread = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        monthly = monthly.repartition(spread, *keys)
     rows = F.array_sort(F.collect_list(F.struct("Date", F.col("Sales").cast("double").alias("Sales"))))
     return monthly.groupBy(*keys).agg(rows.alias("_s")).select(
         *keys,

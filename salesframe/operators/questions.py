@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import attach
+from ..functions.exprs import attach, staged
 from ..functions.labels import horizon_caution
 
 # The words below define intents, flags and numbers.
@@ -54,72 +54,70 @@ DIMENSION_ORDER = ["Category", "Product", "Product Name", "Item", "Item Name", "
 _NUMBER = r"(\d+|" + "|".join(NUMBERS) + r"|twenty[- ]four)"
 
 
-def has_any(q: Column, words: Sequence[str]) -> Column:
-    """Whether the text holds any of the words; a word inside a longer one counts."""
-    return q.rlike("|".join(words))
+def has_any(q: str, words: Sequence[str]) -> str:
+    """SQL text: whether column ``q`` holds any of the words; a word inside a longer one counts."""
+    return "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
 
 
-def intent(question: Column) -> Column:
-    """First rule that matches, in the order of the rules."""
-    q = F.trim(F.lower(question))
+def intent(q: str) -> str:
+    """SQL text: the first rule that matches lower-case column ``q``, in the order of the rules."""
     has = lambda name: has_any(q, INTENT_WORDS[name])
+    word = lambda w: f"contains({q}, '{w}')"
     weak = has_any(q, WEAK)
-    ahead = q.rlike(r"(?U)\bnext\s+(\d+|" + "|".join(NUMBERS) + r")[-\s]*(month|months|year|years)\b")
+    numbers = "|".join(NUMBERS)
+    ahead = rf"({word('next')} AND {q} RLIKE r'(?U)\bnext\s+(\d+|{numbers})[-\s]*(month|months|year|years)\b')"
     rules = [
         (has("anomaly"), "anomaly"), (has("recommendations"), "recommendations"), (has("model_info"), "model_info"),
-        (has("project_info") | q.rlike(r"(?U)\bapp\b"), "project_info"), (has("data_info"), "data_info"),
-        (has("scenario"), "scenario"), (has("forecast") | ahead, "forecast"), (has("comparison"), "comparison"),
-        (has("summary"), "summary"), (q.contains("region") & weak, "weakest_region"),
-        (q.contains("category") & weak, "weakest_category"), (has_any(q, PRODUCT) & weak, "weakest_product"),
-        (q.contains("month") & weak, "weakest_month"), (has("best_month"), "best_month"),
-        (has("best_category"), "best_category"), (has("best_product"), "best_product"),
-        (has("best_region"), "best_region"), (has("trend"), "trend"), (has("overview"), "summary"),
+        (rf"{has('project_info')} OR ({word('app')} AND {q} RLIKE r'(?U)\bapp\b')", "project_info"),
+        (has("data_info"), "data_info"), (has("scenario"), "scenario"), (f"{has('forecast')} OR {ahead}", "forecast"),
+        (has("comparison"), "comparison"), (has("summary"), "summary"),
+        (f"{word('region')} AND {weak}", "weakest_region"), (f"{word('category')} AND {weak}", "weakest_category"),
+        (f"{has_any(q, PRODUCT)} AND {weak}", "weakest_product"), (f"{word('month')} AND {weak}", "weakest_month"),
+        *[(has(name), name) for name in ("best_month", "best_category", "best_product", "best_region", "trend")],
+        (has("overview"), "summary"),
     ]
-    out = F.when(*rules[0])
-    for cond, name in rules[1:]:
-        out = out.when(cond, name)
-    return out.otherwise("fallback")
+    return "CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for cond, name in rules) + " ELSE 'fallback' END"
 
 
-def _number(text: Column) -> Column:
+def _number(text: str) -> str:
     """Value of digits or a number word; NULL if there is none or it is 0."""
-    out = F.when(text.rlike("^[0-9]+$"), text.try_cast("double"))
-    for i, word in enumerate(NUMBERS, start=1):
-        out = out.when(text == word, F.lit(float(i)))
-    out = out.when(text.rlike("^twenty[- ]four$"), F.lit(24.0))
-    return F.when(out > 0, out)
-
-
-def horizon(question: Column) -> Column:
-    """Months ahead that a question asks for, 1 to 60, 6 if it does not say."""
-    q = F.lower(question)
-    find = lambda pattern: _number(F.regexp_extract(q, "(?U)" + pattern, 1))
-    months = F.coalesce(
-        F.when(q.contains("next month"), F.lit(1.0)),
-        F.when(q.rlike(r"(?U)\bnext\s+year\b"), F.lit(12.0)),
-        find(_NUMBER + r"[-\s]*(?:year|years|yr|yrs)\b") * 12,
-        find(_NUMBER + r"[-\s]*(?:month|months|mo|mos)\b"),
-        find(r"\bnext\s+" + _NUMBER + r"\b"),
-        F.lit(float(DEFAULT_HORIZON)),
-    )
-    return F.least(F.greatest(months, F.lit(1.0)), F.lit(float(LONGEST_HORIZON))).cast("long")
+    words = " ".join(f"WHEN '{w}' THEN {i}D" for i, w in enumerate(NUMBERS, start=1))
+    return (f"nullif(CASE {text} {words} WHEN 'twenty four' THEN 24D WHEN 'twenty-four' THEN 24D "
+            f"ELSE try_cast({text} AS DOUBLE) END, 0D)")
+
+
+def horizon(q: str) -> str:
+    """SQL text: months ahead that lower-case column ``q`` asks for, 1 to 60, 6 if it does not say."""
+    def find(words: Sequence[str], pattern: str) -> str:
+        got = f"regexp_extract({q}, r'(?U){pattern}', 1)"
+        return f"CASE WHEN {has_any(q, words)} THEN {_number(got)} END"
+
+    months = ", ".join([
+        f"CASE WHEN contains({q}, 'next month') THEN 1D END",
+        rf"CASE WHEN {q} RLIKE r'(?U)\bnext\s+year\b' THEN 12D END",
+        find(["year", "yr"], _NUMBER + r"[-\s]*(?:year|years|yr|yrs)\b") + " * 12",
+        find(["mo"], _NUMBER + r"[-\s]*(?:month|months|mo|mos)\b"),
+        find(["next"], r"\bnext\s+" + _NUMBER + r"\b"),
+        f"{DEFAULT_HORIZON}D",
+    ])
+    return f"CAST(least(greatest(coalesce({months}), 1D), {LONGEST_HORIZON}D) AS BIGINT)"
 
 
-def flags(question: Column) -> dict[str, Column]:
-    q = F.lower(question)
+def flags(q: str) -> dict[str, str]:
+    """SQL texts of the breakdown flags; needs ``intent`` beside lower-case column ``q``."""
     return {
-        "groupwise_forecast": (intent(question) == "forecast") & has_any(q, [*EACH_PRODUCT, *EACH_CATEGORY, "categories"]),
-        "month_category": has_any(q, EACH_MONTH) & has_any(q, ["category", "categories"]) & has_any(q, SALES_WORDS),
+        "groupwise_forecast": f"intent = 'forecast' AND {has_any(q, [*EACH_PRODUCT, *EACH_CATEGORY, 'categories'])}",
+        "month_category": f"{has_any(q, EACH_MONTH)} AND {has_any(q, ['category', 'categories'])} AND {has_any(q, SALES_WORDS)}",
         "category_breakdown": has_any(q, EACH_CATEGORY),
-        "region_breakdown": has_any(q, EACH_REGION) & has_any(q, [*SALES_WORDS, "performance", "breakdown"]),
+        "region_breakdown": f"{has_any(q, EACH_REGION)} AND {has_any(q, [*SALES_WORDS, 'performance', 'breakdown'])}",
     }
 
 
 def classify(questions: DataFrame, text_col: str = "question") -> DataFrame:
     """Intent, horizon, caution and flags beside every question."""
-    q = F.col(text_col)
-    out = questions.withColumns({"intent": intent(q), "horizon": horizon(q), **flags(q)})
-    return out.withColumn("caution", horizon_caution(F.col("horizon")))
+    rows = staged(questions, {"_q": f"lower(`{text_col}`)"})
+    rows = staged(rows, {"intent": intent("_q"), "horizon": horizon("_q")})
+    return staged(rows, flags("_q")).drop("_q").withColumn("caution", horizon_caution(F.col("horizon")))
 
 
 def dimension_values(df: DataFrame, dims: Sequence[str] | None = None) -> DataFrame:
@@ -138,7 +136,6 @@ def dimension_values(df: DataFrame, dims: Sequence[str] | None = None) -> DataFr
 # a whole word exactly where its own pieces follow each other, with no word
 # character directly before or after.
 _PIECES = r"(?U)\w+|\W"
-_IS_WORD = r"(?U)^\w"
 
 
 def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
@@ -152,17 +149,21 @@ def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
     pieces = F.regexp_extract_all(F.lower(text_col), F.lit(_PIECES), F.lit(0))
     keyed = values.withColumn("_key", F.lower("value"))
     lengths = keyed.agg(F.array_sort(F.collect_set(
-        F.size(F.regexp_extract_all("_key", F.lit(_PIECES), F.lit(0))))).alias("_len"))
-    runs = F.expr(rf"""
-        filter(flatten(transform(sequence(1, size(_p)), i -> transform(_len, n -> CASE
-            WHEN i + n - 1 <= size(_p)
-                AND NOT coalesce(get(_p, i - 2) RLIKE '(?U)^\\w', false) AND NOT coalesce(get(_p, i + n - 1) RLIKE '(?U)^\\w', false)
-            THEN array_join(slice(_p, i, n), '') END))), r -> r IS NOT NULL)""")
+        F.size(F.regexp_extract_all("_key", F.lit(_PIECES), F.lit(0))))).alias("_len"),
+        F.max(F.col("_key").startswith(" ")).alias("_lead"))
+    # Runs that start with a space are of use only if some value does.
+    runs = """
+        filter(flatten(transform(_len, n -> transform(sequence(1, greatest(size(_p) - n + 1, 1)), i -> CASE
+            WHEN i + n - 1 <= size(_p) AND (_lead OR get(_p, i - 1) <> ' ')
+                AND NOT coalesce(get(_w, i - 2), false) AND NOT coalesce(get(_w, i + n - 1), false)
+            THEN CASE WHEN n = 1 THEN get(_p, i - 1) ELSE array_join(slice(_p, i, n), '') END END))), r -> r IS NOT NULL)"""
     rows = attach(questions.select(*ids, text_col).withColumn("_p", pieces), lengths, ()).filter("size(_p) > 0")
+    rows = staged(rows, {"_w": r"transform(_p, t -> t RLIKE r'(?U)^\w')"})
+    rows = staged(rows, {"_runs": f"array_distinct({runs})"})
     found = (
         rows.select(*ids, F.lower(text_col).contains("category").alias("_c"),
                     F.lower(text_col).contains("region").alias("_r"),
-                    F.explode(F.array_distinct(runs)).alias("_key"))
+                    F.explode("_runs").alias("_key"))
         .join(keyed, "_key")
     )
     first = ((F.col("_c") & (F.col("dim") == "Category"))
@@ -183,10 +184,11 @@ def route(questions: DataFrame, values: DataFrame, ids: Sequence[str],
     per value) or to everything.
     """
     named = mentions(classify(questions, text_col), values, ids, text_col)
-    q, c = F.lower(text_col), F.col
+    c = F.col
+    says = lambda words: F.expr(has_any(f"lower(`{text_col}`)", words))
     direct = ["data_info", "model_info", "recommendations", "project_info"]
     is_forecast = c("intent") == "forecast"
-    last3 = has_any(q, ["last 3", "three"])
+    last3 = says(["last 3", "three"])
     answer = (
         F.when(c("intent").isin(*direct), c("intent"))
         .when(is_forecast & c("dim").isNotNull() & ~c("groupwise_forecast"), "forecast_value")
@@ -199,7 +201,7 @@ def route(questions: DataFrame, values: DataFrame, ids: Sequence[str],
         .when(c("intent") == "fallback", "general")
         .otherwise(c("intent"))
     )
-    by = F.when(q.contains("category"), "Category").when(q.contains("region"), "Region").otherwise(
+    by = F.when(says(["category"]), "Category").when(says(["region"]), "Region").otherwise(
         F.lit(product_dim or "Category"))
     return named.withColumn("route", answer).withColumns({
         "scope_dim": F.when(c("route") == "forecast_value", c("dim")).when(c("route") == "forecast_groups", by),

@@ -75,12 +75,12 @@ _UPTO_MENTIONS = f"WITH {SALES_SQL}, {ASK_SQL}, {INTENT_SQL}, {HORIZON_SQL}, {FL
 
 @query("intent", f"WITH {ASK_SQL}, {INTENT_SQL} SELECT conv_id, turn, question, intent FROM it")
 def intent(spark, d):
-    return V.questions(spark, d).withColumn("intent", Q.intent(F.col("question")))
+    return Q.classify(V.questions(spark, d)).select(*IDS, "question", "intent")
 
 
 @query("horizon", f"{_UPTO_FLAGS} SELECT conv_id, turn, horizon FROM fl")
 def horizon(spark, d):
-    return V.questions(spark, d).select(*IDS, Q.horizon(F.col("question")).alias("horizon"))
+    return Q.classify(V.questions(spark, d)).select(*IDS, "horizon")
 
 
 @query("horizon_caution", f"{_UPTO_FLAGS} SELECT horizon, caution, count(*) AS n FROM fl GROUP BY ALL")
@@ -91,7 +91,7 @@ def horizon_caution(spark, d):
 @query("question_flags", f"""{_UPTO_FLAGS}
 SELECT conv_id, turn, groupwise_forecast, month_category, category_breakdown, region_breakdown FROM fl""")
 def question_flags(spark, d):
-    return V.questions(spark, d).select(*IDS, *[c.alias(n) for n, c in Q.flags(F.col("question")).items()])
+    return Q.classify(V.questions(spark, d)).select(*IDS, *Q.flags("q"))
 
 
 @query("dimension_mention", f"""{_UPTO_MENTIONS}

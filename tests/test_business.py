@@ -92,7 +92,7 @@ def test_levers(spark, n):
     ("next five years", "forecast"), ("worst region", "weakest_region"), ("overall", "summary"),
 ])
 def test_intents(spark, text, want):
-    assert spark.createDataFrame([(text,)], "q string").select(Q.intent(F.col("q"))).first()[0] == want
+    assert Q.classify(spark.createDataFrame([(text,)], "question string")).first().intent == want
 
 
 @pytest.mark.parametrize("text,want", [
@@ -100,7 +100,7 @@ def test_intents(spark, text, want):
     ("next 4", 4), ("nothing said", 6), ("900 months", 60), ("0 months", 6), ("99999999999999999999 years", 60),
 ])
 def test_horizons(spark, text, want):
-    assert spark.createDataFrame([(text,)], "q string").select(Q.horizon(F.col("q"))).first()[0] == want
+    assert Q.classify(spark.createDataFrame([(text,)], "question string")).first().horizon == want
 
 
 def test_mentions_equal_a_search_of_every_value(spark):
