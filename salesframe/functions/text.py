@@ -28,7 +28,9 @@ def amount(c: Column) -> Column:
     for suffix, value in reversed(AMOUNT_SUFFIXES.items()):
         factor = F.when(F.endswith(bare, F.lit(suffix)), F.lit(value)).otherwise(factor)
     digits = F.regexp_replace(bare, r"[^0-9.\-]", "")
-    return digits.try_cast("double") * factor
+    # Plain labels leave nothing to read: a cast tried on them costs an exception per row.
+    readable = digits.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    return F.when(readable, digits.try_cast("double")) * factor
 
 
 def _undo_mojibake(text: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.exprs import attach, clip, known_keys, per_series, staged
+from ..functions.exprs import attach, known_keys, per_series, staged
 from .features import month_arrays
 from .ranking import rows_of_top_groups
 from .rollup import monthly_totals

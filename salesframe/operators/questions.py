@@ -82,7 +82,7 @@ def intent(q: str) -> str:
 def _number(text: str) -> str:
     """Value of digits or a number word; NULL if there is none or it is 0."""
     words = " ".join(f"WHEN '{w}' THEN {i}D" for i, w in enumerate(NUMBERS, start=1))
-    return (f"nullif(CASE {text} {words} WHEN 'twenty four' THEN 24D WHEN 'twenty-four' THEN 24D "
+    return (f"nullif(CASE {text} WHEN '' THEN NULL {words} WHEN 'twenty four' THEN 24D WHEN 'twenty-four' THEN 24D "
             f"ELSE try_cast({text} AS DOUBLE) END, 0D)")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from .registry import SALES_SQL, cols, monthly_sql
+from .registry import cols, monthly_sql
 
 
 def _using(keys: Sequence[str], *more: str) -> str:
