@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..functions.exprs import attach
+from ..functions.exprs import attach, staged
 from ..functions.quantiles import exact_quantiles, most_common
 from ..functions.text import amount, repair_text, text_columns
 from ..session import settle
@@ -66,8 +66,13 @@ def parse_amounts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     With ``columns`` the step is lazy. Without, every text column that is not
     named like a date is profiled, and converts when 60 % of all rows read.
     """
+    order = df.columns
+    candidates = columns if columns is not None else [
+        c for c in text_columns(df) if not _named_like(c, DATE_WORDS)]
+    if candidates:
+        # A text worked out upstream is mentioned several times below: make it once.
+        df = staged(df, {c: f"`{c}`" for c in candidates}).select(*[F.col(f"`{c}`") for c in order])
     if columns is None:
-        candidates = [c for c in text_columns(df) if not _named_like(c, DATE_WORDS)]
         columns = _readable(df, {c: amount(F.col(c)) for c in candidates})
     return df.withColumns({c: amount(F.col(c)) for c in columns})
 
