@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from ..session import settle
+from . import exact_dedup, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,3 +45,33 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha AS text_sha256 FROM ranked""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
+
+
+@_query("op1_packing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, folder, "documents"))
+    digests = settle(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"),
+                     "digests")
+    packed = packing.pack(digests, ["doc_id", "start", "ids_crc32"])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@_query("op5_simhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.simhash_groups(_table(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """Labels that a classifier may learn from: those outside the held-out fifth."""
+    return labels.where(F.expr("crc32(cast(doc_id AS string)) % 5 <> 0"))
+
+
+@_query("op9_quality")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = quality.document_statistics(_table(spark, folder, "documents"))
+    model = quality.fit(rows, learning_labels(_table(spark, folder, "labels")))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.expr("coalesce(crc32(cast(id AS string)) % 5 = 0, false)").alias("held_out"),
+        quality.score_statistics(model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
