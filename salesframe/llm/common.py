@@ -24,14 +24,6 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Null-safe equality of the columns of both sides."""
-    condition = left[columns[0]].eqNullSafe(right[columns[0]])
-    for c in columns[1:]:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
-
-
 def running_total(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
     """``df`` with, for each name of ``totals``, the exact sum over all earlier rows of the same keys.
 
@@ -91,20 +83,26 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def row_key(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> list[Column]:
-    """What tells rows apart: id and whole text. Rows that agree in both are repeated rows."""
-    return [F.col(id_column).alias("_key_id"), F.xxhash64(text_or_empty(text)).alias("_key_text")]
+def row_key(id_column: str = "doc_id", text: str = "text", *more: str) -> list[Column]:
+    """128 bits, never null, that tell rows apart by id and whole text. Rows that agree are repeated rows."""
+    body = text_or_empty(text)
+    return [F.xxhash64(id_column, body, *more).alias("_key_a"),
+            F.xxhash64(F.lit(1), body, F.lit(2), id_column, *more).alias("_key_b")]
+
+
+KEY = ["_key_a", "_key_b"]
+
+
+def once(keyed: DataFrame) -> DataFrame:
+    """One row of each row key; partitions by the key, so a join by it needs no further shuffle."""
+    first = Window.partitionBy(*KEY).orderBy("_key_a")
+    return keyed.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
 
 
 def only_rows(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is in ``wanted`` (``_key_id``, ``_key_text``), each key once.
+    """The rows of ``docs`` whose key is in ``wanted``; of repeated rows one stays.
 
-    One shuffle of the rows by their key; of repeated rows one stays.
+    One shuffle of the rows, by their key.
     """
-    key_id, key_text = row_key(docs, id_column, text)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key_id, key_text)
-    found = keyed.join(wanted.select("_key_id", "_key_text").distinct().alias("w"),
-                       (keyed["_key_id"].eqNullSafe(F.col("w._key_id"))) & (keyed["_key_text"] == F.col("w._key_text")),
-                       "left_semi")
-    first = Window.partitionBy("_key_id", "_key_text").orderBy("_key_text")
-    return found.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select("_row.*")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_column, text))
+    return once(keyed.join(wanted.select(*KEY), KEY, "left_semi")).select("_row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import SPACE, only_rows, text_or_empty
+from .common import KEY, SPACE, only_rows, row_key, text_or_empty
 
 #: Runs merged in one round; 16 is four binomial rounds at once.
 FAN_IN = 16
@@ -34,10 +34,10 @@ def digest_runs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """One narrow row per row of ``docs``, numbered within its run and written once."""
     bare = docs.select(
         F.col(id_column).alias("id"), F.length(text_or_empty(text)).alias("chars"),
-        F.xxhash64(text_or_empty(text)).alias("text_hash"),
+        *row_key(id_column, text),
         F.regexp_replace(text_or_empty(text), SPACE, "").alias("bare"))
     return settle(bare.select(
-        "id", "chars", "text_hash", F.sha2("bare", 256).alias("sha"),
+        "id", "chars", *KEY, F.sha2("bare", 256).alias("sha"),
         F.octet_length("bare").alias("size"), F.hash("bare").alias("check"),
         F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")), "runs")
 
@@ -45,7 +45,7 @@ def digest_runs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 def merge_runs(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The best row and the number of rows of each digest, merged over all runs."""
     last = runs.agg(F.max("run")).first()[0] or 0
-    best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row", "text_hash")
+    best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row", *KEY)
     merged = runs.select("run", *_SAME, best.alias("best"), F.lit(1).cast("long").alias("n"))
     while True:
         merged = (merged.withColumn("run", F.expr(f"run div {fan_in}")).groupBy("run", *_SAME)
@@ -67,5 +67,4 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", fan_in: int = FAN_IN) -> DataFrame:
     """The rows of ``docs``, all columns, without those that a kept row equals."""
     best = merge_runs(digest_runs(docs, id_column, text), fan_in)
-    wanted = best.select(F.col("best.id").alias("_key_id"), F.col("best.text_hash").alias("_key_text"))
-    return only_rows(docs, wanted, id_column, text)
+    return only_rows(docs, best.select("best.*"), id_column, text)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import exact_dedup, packing, quality, simhash
+from . import embed_dedup, exact_dedup, mixing, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@_query("op3_mixing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents"))
+
+
 @_query("op5_simhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, folder, "documents"))
@@ -67,6 +72,11 @@ def learning_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.expr("crc32(cast(doc_id AS string)) % 5 <> 0"))
 
 
+@_query("op8_embed_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.embedding_groups(_table(spark, folder, "embeddings"))
+
+
 @_query("op9_quality")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.document_statistics(_table(spark, folder, "documents"))

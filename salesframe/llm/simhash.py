@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import components, only_rows, row_key
+from .common import KEY, components, only_rows, row_key
 
 SHINGLE = 3
 SEED = 42
@@ -65,13 +65,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Id, text hash and fingerprint of every row, written once."""
+    """Id, row key and fingerprint of every row, written once."""
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    key_id, key_text = row_key(docs, id_column, text)
-    return settle(docs.select(key_id, key_text, of(F.col(text)).alias("fp")), "fingerprints")
+    return settle(docs.select(F.col(id_column).alias("id"), *row_key(id_column, text), of(F.col(text)).alias("fp")),
+                  "fingerprints")
 
 
 # --- the covering code of a half --------------------------------------------
@@ -207,9 +207,9 @@ def near_links(words: DataFrame, bits: int = BITS) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                    bits: int = BITS) -> DataFrame:
-    """One row per row of ``docs``: id, key of the row, ``fp``, ``component_id`` and the key of the row that stays."""
+    """One row per row of ``docs``: id, ``fp``, ``component_id`` and the row that stays."""
     rows = fingerprints(docs, id_column, text, shingle)
-    first = F.min(F.struct(F.col("_key_id").isNull().alias("no_id"), "_key_id", "_key_text"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", *KEY))
     words = settle(rows.groupBy("fp").agg(first.alias("first")), "words")
     found = components(near_links(words, bits))
     rooted = words.join(found, words["fp"] == found["node"], "left").select(
@@ -217,8 +217,7 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     least = rooted.groupBy("root").agg(F.min("first").alias("stay"))
     named = settle(rooted.select("fp", "root").join(least, "root").select("fp", "stay"), "named")
     return rows.join(named, "fp").select(
-        F.col("_key_id").alias(id_column), "_key_text", "fp", F.col("stay._key_id").alias("component_id"),
-        F.col("stay._key_text").alias("_stay_text"))
+        F.col("id").alias(id_column), "fp", F.col("stay.id").alias("component_id"), "stay")
 
 
 def hex_digits(word: str = "fp"):
@@ -230,5 +229,4 @@ def simhash_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
                   bits: int = BITS) -> DataFrame:
     """The rows of ``docs``, all columns, with only the row of smallest id of each component."""
     groups = simhash_groups(docs, id_column, text, shingle, bits)
-    wanted = groups.select(F.col("component_id").alias("_key_id"), F.col("_stay_text").alias("_key_text"))
-    return only_rows(docs, wanted, id_column, text)
+    return only_rows(docs, groups.select("stay.*"), id_column, text)
