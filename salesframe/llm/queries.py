@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import embed_dedup, exact_dedup, mixing, packing, quality, simhash
+from . import (
+    embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,11 +58,25 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@_query("op2_license_scan", license_scan.oracle())
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, folder, "documents"))
+
+
 @_query("op3_mixing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_table(spark, folder, "documents"))
 
 
+@_query("op4_langid")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.expr("coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)")
+    model = langid.fit(docs.where(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), langid.predict(model).alias("found")).select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 @_query("op5_simhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, folder, "documents"))
@@ -72,6 +88,19 @@ def learning_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.expr("crc32(cast(doc_id AS string)) % 5 <> 0"))
 
 
+@_query("op6_line_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, folder, "documents")).select("doc_id", "text", "lines", "removed_lines")
+
+
+@_query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.secret_scan(_table(spark, folder, "documents"),
+                                    learn_from=F.expr("crc32(cast(id AS string)) % 5 <> 0"))
+    return found.select("doc_id", "word", "nth", F.sha2("candidate", 256).alias("candidate_sha256"),
+                        F.length("candidate").alias("length"), "score", "secret")
+
+
 @_query("op8_embed_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return embed_dedup.embedding_groups(_table(spark, folder, "embeddings"))
