@@ -1,7 +1,8 @@
 """Licence scan by canonical digest lookup.
 
-Whole texts, their paragraphs (between blank lines) and their lines are brought to a canonical
-form and hash-joined, by SHA-256, to the digests of known licence texts in the same form.
+Whole texts, runs of their paragraphs (between blank lines; runs as long as any known text) and
+their lines are brought to a canonical form and hash-joined, by SHA-256, to the digests of known
+licence texts in the same form.
 Canonical: lower case; copyright lines (a copyright mark and a year) removed; every run of
 characters that are neither letters nor digits is one space; equivalent spellings are
 written one way. All steps are DataFrame functions; texts are read once.
@@ -14,9 +15,12 @@ gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import staged
 from ..session import settle
 from .common import text_or_empty
 from .license_texts import KNOWN
@@ -25,6 +29,7 @@ from .license_texts import KNOWN
 COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(copyright[ \t]*)?(copyright|\(c\)|©)[^\p{L}\p{N}\n]*"
                   r"([0-9]{4}|<year>|\[year\]|\[yyyy\])[^\n]*$")
 BETWEEN = r"[^\p{L}\p{N}\n]+"
+BLANK = r"\n( *\n)+"
 
 # Spellings and words that count as the same; \1 and \2 stand for what the groups hold.
 SPELLINGS = [
@@ -47,24 +52,37 @@ def canonical_lines(text: Column, spellings: list[tuple[str, str]] = SPELLINGS)
     return form
 
 
-def units(form: Column) -> Column:
-    """Kind and digest of the units of a canonical text; the whole text comes first."""
+def with_units(rows: DataFrame, run: int = 1) -> DataFrame:
+    """``rows`` with ``units``, kind and digest of each unit of the canonical text ``form``; the whole text comes first.
+
+    ``run``: paragraphs that a unit may take together.
+    """
     def digest(kind: str, x: Column) -> Column:
         flat = F.trim(F.regexp_replace(x, r"[ \n]+", " "))
         return F.when(flat != "", F.struct(F.lit(kind).alias("kind"), F.unhex(F.sha2(flat, 256)).alias("digest")))
 
-    paragraphs = F.split(form, r"\n *\n")
-    lines = F.split(form, "\n")
-    return F.filter(F.concat(
-        F.array(digest("text", form)),
-        F.when(F.size(paragraphs) > 1, F.transform(paragraphs, lambda x: digest("paragraph", x))).otherwise(F.array()),
+    paragraphs, lines = F.col("_paragraphs"), F.col("_lines")
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(paragraphs) > n, F.transform(
+            F.sequence(F.lit(1), F.size(paragraphs) - n + 1),
+            lambda i: digest("paragraphs", F.array_join(F.slice(paragraphs, i, n), " ")))).otherwise(F.array())
+
+    rows = staged(rows, {"_paragraphs": f"split(form, r'{BLANK}')", "_lines": "split(form, '\n')"})
+    return rows.withColumn("units", F.filter(F.concat(
+        F.array(digest("text", F.col("form"))), *[runs(n) for n in range(1, run + 1)],
         F.when(F.size(lines) > 1, F.transform(lines, lambda x: digest("line", x))).otherwise(F.array()),
-    ), lambda u: u.isNotNull())
+    ), lambda u: u.isNotNull())).drop("_paragraphs", "_lines", "form")
+
+
+def _forms(rows: DataFrame, text: str) -> DataFrame:
+    """Canonical texts worked out once, as ``form`` in place of the text."""
+    return staged(rows.withColumn("form", canonical_lines(text_or_empty(text))).drop(text), {"form": "form"})
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``digest`` and ``license`` of known texts (``license``, ``text``)."""
-    whole = known.select("license", units(canonical_lines(text_or_empty()))[0].alias("unit"))
+    whole = with_units(_forms(known.select("license", "text"), "text")).select("license", F.get("units", F.lit(0)).alias("unit"))
     return whole.where("unit IS NOT NULL").groupBy("unit.digest").agg(F.min("license").alias("license"))
 
 
@@ -76,8 +94,10 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_column: str
     spark = docs.sparkSession
     if known is None:
         known = spark.createDataFrame(KNOWN, "license string, text string")
-    rows = settle(docs.select(F.col(id_column).alias("id"), canonical_lines(text_or_empty(text)).alias("form")).select(
-        "id", units(F.col("form")).alias("units"), F.monotonically_increasing_id().alias("row")), "units")
+    run = _forms(known.select("text"), "text").agg(F.max(F.size(F.split("form", BLANK)))).first()[0] or 1
+    forms = _forms(docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"),
+                               F.col(text).alias("body")), "body")
+    rows = settle(with_units(forms, run), "units")
     hits = (rows.select("row", F.explode("units").alias("unit")).select("row", "unit.*")
             .join(known_digests(known), "digest").groupBy("row")
             .agg(F.max(F.when(F.col("kind") == "text", F.col("license"))).alias("text_license"),
@@ -100,6 +120,7 @@ def oracle() -> str:
     for pattern, same in SPELLINGS:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(same)}, 'g')"
     known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    run = max(len(re.split(BLANK, t.replace("\t", " "))) for _, t in KNOWN)
     flat = "trim(regexp_replace(x, '[ \\n]+', ' ', 'g'))"
     return f"""
 WITH known_forms AS (SELECT license, {form} AS x FROM (VALUES {known}) AS k(license, text)),
@@ -108,8 +129,10 @@ forms AS (SELECT doc_id, row_number() OVER () AS n, {form} AS form FROM document
 parts AS (
   SELECT n, 'text' AS kind, form AS x FROM forms
   UNION ALL
-  SELECT n, 'paragraph', unnest(p) FROM (
-    SELECT n, regexp_split_to_array(form, '\\n *\\n') AS p FROM forms) WHERE len(p) > 1
+  SELECT n, 'paragraphs', array_to_string(p[i : i + r - 1], ' ') FROM (
+    SELECT n, p, r, unnest(range(1, len(p) - r + 2)) AS i FROM (
+      SELECT n, regexp_split_to_array(form, {quoted(BLANK)}) AS p FROM forms) CROSS JOIN range(1, {run + 1}) AS k(r)
+    WHERE len(p) > r)
   UNION ALL
   SELECT n, 'line', unnest(p) FROM (SELECT n, string_split(form, chr(10)) AS p FROM forms) WHERE len(p) > 1),
 units AS (SELECT n, kind, sha256({flat}) AS digest FROM parts WHERE {flat} <> ''),

@@ -12,7 +12,8 @@ Aligned lines that follow each other on both sides are a block, and blocks of at
 Defined cases: lines are compared without the white space around them, and empty lines are never
 shared, counted or deleted; a null text stays null and has no lines; repeated rows (same id and
 text) are one document and are treated alike; of documents with equal ids the row key decides which
-is earlier; an empty table gives no rows; other columns are carried along.
+is earlier; an empty table gives no rows; other columns are carried along, but for those named ``lines``
+and ``removed_lines``, which are replaced.
 """
 
 from __future__ import annotations
@@ -178,5 +179,6 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     found = keyed.join(gone, KEY, "left").select(
         "_row", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_gone"),
         without(F.col(f"_row.`{text}`"), F.col("removed")).alias("_new"))
-    return found.select(*[F.col("_new.text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns],
+    kept = [c for c in docs.columns if c not in ("lines", "removed_lines")]
+    return found.select(*[F.col("_new.text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in kept],
                         F.col("_new.lines").alias("lines"), F.col("_gone").alias("removed_lines"))

@@ -151,14 +151,15 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length:
     """
     spark = pieces.sparkSession
     histogram = {n: c for n, c in pieces.groupBy(length).count().collect()}  # at most capacity rows
-    schema = "slot_length long, first long, after long, count long, sequence long, at long, sequence_tokens long"
+    schema = "_length long, _first long, _after long, _count long, _sequence long, _at long, _used long"
     places = F.broadcast(spark.createDataFrame(slots(plan(histogram, capacity)), schema))
     ranked = running_total(pieces, [length], order, {"_rank": F.lit(1)})
-    number = F.col("_rank") - F.col("first")
-    return ranked.join(places, (F.col(length) == F.col("slot_length")) & (F.col("_rank") >= F.col("first"))
-                       & (F.col("_rank") < F.col("after"))).select(
-        *pieces.columns, (F.col("sequence") + F.pmod(number, F.col("count"))).alias("sequence_id"),
-        (F.col("at") + F.col(length) * F.floor(number / F.col("count"))).alias("offset"), "sequence_tokens")
+    number = F.col("_rank") - F.col("_first")
+    return ranked.join(places, (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_first"))
+                       & (F.col("_rank") < F.col("_after"))).select(
+        *pieces.columns, (F.col("_sequence") + F.pmod(number, F.col("_count"))).alias("sequence_id"),
+        (F.col("_at") + F.col(length) * F.floor(number / F.col("_count"))).alias("offset"),
+        F.col("_used").alias("sequence_tokens"))
 
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY,

@@ -1,0 +1,423 @@
+"""Document operators on small tables with nulls, empty and long texts, ties and repeated rows, against brute force."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from salesframe.llm import (
+    exact_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, id long, row string, kept boolean, lines int, start int"
+WORDS = "the of and lorem ipsum dolor sit amet haus baum über straße maison été niño año".split()
+
+
+def table(rows):
+    return [(i, t, lang, s, 7, "x", True, 3, 1) for i, t, lang, s in rows]
+
+
+def odd_rows():
+    rng = random.Random(5)
+    body = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    long = "\n".join(body(40) for _ in range(400))
+    rows = [(1, None, None, None), (2, "", "en", "b"), (3, " \n\t", None, "a"), (4, "Word", "en", None),
+            (5, "a\tb  c", "en", "a"), (6, "a b c", "de", "a"), (None, "abc", None, "b"), (7, "abc", "en", "b"),
+            (7, "abc", "en", "b"), (8, long, "de", "a"), (9, long + " end", "de", "b"), (10, "éa 漢字 🙂", "fr", "ü"),
+            (None, None, None, None), (11, body(300), "en", "a"), (11, body(30), "en", "a"), (12, "...!!! 123", "en", "b")]
+    near = body(200).split()
+    for i in range(20, 30):
+        near[i] = "changed"
+        rows.append((i, " ".join(near), "en", "b"))
+    return rows + [(i, body(rng.randrange(1, 60)), rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(40, 80)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(table(odd_rows()), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def roots(n, linked):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, j in linked:
+        a, b = find(i), find(j)
+        up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def smallest(ids):
+    known = [i for i in ids if i is not None]
+    return min(known) if known else None
+
+
+# --- exact duplicates --------------------------------------------------------
+
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_exact_groups(docs, fan_in):
+    got = exact_dedup.exact_groups(docs, fan_in=fan_in).collect()
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = {}
+    for i, t, *_ in odd_rows():
+        groups.setdefault(hashlib.sha256(bare(t).encode()).hexdigest(), []).append((-len(t or ""), i is None, i or 0, i))
+    want = sorted((repr(i), repr(min(g)[3]), len(g), sha) for sha, g in groups.items() for *_, i in g)
+    assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size, r.text_sha256) for r in got) == want
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_exact_dedup_keeps_one_row_each(docs, nothing):
+    left = exact_dedup.exact_dedup(docs)
+    assert left.columns == docs.columns
+    texts = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in left.collect()]
+    assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in odd_rows()})
+    assert exact_dedup.exact_dedup(nothing).count() == exact_dedup.exact_groups(nothing).count() == 0
+
+
+# --- fingerprints ------------------------------------------------------------
+
+def brute_fingerprint(text):
+    w = [x.encode() for x in words(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))]
+    if not w:
+        return 0
+    grams = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_against_all_pairs(docs, nothing):
+    rows = odd_rows()
+    prints = [brute_fingerprint(t) for _, t, *_ in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    root = roots(len(rows), linked)
+    least = {r: smallest([rows[i][0] for i in range(len(rows)) if root[i] == r]) for r in set(root)}
+    want = sorted((repr(rows[i][0]), f"{prints[i]:016x}", repr(least[root[i]])) for i in range(len(rows)))
+    groups = simhash.simhash_groups(docs).select("doc_id", simhash.hex_digits().alias("h"), "component_id").collect()
+    assert sorted((repr(r.doc_id), r.h, repr(r.component_id)) for r in groups) == want
+    left = simhash.simhash_dedup(docs)
+    assert left.columns == docs.columns and left.count() == len(set(root))
+    assert simhash.simhash_groups(nothing).count() == simhash.simhash_dedup(nothing).count() == 0
+
+
+def test_no_link_is_lost(spark):
+    """Fingerprints a few flips apart, around common centres and alone, linked as all pairs link."""
+    rng = random.Random(1)
+    points = set()
+    for _ in range(60):
+        centre = rng.getrandbits(64)
+        for _ in range(12):
+            x = centre
+            for b in rng.sample(range(64), rng.randrange(0, 6)):
+                x ^= 1 << b
+            points.add(x)
+    points = sorted(points)
+    linked = [(i, j) for i in range(len(points)) for j in range(i) if (points[i] ^ points[j]).bit_count() <= 3]
+    signed = [x - (1 << 64) if x >> 63 else x for x in points]
+    edges = simhash.near_links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
+    at = {x: i for i, x in enumerate(signed)}
+    pairs = [(at[e.a], at[e.b]) for e in edges]
+    assert roots(len(points), pairs) == roots(len(points), linked)
+    # a dense group leaves its task as a forest
+    dense = np.unique(np.array([1 << b | 1 << c for b in range(30) for c in range(30)], np.uint64))
+    child, _ = simhash.forest(dense)
+    assert len(child) < len(dense)
+
+
+def test_anchors_cover():
+    halves = np.random.default_rng(3).integers(0, 1 << 32, 200, np.uint32)
+    rows, found = simhash.anchors(halves)
+    assert (np.bitwise_count(halves[rows] ^ found) <= 2).all()
+    for i in range(len(halves)):
+        own = set(found[rows == i].tolist())
+        assert len(own) in (2, 17)
+        for b in range(32):
+            other = halves[i:i + 1] ^ np.uint32(1 << b)
+            assert own & set(simhash.anchors(other)[1].tolist())
+
+
+# --- packing -----------------------------------------------------------------
+
+def test_plan_places_every_length_once():
+    rng = random.Random(2)
+    histogram = {rng.randrange(1, 65): rng.randrange(1, 200) for _ in range(50)} | {64: 9}
+    patterns = packing.plan(histogram, 64)
+    placed = {}
+    for count, lengths in patterns:
+        assert sum(lengths) <= 64
+        for x in lengths:
+            placed[x] = placed.get(x, 0) + count
+    assert placed == histogram and len(patterns) <= 2 * len(histogram)
+    assert packing.plan({}) == [] and packing.slots([]) == []
+    with pytest.raises(ValueError):
+        packing.plan({65: 1}, 64)
+
+
+def test_pack_documents(docs, nothing):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    own = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    want = {}
+    for i, t, *_ in odd_rows():
+        want.setdefault(i, []).append(own.encode(t or "", add_special_tokens=False).ids + [1])
+    packed = packing.pack_documents(docs, capacity=256).collect()
+    got = {}
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert len(ids) == r.length and r.start % 256 == 0
+        got.setdefault(r.doc_id, []).append((r.start, ids))
+    for i, texts in want.items():
+        pieces = sorted((s, x[s:s + 256]) for x in texts for s in range(0, len(x), 256))
+        assert sorted(got[i]) == pieces
+    sequences = {}
+    for r in packed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.sequence_tokens))
+    for places in sequences.values():
+        at = 0
+        for offset, length, used in sorted(places):
+            assert offset == at and used == sum(x[1] for x in places)
+            at += length
+        assert at <= 256
+    assert sorted(sequences) == list(range(len(sequences)))
+    assert packing.pack_documents(nothing).count() == 0
+
+
+def test_encoder_agrees_with_the_file_s_library():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    own, fast = Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.encoder()
+    rng = random.Random(4)
+    texts = ["x<|endoftext|>y", "a" * 5000, " \n\n  tabs\t\r\n", "don't  WE'LL 12345 ³½ ٣", "  \u0085 \x1c\x1d ​"]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x30000)]))
+                      for _ in range(80)) for _ in range(300)]
+    for t in texts:
+        assert fast(t) == own.encode(t, add_special_tokens=False).ids
+
+
+# --- mixing ------------------------------------------------------------------
+
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    target, left, open_ = {}, float(sum(sizes.values())), set(names)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > 3 * sizes[s]]
+        if not full:
+            return target | {s: share * weight[s] for s in open_}
+        for s in full:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            open_.discard(s)
+    return target
+
+
+def test_mix(docs, nothing):
+    got = mixing.mix(docs, block=8, shard=64).collect()
+    rows = odd_rows()
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    targets = brute_targets(sizes)
+    assert sorted((repr(r.doc_id), r.size) for r in got) == sorted((repr(i), len(words(t))) for i, t, *_ in rows)
+    assert {(r.source_size, round(r.target, 6)) for r in got} == {(n, round(targets[s], 6)) for s, n in sizes.items()}
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    taken = {}
+    for r in got:
+        taken[round(r.target, 6), r.source_size] = taken.get((round(r.target, 6), r.source_size), 0) + r.taken
+    for (target, _), n in taken.items():
+        assert abs(n - target) <= 16
+    again = mixing.mix(docs, block=8, shard=64).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    assert mixing.mix(nothing).count() == mixing.mix_documents(nothing).count() == 0
+
+
+def test_mix_documents_hold_what_mix_takes(docs):
+    taken = {}
+    for r in mixing.mix(docs, block=8, shard=64).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    mixed = mixing.mix_documents(docs, block=8, shard=64)
+    assert mixed.columns == docs.columns
+    texts = {}
+    for i, t, *_ in odd_rows():
+        texts.setdefault(i, []).append(t)
+    found = {}
+    for r in mixed.collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + len(words(r.text))
+        assert any(set(words(r.text)) <= set(words(t)) for t in texts[r.doc_id])
+        assert r.text in texts[r.doc_id] or len(words(r.text)) < max(len(words(t)) for t in texts[r.doc_id])
+    assert found == {i: n for i, n in taken.items() if n}
+
+
+def test_permutations(spark):
+    for size in (1, 2, 7, 64, 1000):
+        got = [r.p for r in spark.range(size).selectExpr(
+            f"named_struct('place', id, 'size', {size}L, 'seed', 9L) AS s").selectExpr(f"{mixing.permuted()} AS p").collect()]
+        assert sorted(got) == list(range(size))
+    assert got != list(range(1000)) and abs(np.corrcoef(got, range(1000))[0, 1]) < 0.15
+
+
+# --- classifiers -------------------------------------------------------------
+
+def test_langid(spark, docs, nothing):
+    rng = random.Random(6)
+    letters = {"aa": "abcde", "bb": "klmno", "cc": "uvwxy"}
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 50)))
+    rows = [(i, text(k), k, "s") for i in range(240) for k in [rng.choice("abc") * 2]]
+    rows += [(500, None, "aa", "s"), (501, "123 !", "bb", "s"), (502, text("aa"), None, "s"), (None, text("bb"), "bb", "s")]
+    frame = spark.createDataFrame(table(rows), SCHEMA)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    model = langid.fit(frame.where("doc_id IS NULL OR crc32(cast(doc_id AS string)) % 4 <> 2"), sample=90)
+    out = frame.select("doc_id", "lang", langid.predict(model).alias("p")).collect()
+    assert all(r.p.lang == r.lang for r in out if held(r.doc_id) and r.doc_id < 500)
+    by = {r.doc_id: r.p for r in out}
+    assert by[500].lang == by[501].lang == "und" and by[500].score == 0 and by[502].lang == "aa" and by[None].lang == "bb"
+    assert all(0 <= r.p.score <= 1 for r in out)
+    empty = langid.fit(nothing)
+    assert {r.p.lang for r in docs.select(langid.predict(empty).alias("p")).collect()} == {"und"}
+    assert nothing.select(langid.predict(model).alias("p")).count() == 0
+
+
+def test_kernel_is_the_blended_spectrum():
+    a, b = langid.presence("ab ab"), langid.presence("AB c")
+    grams = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    x, y = grams(" ab ab "), grams(" ab c ")
+    assert a.sum() == len(x) and b.sum() == len(y)
+    assert langid.kernel(a[None], b[None])[0, 0] == pytest.approx(len(x & y) / (len(x) * len(y)) ** 0.5)
+    assert langid.presence("12 ?") is None and langid.presence(None) is None
+
+
+def test_quality(spark, docs, nothing):
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(20, 200))) + "."
+    bad = lambda: " ".join(rng.choice(WORDS).upper() + rng.choice(["!!", "$$$", "|"]) for _ in range(rng.randrange(20, 200)))
+    rows = [(i, good() if i % 3 else bad(), None, "s") for i in range(300)] + [(900, None, None, None), (None, good(), None, None)]
+    frame = spark.createDataFrame(table(rows), SCHEMA)
+    labels = spark.createDataFrame(
+        [(i, int(i % 3 > 0)) for i in range(0, 200)] + [(3, 0), (5, 0), (5, 1), (7, None), (None, 1), (999, 1), (None, None)],
+        "doc_id long, quality int")
+    stats = quality.document_statistics(frame)
+    model = quality.fit(stats, labels)
+    out = {r.id: r.score for r in stats.select("id", quality.score_statistics(model).alias("score")).collect()}
+    assert all((out[i] >= quality.THRESHOLD) == (i % 3 > 0) for i in range(200, 300))
+    assert 0 <= out[900] <= 1 and out[None] > 0.5
+    # the same densities, worked out directly
+    x = np.array([quality.statistics(t) for i, t, *_ in rows if i is not None and i < 200 and i not in (5, 7)])
+    y = np.array([int(i % 3 > 0) for i in range(200) if i not in (5, 7)])
+    scale = np.sqrt(np.diag(sum((x[y == k] - x[y == k].mean(0)).T @ (x[y == k] - x[y == k].mean(0)) for k in (0, 1))) / (len(x) - 2))
+    scale[scale < 1e-5] = 1
+    z = (x - (x[y == 0].mean(0) + x[y == 1].mean(0)) / 2) / scale
+    pooled = sum((z[y == k] - z[y == k].mean(0)).T @ (z[y == k] - z[y == k].mean(0)) for k in (0, 1)) / (len(x) - 2)
+    d = quality.TOWARD_DIAGONAL
+    pooled = (1 - d) * pooled + d * np.diag(np.clip(np.diag(pooled), 0.01, None)) + 1e-6 * np.eye(len(pooled))
+    logs = []
+    for k in (0, 1):
+        own = np.cov(z[y == k].T) * (1 - quality.TOWARD_POOLED) + quality.TOWARD_POOLED * pooled
+        gap = z - z[y == k].mean(0)
+        logs.append(np.log((y == k).sum()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * (gap @ np.linalg.inv(own) * gap).sum(1))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -30, 30)))
+    assert np.allclose(want, [out[i] for i in range(200) if i not in (5, 7)], atol=1e-6)
+    left = quality.keep_good(docs, labels.where("false"))
+    assert left.columns == docs.columns and left.count() == docs.count()
+    assert quality.keep_good(nothing, labels).count() == 0
+    assert quality.keep_good(docs, labels.where("quality = 1")).count() == docs.count()
+
+
+# --- licences, lines, secrets ------------------------------------------------
+
+def test_licenses(spark, docs, nothing):
+    mit = dict(license_scan.KNOWN)["MIT"]
+    text = license_scan.KNOWN[0][1]
+    rows = [(1, "Copyright (c) 2020 Some One\n" + text.upper().replace("SUBLICENSE", "sub-licence"), None, None),
+            (2, "words before\n\n" + text + "\n\nwords after", None, None),
+            (3, "Some text.\n  licensed under the APACHE Licence, version 2.0", None, None), (4, None, None, None),
+            (5, "(c) You must keep the MIT License.", None, None), (6, "", None, None),
+            (7, "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.\nReleased under the MIT License", None, None)]
+    frame = spark.createDataFrame(table(rows), SCHEMA)
+    got = {r.doc_id: r for r in license_scan.license_scan(frame).collect()}
+    assert got[1].text_license == got[1].licenses == "MIT" and mit
+    assert got[2].text_license is None and got[2].licenses == "MIT"
+    assert got[3].licenses == "Apache-2.0" and got[3].notices == 1
+    assert got[4].text_digest is None and got[6].text_digest is None and got[5].licenses == ""
+    assert got[7].licenses == "CC-BY-4.0,MIT" and got[7].notices == 3
+    assert license_scan.license_scan(nothing).count() == 0 and license_scan.license_scan(docs).count() == docs.count()
+    own = spark.createDataFrame([("X", "word!"), ("W", "WORD"), ("none", None)], "license string, text string")
+    found = {r.doc_id: r.licenses for r in license_scan.license_scan(docs, own).collect() if r.licenses}
+    assert found == {4: "W"}
+
+
+def test_line_dedup(spark, docs, nothing):
+    block = ["one shared line of six words", "short line", "another shared line with many words"]
+    rows = [(5, "own start of five here\n" + "\n".join(block) + "\nowner end", None, None),
+            (7, "\n".join(["later start", "", *block, "later end"]), None, None),
+            (8, "short line\nmore", None, None), (9, "short line\n" + block[2] + "\n" + block[0], None, None),
+            (None, block[0], None, None), (5, None, None, None), (11, "twice here in this text\ntwice here in this text", None, None),
+            (12, "x\ntwice here in this text", None, None)]
+    frame = spark.createDataFrame(table(rows), SCHEMA)
+    out = line_dedup.line_dedup(frame)
+    assert out.columns == [c for c in docs.columns if c != "lines"] + ["lines", "removed_lines"]
+    got = {(r.doc_id, r.lines): (r.text, r.removed_lines) for r in out.collect()}
+    assert got[5, 5] == (rows[0][1], 0) and got[5, 0] == (None, 0)
+    assert got[7, 5] == ("later start\n\nlater end", 3)
+    assert got[8, 2] == ("short line\nmore", 0)  # a block of two words
+    assert got[9, 3][1] == 2  # the longest common order keeps its first line's block
+    assert got[None, 1] == ("", 1)
+    assert got[11, 2][1] == 0 and got[12, 2] == ("x", 1)
+    assert line_dedup.line_dedup(nothing).count() == 0
+    assert line_dedup.line_dedup(docs).count() == docs.count()
+
+
+def test_patience_aligns_in_a_common_order():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = {i: rng.randrange(8) for i in range(12) if rng.random() < 0.8}
+        b = {i: rng.randrange(8) for i in range(12) if rng.random() < 0.8}
+        pairs = line_dedup.patience(a, b)
+        assert all(a[p] == b[q] for p, q in pairs)
+        assert all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:]))
+        once = [x for x in set(a.values()) & set(b.values()) if [*a.values()].count(x) == [*b.values()].count(x) == 1]
+        assert not once or pairs
+    same = {i: i % 3 for i in range(9)}
+    assert line_dedup.patience(same, same) == [(i, i) for i in range(9)]
+
+
+def test_secret_scan(spark, docs, nothing):
+    rng = random.Random(10)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(120):
+        kind = i % 4
+        body = [f'password={hexa(18)}', f'token = "{hexa(40)}"', f"see page{rng.randrange(10**6)}-of-the-manual-{i}",
+                f"card {rng.randrange(10**15, 10**16)} here"][kind]
+        rows.append((i, f"some words before {body} some words after", None, "conf/app.env" if kind < 2 else "docs/a.md"))
+    rows += [(500, None, None, None), (501, "", None, "x"), (None, f"password={hexa(18)}", None, None)]
+    frame = spark.createDataFrame(table(rows), SCHEMA)
+    got = secret_scan.secret_scan(frame, learn_from=__import__("pyspark.sql.functions", fromlist=["x"]).expr("id % 5 <> 0"))
+    out = {r.doc_id: r for r in got.collect()}
+    assert set(out) == set(range(120)) | {None} and out[None].secret
+    assert all(out[i].secret == (i % 4 < 2) for i in range(0, 120, 5))
+    assert out[0].candidate == rows[0][1].split("=")[1].split()[0] and out[0].word == 3
+    given = spark.createDataFrame([(i, out[i].candidate, int(i % 4 == 3)) for i in range(100)] + [(101, None, None)],
+                                  "id long, candidate string, label int")
+    again = {r.doc_id: r.secret for r in secret_scan.secret_scan(frame, given).collect()}
+    assert all(again[i] == (i % 4 == 3) for i in range(100, 120))
+    one = {r.score for r in secret_scan.secret_scan(frame, given.where("label = 0")).collect()}
+    assert len(one) == 1 and 0 < one.pop() < 0.5
+    assert secret_scan.secret_scan(nothing).count() == 0
+    assert secret_scan.secret_scan(docs).count() == 0
