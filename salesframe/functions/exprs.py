@@ -50,11 +50,23 @@ def per_series(keys: Sequence[str], *order: Column | str) -> WindowSpec:
     return spec.orderBy(*order) if order else spec
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN counts as missing everywhere: floating columns hold NULL in its place."""
+    floats = [f"`{n}`" for n, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c.strip("`"): F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are all present; unknown groups are not series."""
+    """Rows whose keys are all present, NaN as NULL; unknown groups are not series."""
     for key in keys:
         df = df.filter(F.col(key).isNotNull())
-    return df
+    return nan_to_null(df)
+
+
+def row_digest(df: DataFrame) -> Column:
+    """256 bits that tell rows apart by all their columns; rows with the same digest are copies."""
+    return F.sha2(F.to_json(F.struct(*[
+        F.struct(F.col(f"`{c}`").isNull().alias("n"), F.col(f"`{c}`").alias("v")) for c in df.columns])), 256)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,72 +1,61 @@
-"""Exact quantiles that never hold a whole group in one task.
+"""Exact quantiles and modes that never hold a group in one task.
 
-The built-in exact percentile keeps every distinct value of a group in one
-buffer. Here a bounded sketch first brackets each wanted rank, values are
-clamped to that bracket (which keeps every order statistic inside it) and
-counted before the shuffle, and only the few distinct values left in the bracket
-reach the exact aggregate.
+Equal values are counted before the shuffle. The counted values are dealt out by
+ranges of (key, value), so a key of any size is spread over many tasks; the number
+of rows before each range comes from one small row per key and range. A quantile
+is then read from the two values whose ranks enclose it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exprs import attach
-
-SKETCH_ACCURACY = 100_000
+from ..session import settle
 
 
 def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float],
-                    keys: Sequence[str] = (), count_as: str | None = None,
-                    small_group: int = SKETCH_ACCURACY,
-                    accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+                    keys: Sequence[str] = (), count_as: str | None = None) -> DataFrame:
     """One row per key with a column per wanted quantile, linearly interpolated.
 
-    Groups of at most ``small_group`` rows need no bracket: their values fit any
-    buffer. ``count_as`` names a column for the number of known values.
+    ``count_as`` names a column for the number of known values; NaN is missing.
+    The counted values are written once, so a job runs while the plan is built.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(wanted)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    names = list(wanted)
-    margin = 4.0 / accuracy
-    ends = [min(max(wanted[n] + side * margin, 0.0), 1.0) for n in names for side in (-1, 1)]
-    bracket = (
-        rows.groupBy(*keys)
-        .agg(
-            F.count("_v").alias("_n"),
-            F.percentile_approx("_v", [float(e) for e in ends], accuracy).alias("_ends"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-        )
-        .select(*keys, *[
-            F.when(F.col("_n") <= small_group, F.col("_max" if side else "_min"))
-            .otherwise(F.col("_ends")[2 * i + side]).alias(f"_b{i}_{side}")
-            for i in range(len(names)) for side in (0, 1)
-        ])
-    )
-    boxed = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("q"),
-            F.least(F.greatest(F.col("_v"), F.col(f"_b{i}_0")), F.col(f"_b{i}_1")).alias("v"),
-        )
-        for i in range(len(names))
-    ]))
-    counted = (
-        attach(rows, bracket, keys).select(*keys, boxed.alias("_box"))
-        .groupBy(*keys, F.col("_box.q").alias("_q"), F.col("_box.v").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    return counted.groupBy(*keys).agg(*[
-        F.percentile(
-            F.when(F.col("_q") == i, F.col("_v")), F.lit(float(wanted[n])), F.col("_c")
-        ).alias(n)
-        for i, n in enumerate(names)
-    ], *([F.sum(F.when(F.col("_q") == 0, F.col("_c"))).alias(count_as)] if count_as else []))
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = settle(
+        counted.repartitionByRange(spread, *keys, "_v").withColumn("_part", F.spark_partition_id()), "counted")
+    parts = counted.groupBy(*keys, "_part").agg(F.sum("_c").alias("_sum"))
+    along = Window.partitionBy(*(keys or [F.lit(1)]))
+    parts = parts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), F.sum("_sum").over(along).alias("_n"),
+        F.coalesce(F.sum("_sum").over(along.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_base"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(parts, same).withColumn(
+        "_from", F.col("_base") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+
+    def at(rank):
+        holds = (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c"))
+        return F.max(F.when(holds, F.col("_v")))
+
+    places = [(n, (F.col("_n") - 1) * F.lit(float(wanted[n]))) for n in names]
+    ends = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *[
+        e for i, (_, h) in enumerate(places)
+        for e in (at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"))])
+    read = [
+        F.when(F.floor(h) == F.ceil(h), F.col(f"_lo{i}"))
+        .otherwise((F.ceil(h) - h) * F.col(f"_lo{i}") + (h - F.floor(h)) * F.col(f"_hi{i}")).alias(n)
+        for i, (n, h) in enumerate(places)]
+    return ends.select(*keys, *read, *([F.col("_n").alias(count_as)] if count_as else []))
 
 
 def most_common(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

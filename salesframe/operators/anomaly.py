@@ -11,6 +11,7 @@ from ..functions import arrays as A
 from ..functions.exprs import attach, known_keys, per_series
 from ..functions.labels import severity
 from ..functions.quantiles import exact_quantiles
+from ..session import settle
 from .ordered import over_rows
 
 
@@ -35,11 +36,17 @@ def _centre(df: DataFrame, value_col: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _small(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics by key, written first: the join with raw rows is then planned by their real size,
+    and small ones move no raw row."""
+    return settle(stats, "stats") if keys else stats
+
+
 def iqr_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] = ()) -> DataFrame:
     """Rows outside the 1.5 IQR fences, all columns kept."""
     v = F.col(value_col)
     return (
-        attach(known_keys(df, keys), _fences(df, value_col, keys), keys)
+        attach(known_keys(df, keys), _small(_fences(df, value_col, keys), keys), keys)
         .filter((v < F.col("_low")) | (v > F.col("_high")))
         .withColumns({"outlier_score": _fence_score(v), "outlier_method": F.lit("iqr")})
         .drop("_n", "_iqr", "_low", "_high")
@@ -51,7 +58,8 @@ def zscore_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str]
     """Rows more than ``threshold`` sample deviations from the mean, all columns kept."""
     z = F.abs(F.try_divide(F.col(value_col) - F.col("_mean"), F.col("_std")))
     return (
-        attach(known_keys(df, keys), _centre(df, value_col, keys), keys).filter(z > threshold)
+        attach(known_keys(df, keys), _small(_centre(known_keys(df, keys), value_col, keys), keys), keys)
+        .filter(z > threshold)
         .withColumns({"outlier_score": F.round(z, 2), "outlier_method": F.lit("zscore")})
         .drop("_mean", "_std", "_n")
     )
@@ -66,15 +74,6 @@ def detect_outliers(df: DataFrame, value_col: str = "Sales", method: str = "iqr"
     raise ValueError("unknown outlier method, use 'iqr' or 'zscore'")
 
 
-def rolling_can_fire(window: int, threshold: float, include_current: bool = True) -> bool:
-    """Whether a window that holds the point itself can exceed ``threshold`` at all.
-
-    Among n values none lies more than (n - 1) / sqrt(n) sample deviations from
-    their mean.
-    """
-    return not include_current or (window - 1) / window ** 0.5 > threshold
-
-
 def _rolling(df, order, keys, value_col, threshold, window, include_current, by_period):
     last = 0 if include_current else -1
     first = last - window + 1
@@ -110,13 +109,13 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2
     shown = [*keys, *tiebreak, F.col(date_col).alias("Date"), v.alias("Sales")]
     if method == "iqr":
         score = _fence_score(v)
-        out = attach(df, _fences(df, value_col, keys), keys).filter(
+        out = attach(df, _small(_fences(df, value_col, keys), keys), keys).filter(
             ((v < F.col("_low")) | (v > F.col("_high"))) & (F.col("_n") >= 3))
         return out.select(*shown, score.alias("anomaly_score"),
                           severity(score, 2, 3).alias("severity"), F.lit("iqr").alias("method"))
     if method == "zscore":
         z = F.abs(F.try_divide(v - F.col("_mean"), F.col("_std")))
-        out = attach(df, _centre(df, value_col, keys), keys).filter((z > threshold) & (F.col("_n") >= 3))
+        out = attach(df, _small(_centre(df, value_col, keys), keys), keys).filter((z > threshold) & (F.col("_n") >= 3))
     elif method == "rolling_deviation":
         out = _rolling(df, [date_col, *tiebreak], keys, value_col, threshold, window, include_current, by_period)
         z = F.col("_z")
@@ -129,8 +128,6 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2
 
 def rolling_count(y: str, threshold: float = 2.5, window: int = 6) -> Column:
     """Number of rolling anomalies in the series array of column ``y``."""
-    if not rolling_can_fire(window, threshold):
-        return F.lit(0).cast("long")
     near = f"slice({y}, greatest(i - {window} + 2, 1), least(i + 1, {window}))"
     score = f"abs(try_divide(v - {A.mean(near)}, {A.std_samp(near)}))"
     scores = f"transform({y}, (v, i) -> CASE WHEN i >= 2 THEN {score} END)"

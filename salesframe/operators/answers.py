@@ -32,9 +32,22 @@ def _rows(df: DataFrame, route: str, subject: Column, metric: Column, value: Col
                      metric.alias("metric"), value.cast("double").alias("value"))
 
 
+# Names of a product column, and words in such names, by preference.
+PRODUCT_COLUMNS = ["Product", "Product Name", "Item", "Item Name", "SKU", "Category"]
+PRODUCT_WORDS = ["product", "item", "sku", "category", "brand"]
+
+
+def product_dimension(df: DataFrame) -> str | None:
+    """The column that product questions are about: by name, else by a word in the name."""
+    names = {c.lower(): c for c in df.columns}
+    known = [names[p.lower()] for p in PRODUCT_COLUMNS if p.lower() in names]
+    return next(iter(known + [c for c in df.columns if any(w in c.lower() for w in PRODUCT_WORDS)]), None)
+
+
 def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: float = 20.0) -> DataFrame:
     """Every result but forecasts, as (route, subject, metric, value)."""
     c = F.col
+    product_dim = product_dim or product_dimension(df)
     month = lambda name: F.date_format(name, "yyyy-MM")
     dims = [d for d in ("Category", "Region") if d in df.columns]
     facts = business_facts(df, (), dims)
@@ -89,7 +102,7 @@ def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: floa
 def scoped_forecasts(df: DataFrame, questions: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Best-model forecasts of the whole table and of every dimension value, per asked horizon.
 
-    There are at most 60 horizons, so each series is cut to no more than 60 paths.
+    Horizons are bounded by the longest one that ``classify`` lets through.
     """
     scope = F.array(
         F.struct(F.lit("").alias("scope_dim"), F.lit("").alias("scope_value")),
@@ -102,20 +115,39 @@ def scoped_forecasts(df: DataFrame, questions: DataFrame, dims: Sequence[str]) -
     return chosen_rows(picked, [*keys, "horizon"])
 
 
-def answers(questions: DataFrame, facts: DataFrame, forecasts: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Routed questions with their results: (ids, route, subject, metric, value).
+ASK = ["route", "scope_dim", "scope_value", "horizon"]
+
+
+def asks(questions: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Which result each routed question asks for: ids and the columns of ``ASK``.
+
+    Only what tells results apart is kept: no horizon where nothing is forecast.
+    """
+    ahead = F.col("route").startswith("forecast")
+    return questions.select(*ids, "route", F.coalesce("scope_dim", F.lit("")).alias("scope_dim"),
+                            F.when(F.col("route") != "forecast", F.lower("scope_value")).alias("scope_value"),
+                            F.when(ahead, F.col("horizon")).alias("horizon"))
+
+
+def answers(asked: DataFrame, facts: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """One result for each distinct ask: (``ASK``, questions, subject, metric, value).
 
-    Results are few rows per route; adaptive execution may broadcast them by their
-    real size, or split a crowded route.
+    However many questions ask for the same, their result is there once; they find it by
+    their ask. An ask without a result has one row with the metric ``no_result``.
     """
-    cols = [*ids, "route", "subject", "metric", "value"]
-    plain = questions.join(facts, "route").select(*cols)
-    asks = questions.filter(F.col("route").startswith("forecast")).select(
-        *ids, "route", "horizon", F.coalesce("scope_dim", F.lit("")).alias("scope_dim"),
-        F.when(F.col("route") == "forecast", "").otherwise(F.col("scope_value")).alias("_value"))
-    joined = asks.join(forecasts, ["scope_dim", "horizon"]).filter(
-        F.col("_value").isNull() | (F.lower("_value") == F.lower("scope_value")))
-    paths = joined.select(
-        *ids, "route", F.concat_ws(" ", F.date_format("Date", "yyyy-MM"), F.nullif("scope_value", F.lit(""))).alias("subject"),
+    kinds = asked.groupBy(*ASK).agg(F.count(F.lit(1)).alias("questions"))
+    ahead = F.col("route").startswith("forecast")
+    none = F.lit("no_result")
+    plain = kinds.filter(~ahead).join(facts, "route", "left").select(
+        *ASK, "questions", "subject", F.coalesce("metric", none).alias("metric"), "value")
+    paths = forecasts.select(
+        "scope_dim", F.lower("scope_value").alias("scope_value"), "horizon",
+        F.concat_ws(" ", F.date_format("Date", "yyyy-MM"), F.nullif("scope_value", F.lit(""))).alias("subject"),
         F.col("model_key").alias("metric"), F.col("Forecast").alias("value"))
-    return plain.unionByName(paths)
+    # one value or the whole table: an equi-join by the value; all values of a dimension: without it
+    one, every = kinds.filter(ahead & (F.col("route") != "forecast_groups")), kinds.filter("route = 'forecast_groups'")
+    scoped = one.withColumn("_value", F.coalesce("scope_value", F.lit(""))).join(
+        paths.withColumnRenamed("scope_value", "_value"), ["scope_dim", "_value", "horizon"], "left")
+    grouped = every.join(paths.drop("scope_value"), ["scope_dim", "horizon"], "left")
+    shown = lambda df: df.select(*ASK, "questions", "subject", F.coalesce("metric", none).alias("metric"), "value")
+    return plain.unionByName(shown(scoped)).unionByName(shown(grouped))

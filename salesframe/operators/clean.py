@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..functions.exprs import attach, staged
+from ..functions.exprs import attach, nan_to_null, row_digest, staged
 from ..functions.quantiles import exact_quantiles, most_common
 from ..functions.text import amount, repair_text, text_columns
 from ..session import settle
@@ -108,6 +108,7 @@ def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     columns = list(columns if columns is not None else numeric_columns(df))
     if not columns:
         return df
+    df = nan_to_null(df)
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
     ])).alias("_p")).select(F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v"))
@@ -121,10 +122,18 @@ def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text gaps take the most common value, else ``Unknown``."""
+    """Text gaps take the most common value, else ``Unknown``; one pass over (column, value) pairs."""
     columns = list(columns if columns is not None else text_columns(df))
-    modes = {c: most_common(df, c).scalar() for c in columns}
-    return df.withColumns({c: F.coalesce(F.col(c), m, F.lit("Unknown")) for c, m in modes.items()})
+    if not columns:
+        return df
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)
+    ])).alias("_p")).select(F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v"))
+    modes = most_common(pairs, "_v", ["_i"]).agg(*[
+        F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"_m{i}") for i in range(len(columns))])
+    return attach(df, modes, ()).withColumns({
+        c: F.coalesce(F.col(c), F.col(f"_m{i}"), F.lit("Unknown")) for i, c in enumerate(columns)
+    }).drop(*[f"_m{i}" for i in range(len(columns))])
 
 
 def clip_negative(df: DataFrame, value_col: str) -> DataFrame:
@@ -143,7 +152,7 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
     ``tiebreak`` names the identifying columns that order rows of one date; lags
     and rolling windows follow it, and it is neither filled nor scaled.
     """
-    df = parse_dates(parse_amounts(df))
+    df = parse_dates(parse_amounts(nan_to_null(df)))
     date_col, value_col = date_col or date_column(df), value_col or target_column(df)
     # Medians, modes and row numbers each pass over the table: write it once.
     df = settle(drop_missing(drop_duplicates(df), [c for c in (date_col, value_col) if c]), "clean")
@@ -163,7 +172,7 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
 def clean_upload(df: DataFrame, date_col: str, value_col: str,
                  ids: Sequence[str] = ()) -> DataFrame:
     """The shorter order for a table whose dates and amounts are already typed."""
-    df = settle(drop_missing(drop_duplicates(df), [date_col, value_col]), "clean")
+    df = settle(drop_missing(drop_duplicates(nan_to_null(df)), [date_col, value_col]), "clean")
     df = repair_text(fill_mode(fill_median(df, [c for c in numeric_columns(df) if c not in ids])))
     return rename_canonical(clip_negative(df, value_col), date_col, value_col)
 
@@ -172,17 +181,21 @@ def cleaning_steps(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """What cleaning a typed table changes: one row per step with count and level."""
     from .anomaly import iqr_outliers
 
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = F.col(f"`{date_col}`").isNotNull() & F.col(f"`{value_col}`").isNotNull()
-    empty = lambda names: sum(
-        (F.count_if(kept & F.col(f"`{c}`").isNull()) for c in names), F.lit(0)
-    )
+    df = nan_to_null(df)
+    # Copies are told by a digest, so only digests and a few marks are shuffled, not rows.
+    kept, there = F.col("_kept"), F.col(f"`{date_col}`").isNotNull() & F.col(f"`{value_col}`").isNotNull()
+    gaps = lambda names: sum((F.col(f"`{c}`").isNull().cast("int") for c in names), F.lit(0))
+    numbers, texts = numeric_columns(df), text_columns(df)
+    groups = df.select(
+        row_digest(df).alias("_digest"), there.alias("_kept"), gaps(numbers).alias("_numeric"), gaps(texts).alias("_text"),
+        F.coalesce(F.col(f"`{value_col}`") < 0, F.lit(False)).alias("_below")).groupBy("_digest").agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in ("_kept", "_numeric", "_text", "_below")])
     counts = groups.agg(
         (F.sum("_copies") - F.count(F.lit(1))).alias("duplicates_removed"),
         F.count_if(~kept).alias("rows_dropped"),
-        empty([c for c in numeric_columns(df)]).alias("numeric_filled"),
-        empty(text_columns(df)).alias("text_filled"),
-        F.count_if(kept & (F.col(f"`{value_col}`") < 0)).alias("negatives_clipped"),
+        F.coalesce(F.sum(F.when(kept, F.col("_numeric"))), F.lit(0)).alias("numeric_filled"),
+        F.coalesce(F.sum(F.when(kept, F.col("_text"))), F.lit(0)).alias("text_filled"),
+        F.count_if(kept & F.col("_below")).alias("negatives_clipped"),
         F.count_if(kept).alias("rows_left"),
     )
     outliers = iqr_outliers(drop_missing(drop_duplicates(df), [date_col, value_col]), value_col)

@@ -22,17 +22,19 @@ def _abs_pct(actual: Column, predicted: Column, tiny_only: bool) -> Column:
 
 
 def metrics(df: DataFrame, keys: Sequence[str] = (), actual: str = "actual", predicted: str = "predicted",
-            tiny_only: bool = False) -> DataFrame:
-    """MAE, RMSE, MAPE and R2 per group; R2 is 0 where the actuals do not vary."""
+            tiny_only: bool = False, more: Sequence[Column] = ()) -> DataFrame:
+    """MAE, RMSE, MAPE and R2 per group, and ``more`` aggregates; R2 is 0 where the actuals do not vary."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     sums = df.groupBy(*keys).agg(
         F.avg(F.abs(a - p)).alias("MAE"), F.avg((a - p) * (a - p)).alias("_mse"),
         F.avg(_abs_pct(a, p, tiny_only)).alias("MAPE"), F.var_pop(a).alias("_var"),
+        *more,
     )
     flat = F.when((F.col("_mse") == 0) & F.lit(tiny_only), 1.0).otherwise(0.0)
     return sums.select(
         *keys, "MAE", F.sqrt("_mse").alias("RMSE"), "MAPE",
         F.when(F.col("_var") > 0, 1 - F.col("_mse") / F.col("_var")).otherwise(flat).alias("R2"),
+        *[c for c in sums.columns if c not in (*keys, "MAE", "MAPE", "_mse", "_var")],
     )
 
 
@@ -108,9 +110,8 @@ def backtest(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = CA
     check_models(models)
     plan = _backtest_plan(series_of(df, keys), F.lit(min_train), horizon, max_splits)
     scored = _scored(plan, keys, models, params)
-    ids = [*keys, "model_key"]
-    splits = scored.groupBy(*ids).agg((F.count(F.lit(1)) / F.max("h")).cast("long").alias("Splits"))
-    out = _round_metrics(metrics(scored, ids)).join(splits, ids)
+    splits = (F.count(F.lit(1)) / F.max("h")).cast("long").alias("Splits")
+    out = _round_metrics(metrics(scored, [*keys, "model_key"], more=[splits]))
     return ranked(out.withColumn("Horizon", F.lit(horizon).cast("long")), keys)
 
 

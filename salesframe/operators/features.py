@@ -10,9 +10,8 @@ from pyspark.sql.types import NumericType
 
 from ..functions import arrays as A
 from ..functions.exprs import attach, clip, per_series, staged
-from .ordered import over_rows
-
-MAX_LEVELS = 10_000
+from ..session import settle
+from .ordered import over_rows, with_position
 
 
 def calendar_features(df: DataFrame, date_col: str = "Date") -> DataFrame:
@@ -126,18 +125,15 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequen
             levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """0/1 columns per text level, the first level dropped.
 
-    The levels become columns, so they must be known: pass ``levels``, or let one
-    job per column look them up.
+    The levels become columns, so they must be few: pass ``levels``, or let one
+    job per column look them up. For columns of many levels see ``one_hot_vectors``.
     """
     if columns is None:
         columns = [n for n, t in df.dtypes if t == "string" and n not in exclude]
     levels = dict(levels or {})
     for c in columns:
         if c not in levels:
-            found = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-            if len(found) > MAX_LEVELS:
-                raise ValueError(f"{c} has more than {MAX_LEVELS} levels; a column per level is not sensible")
-            levels[c] = [r[0] for r in found]
+            levels[c] = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()]
     flags = {
         f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("long")
         for c in columns for v in sorted(levels[c])[1:]
@@ -145,6 +141,29 @@ def one_hot(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequen
     return df.withColumns(flags).drop(*columns)
 
 
+def one_hot_vectors(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """A sparse 0/1 vector column ``<name>_levels`` per text column, for any number of levels.
+
+    Levels are numbered by name, the first has no place of its own, and a missing value is
+    all zeros, as in ``one_hot``. Numbers come from a join with the counted levels.
+    """
+    if columns is None:
+        columns = [n for n, t in df.dtypes if t == "string" and n not in exclude]
+
+    for c in columns:
+        levels = df.select(F.col(c).alias("_v")).filter("_v IS NOT NULL").distinct()
+        levels = settle(with_position(levels, ["_v"], name="_i"), "levels")
+        size = levels.agg(F.greatest(F.max("_i") - 1, F.lit(0)).cast("int").alias("_size"))
+        df = attach(df.join(levels, F.col(c) == F.col("_v"), "left"), size, ())
+        place = F.col("_i") - 2
+        df = df.withColumn(f"{c}_levels", F.struct(
+            F.coalesce("_size", F.lit(0)).alias("size"),
+            F.when(place >= 0, F.array(place.cast("int"))).otherwise(F.expr("CAST(array() AS ARRAY<INT>)")).alias("indices"),
+            F.when(place >= 0, F.array(F.lit(1.0))).otherwise(F.expr("CAST(array() AS ARRAY<DOUBLE>)")).alias("values"),
+        )).drop("_v", "_i", "_size")
+    return df.drop(*columns)
+
+
 def min_max(df: DataFrame, columns: Sequence[str] | None = None,
             exclude: Sequence[str] = ()) -> DataFrame:
     """Scale numeric columns to 0..1; constant columns stay as they are."""

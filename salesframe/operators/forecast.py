@@ -348,8 +348,8 @@ def forecast_with_best_model(df: DataFrame, horizon: int = 6, keys: Sequence[str
 
 
 def forecast_groups(df: DataFrame, group_cols: Sequence[str], horizon: int = 6,
-                    max_groups: int | None = 8, fewest_months: int = 3, z: float = Z_95) -> DataFrame:
-    """Best-model forecasts of the largest groups, with each group's total."""
+                    max_groups: int | None = None, fewest_months: int = 3, z: float = Z_95) -> DataFrame:
+    """Best-model forecasts of all groups, or of the ``max_groups`` largest, with each group's total."""
     from .evaluate import with_champion
 
     groups = list(group_cols)

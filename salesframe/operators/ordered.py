@@ -1,11 +1,11 @@
 """Windows over rows in order, without putting a whole series in one task.
 
 A lag or a trailing window over raw rows needs the global order of a series, and
-one series may hold a third of all rows. Rows are first numbered exactly: counts
-per time slice give every slice its starting number, and rows are numbered
-inside slices. The numbers are then cut into blocks of fixed length, and each
-block receives a copy of the few rows before it. Every window task so sees one
-block.
+one series, or one day of it, may hold a third of all rows. Rows are dealt out by
+ranges of (keys, order) and written once; one small row per series and range gives
+every range its starting number, and rows are numbered inside ranges. The numbers
+are then cut into blocks of fixed length, and each block receives a copy of the
+rows before it that its windows reach. Every window task so sees one block.
 """
 
 from __future__ import annotations
@@ -14,47 +14,32 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
-from ..functions.exprs import attach, per_series
+from ..session import settle
 
 BLOCK_ROWS = 1 << 16
-TIE_SLICES = 64
 
 
 def with_position(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
                   name: str = "_pos") -> DataFrame:
-    """Number the rows of each series from 1 in ``order`` (first a date, then tiebreaks)."""
-    date, ties = order[0], list(order[1:])
-    slices = ["_day"]
-    df = df.withColumn("_day", F.col(date).cast("date"))
-    numeric = ties and isinstance(df.schema[ties[0]].dataType, NumericType)
-    if numeric:
-        # A day of a hot series is cut further along the first tiebreak.
-        tie = F.col(ties[0]).cast("double")
-        span = df.agg(F.min(tie).alias("_lo"), F.max(tie).alias("_hi"))
-        df = attach(df, span, ()).withColumn(
-            "_cut", F.floor(F.coalesce(
-                F.try_divide((tie - F.col("_lo")) * TIE_SLICES, F.col("_hi") - F.col("_lo")), F.lit(0.0)
-            )).cast("int"),
-        ).drop("_lo", "_hi")
-        slices.append("_cut")
-    counts = df.groupBy(*keys, *slices).agg(F.count(F.lit(1)).alias("_n"))
-    days = counts.groupBy(*keys, "_day").agg(F.sum("_n").alias("_n"))
-    before_day = F.sum("_n").over(per_series(keys, "_day").rowsBetween(Window.unboundedPreceding, -1))
-    start = days.select(*keys, "_day", F.coalesce(before_day, F.lit(0)).alias("_before"))
-    if numeric:
-        before_cut = F.sum("_n").over(
-            per_series([*keys, "_day"], "_cut").rowsBetween(Window.unboundedPreceding, -1))
-        start = counts.withColumn("_in_day", F.coalesce(before_cut, F.lit(0))).join(
-            start, [*keys, "_day"]
-        ).select(*keys, *slices, (F.col("_before") + F.col("_in_day")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, *slices).orderBy(*order))
-    return (
-        df.withColumn("_in", inside).join(start, [*keys, *slices])
-        .withColumn(name, F.col("_before") + F.col("_in"))
-        .drop("_day", "_cut", "_before", "_in")
-    )
+    """Number the rows of each series from 1 in ``order``, nulls last; null keys form a series of their own.
+
+    Rows that agree in all of ``order`` follow each other in no particular order.
+    """
+    by = [F.col(c).asc_nulls_last() for c in (*keys, *order)]
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(spread, *by).withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    return rows.withColumn("_in", inside).join(start, same).select(
+        *df.columns, (F.col("_before") + F.col("_in")).alias(name))
 
 
 def over_rows(df: DataFrame, order: Sequence[str], lookback: int,
@@ -64,12 +49,13 @@ def over_rows(df: DataFrame, order: Sequence[str], lookback: int,
 
     ``make(frame, ordered)`` returns the columns: ``frame(a, b)`` is the window of
     rows ``a`` to ``b`` around the current one, ``ordered`` the bare window for lags.
+    A row is copied to all following blocks that look back to it, so ``lookback`` may
+    be longer than a block.
     """
     placed = with_position(df, order, keys)
     block = F.floor((F.col("_pos") - 1) / block_rows)
-    is_edge = (F.col("_pos") - 1) % block_rows >= block_rows - lookback
-    copies = F.when(is_edge, F.array(block, block + 1)).otherwise(F.array(block))
-    spread = placed.withColumn("_own", block).withColumn("_block", F.explode(copies))
+    last = F.floor((F.col("_pos") - 1 + lookback) / block_rows)
+    spread = placed.withColumn("_own", block).withColumn("_block", F.explode(F.sequence(block, last)))
     ordered = Window.partitionBy(*keys, "_block").orderBy("_pos")
     columns = make(lambda a, b: ordered.rowsBetween(a, b), ordered)
     return (

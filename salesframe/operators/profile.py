@@ -7,32 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import attach, pct
+from ..functions.exprs import attach, nan_to_null, pct, row_digest
 from .anomaly import iqr_outliers
 from .rollup import missing_periods, monthly_totals
 
-SAMPLE_CHARS = 35
-
-
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies, collapsed before the shuffle."""
-    return df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-
-
 def _nulls(c: str) -> Column:
-    return F.coalesce(F.sum(F.when(_q(c).isNull(), F.col("_copies"))), F.lit(0))
+    return F.count_if(_q(c).isNull())
 
 
-def _sizes(df: DataFrame) -> list[Column]:
-    return [
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("_rows"),
-        (F.coalesce(F.sum("_copies"), F.lit(0)) - F.count(F.lit(1))).alias("_duplicates"),
-        sum((_nulls(c) for c in df.columns), F.lit(0)).alias("_nulls"),
-    ]
+def _profile(df: DataFrame, *extra: Column) -> DataFrame:
+    """One row: ``_rows``, ``_duplicates``, ``_nulls`` and the further aggregates.
+
+    One map-side pass for the aggregates; copies are counted over row digests, so no
+    whole row is shuffled.
+    """
+    df = nan_to_null(df)
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), sum((_nulls(c) for c in df.columns), F.lit(0)).alias("_nulls"), *extra)
+    kinds = df.select(row_digest(df).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("_c"))
+    copies = kinds.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("_duplicates"))
+    return attach(one, copies, ())
 
 
 def _lines(one: DataFrame, lines: Sequence[tuple[str, Column, Column]]) -> DataFrame:
@@ -47,15 +44,14 @@ def schema_summary(df: DataFrame) -> DataFrame:
     """One row per column: type, missing values, smallest value as a sample; table sizes beside."""
     kinds = dict(df.dtypes)
     sample = lambda c: F.min(_q(c)).cast("string")
-    one = _counted(df).agg(*_sizes(df), *[
+    one = _profile(df, *[
         e for i, c in enumerate(df.columns)
         for e in (_nulls(c).alias(f"_n{i}"), sample(c).alias(f"_s{i}"))
     ])
-    short = lambda s: F.when(F.length(s) > SAMPLE_CHARS, F.concat(F.left(s, F.lit(SAMPLE_CHARS)), F.lit("..."))).otherwise(s)
     rows = F.array(*[
         F.struct(F.lit(i + 1).cast("long").alias("position"), F.lit(c).alias("column"),
                  F.lit(kinds[c]).alias("dtype"), F.col(f"_n{i}").cast("long").alias("missing"),
-                 short(F.col(f"_s{i}")).alias("sample"))
+                 F.col(f"_s{i}").alias("sample"))
         for i, c in enumerate(df.columns)
     ])
     return one.select("_rows", "_duplicates", F.explode(rows).alias("_r")).select(
@@ -83,7 +79,7 @@ def _common(df: DataFrame, date_col: str | None, value_col: str | None, absent:
     extra = []
     if value_col:
         v = _q(value_col).try_cast("double")
-        extra.append(F.coalesce(F.sum(F.when(v < 0, F.col("_copies"))), F.lit(0)).alias("_negatives"))
+        extra.append(F.count_if(v < 0).alias("_negatives"))
         lines.append(("negative_values", _level(F.col("_negatives") == 0), F.col("_negatives")))
     return extra, lines
 
@@ -91,7 +87,7 @@ def _common(df: DataFrame, date_col: str | None, value_col: str | None, absent:
 def validation_checks(df: DataFrame, date_col: str | None, value_col: str | None) -> DataFrame:
     """Checks of a whole table as (check, level, metric)."""
     extra, lines = _common(df, date_col, value_col, "warn", False)
-    one = _counted(df).agg(*_sizes(df), *extra)
+    one = _profile(df, *extra)
     if value_col:
         n = iqr_outliers(df.select(_q(value_col).try_cast("double").alias("_v")), "_v").agg(
             F.count(F.lit(1)).alias("_outliers"))
@@ -104,7 +100,7 @@ def forecast_checks(df: DataFrame, date_col: str | None, value_col: str | None,
                     category_col: str = "Category") -> DataFrame:
     """Checks before forecasting: months of history, gaps, repeated date-category rows."""
     extra, lines = _common(df, date_col, value_col, "error", True)
-    one = _counted(df).agg(*_sizes(df), *extra)
+    one = _profile(df, *extra)
     if date_col and value_col:
         typed = df.select(_q(date_col).cast("date").alias("Date"),
                           _q(value_col).try_cast("double").alias("Sales")).dropna()
@@ -126,7 +122,7 @@ def forecast_checks(df: DataFrame, date_col: str | None, value_col: str | None,
 def cleaning_report(raw: DataFrame, clean: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Before and after: rows, duplicates, nulls fixed, columns converted, outliers of the raw target."""
     kinds = {f.name: f.dataType.typeName() for f in raw.schema}
-    before = _counted(raw).agg(*_sizes(raw))
+    before = _profile(raw)
     after = clean.agg(
         F.count(F.lit(1)).alias("rows_after"),
         sum((F.count_if(_q(c).isNull()) for c in clean.columns), F.lit(0)).alias("_nulls_after"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -56,7 +57,10 @@ _NUMBER = r"(\d+|" + "|".join(NUMBERS) + r"|twenty[- ]four)"
 
 def has_any(q: str, words: Sequence[str]) -> str:
     """SQL text: whether column ``q`` holds any of the words; a word inside a longer one counts."""
-    return "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
+    if len(words) == 1:
+        return f"contains({q}, '{words[0]}')"
+    either = "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in words)
+    return f"({q} RLIKE r'{either}')"
 
 
 def intent(q: str) -> str:
@@ -86,8 +90,8 @@ def _number(text: str) -> str:
             f"ELSE try_cast({text} AS DOUBLE) END, 0D)")
 
 
-def horizon(q: str) -> str:
-    """SQL text: months ahead that lower-case column ``q`` asks for, 1 to 60, 6 if it does not say."""
+def horizon(q: str, longest: int = LONGEST_HORIZON) -> str:
+    """SQL text: months ahead that lower-case column ``q`` asks for, 1 to ``longest``, 6 if it does not say."""
     def find(words: Sequence[str], pattern: str) -> str:
         got = f"regexp_extract({q}, r'(?U){pattern}', 1)"
         return f"CASE WHEN {has_any(q, words)} THEN {_number(got)} END"
@@ -100,7 +104,7 @@ def horizon(q: str) -> str:
         find(["next"], r"\bnext\s+" + _NUMBER + r"\b"),
         f"{DEFAULT_HORIZON}D",
     ])
-    return f"CAST(least(greatest(coalesce({months}), 1D), {LONGEST_HORIZON}D) AS BIGINT)"
+    return f"CAST(least(greatest(coalesce({months}), 1D), {longest}D) AS BIGINT)"
 
 
 def flags(q: str) -> dict[str, str]:
@@ -113,11 +117,21 @@ def flags(q: str) -> dict[str, str]:
     }
 
 
-def classify(questions: DataFrame, text_col: str = "question") -> DataFrame:
-    """Intent, horizon, caution and flags beside every question."""
+PARTS = ["intent", "horizon", "caution", "flags"]
+
+
+def classify(questions: DataFrame, text_col: str = "question", parts: Sequence[str] = PARTS,
+             longest: int = LONGEST_HORIZON) -> DataFrame:
+    """The wanted ``parts`` beside every question; only what they need is worked out.
+
+    Horizons of more than ``longest`` months count as ``longest``.
+    """
+    ahead, marks = {"horizon", "caution"} & set(parts), "flags" in parts
     rows = staged(questions, {"_q": f"lower(`{text_col}`)"})
-    rows = staged(rows, {"intent": intent("_q"), "horizon": horizon("_q")})
-    return staged(rows, flags("_q")).drop("_q").withColumn("caution", horizon_caution(F.col("horizon")))
+    first = {"intent": intent("_q")} if marks or "intent" in parts else {}
+    rows = staged(rows, first | ({"horizon": horizon("_q", longest)} if ahead else {}))
+    rows = (staged(rows, flags("_q")) if marks else rows).drop("_q")
+    return rows.withColumn("caution", horizon_caution(F.col("horizon"))) if "caution" in parts else rows
 
 
 def dimension_values(df: DataFrame, dims: Sequence[str] | None = None) -> DataFrame:
@@ -142,38 +156,30 @@ def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
              text_col: str = "question") -> DataFrame:
     """The dimension value a question names: ``dim`` and ``value``, NULL if none.
 
-    Runs of pieces as long as some value meet the values in an equi-join; no
-    question is compared with every value. A question about a category or region
-    looks there first, then in column order; the longest value wins.
+    The distinct pieces of a question meet the first pieces of the values in an
+    equi-join of ids and pieces, without texts; the few values found so are then
+    compared with the text in place. No question is compared with every value. A
+    question about a category or region looks there first, then in column order; the
+    longest value wins.
     """
-    pieces = F.regexp_extract_all(F.lower(text_col), F.lit(_PIECES), F.lit(0))
-    keyed = values.withColumn("_key", F.lower("value"))
-    lengths = keyed.agg(F.array_sort(F.collect_set(
-        F.size(F.regexp_extract_all("_key", F.lit(_PIECES), F.lit(0))))).alias("_len"),
-        F.max(F.col("_key").startswith(" ")).alias("_lead"))
-    # Runs that start with a space are of use only if some value does.
-    runs = """
-        filter(flatten(transform(_len, n -> transform(sequence(1, greatest(size(_p) - n + 1, 1)), i -> CASE
-            WHEN i + n - 1 <= size(_p) AND (_lead OR get(_p, i - 1) <> ' ')
-                AND NOT coalesce(get(_w, i - 2), false) AND NOT coalesce(get(_w, i + n - 1), false)
-            THEN CASE WHEN n = 1 THEN get(_p, i - 1) ELSE array_join(slice(_p, i, n), '') END END))), r -> r IS NOT NULL)"""
-    rows = attach(questions.select(*ids, text_col).withColumn("_p", pieces), lengths, ()).filter("size(_p) > 0")
-    rows = staged(rows, {"_w": r"transform(_p, t -> t RLIKE r'(?U)^\w')"})
-    rows = staged(rows, {"_runs": f"array_distinct({runs})"})
-    found = (
-        rows.select(*ids, F.lower(text_col).contains("category").alias("_c"),
-                    F.lower(text_col).contains("region").alias("_r"),
-                    F.explode("_runs").alias("_key"))
-        .join(keyed, "_key")
-    )
-    first = ((F.col("_c") & (F.col("dim") == "Category"))
-             | (~F.col("_c") & F.col("_r") & (F.col("dim") == "Region")))
-    best = F.min(F.struct(
-        F.when(first, -1).otherwise(F.col("place")).alias("o"), (-F.length("value")).alias("l"),
-        F.col("value").alias("v"), F.col("dim").alias("d")))
-    picked = found.groupBy(*ids).agg(best.alias("_b")).select(
-        *ids, F.col("_b.d").alias("dim"), F.col("_b.v").alias("value"))
-    return questions.join(picked, list(ids), "left")
+    cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECES), F.lit(0))
+    run = lambda pieces: F.concat(F.lit("\u0001"), F.array_join(pieces, "\u0001"), F.lit("\u0001"))
+    known = values.select("dim", "value", "place", cut("value").alias("_v")).select(
+        "dim", "value", "place", F.get("_v", F.lit(0)).alias("_piece"), run(F.col("_v")).alias("_run"))
+    spread = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = questions.repartition(spread, *ids)
+    pieces = rows.select(*ids, F.explode(F.array_distinct(cut(text_col))).alias("_piece"))
+    found = pieces.join(known, "_piece").groupBy(*ids).agg(
+        F.collect_list(F.struct("dim", "value", "place", "_run")).alias("_found"))
+    joined = rows.join(found, list(ids), "left")
+    joined = staged(joined, {"_text": f"""CASE WHEN _found IS NOT NULL THEN concat('\u0001', array_join(
+        regexp_extract_all(lower(`{text_col}`), r'{_PIECES}', 0), '\u0001'), '\u0001') END"""})
+    first = (f"(contains(lower(`{text_col}`), 'category') AND x.dim = 'Category') OR (NOT contains(lower(`{text_col}`), 'category')"
+             f" AND contains(lower(`{text_col}`), 'region') AND x.dim = 'Region')")
+    best = (f"array_min(transform(filter(_found, x -> contains(_text, x._run)), x -> named_struct("
+            f"'o', IF({first}, -1, x.place), 'l', -length(x.value), 'v', x.value, 'd', x.dim)))")
+    return joined.withColumn("_best", F.expr(best)).select(
+        *questions.columns, F.col("_best.d").alias("dim"), F.col("_best.v").alias("value"))
 
 
 def route(questions: DataFrame, values: DataFrame, ids: Sequence[str],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import attach, known_keys
 from ..functions.labels import signal
-from .anomaly import detect_anomalies, iqr_outliers, rolling_can_fire, rolling_count, strongest_anomaly
+from .anomaly import detect_anomalies, iqr_outliers, rolling_count, strongest_anomaly
 from .rollup import business_facts, main_driver, recent_days
 
 Rule = tuple[Column, "Column | str", "Column | str", "Column | None", "Column | None"]
@@ -23,7 +23,7 @@ def _text(c: Column | str) -> Column:
     return F.lit(c) if isinstance(c, str) else c
 
 
-def fire(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule], most: int | None = None,
+def fire(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule],
          otherwise: tuple[str, str] | None = None) -> DataFrame:
     """One row per rule whose condition holds, numbered in rule order per series."""
     none = F.lit(None)
@@ -36,8 +36,6 @@ def fire(facts: DataFrame, keys: Sequence[str], rules: Sequence[Rule], most: int
         for cond, code, level, subject, metric in rules
     ]
     fired = F.array_compact(F.array(*rows))
-    if most:
-        fired = F.slice(fired, 1, most)
     if otherwise:
         fallback = F.array(F.struct(
             F.lit(otherwise[0]).alias("code"), F.lit(otherwise[1]).alias("level"),
@@ -96,20 +94,20 @@ def alerts(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _with_row_anomalies(facts: DataFrame, df: DataFrame, keys: Sequence[str], threshold: float,
-                        window: int, tiebreak: Sequence[str]) -> DataFrame:
-    """Number of rolling anomalies over raw rows; no scan where none can exist."""
-    if not rolling_can_fire(window, threshold):
-        return facts.withColumn("anomalies", F.lit(0).cast("long"))
-    found = detect_anomalies(df, "rolling_deviation", threshold, window, keys, tiebreak=tiebreak)
+                        window: int, tiebreak: Sequence[str], include_current: bool) -> DataFrame:
+    """Number of rolling anomalies over raw rows."""
+    found = detect_anomalies(df, "rolling_deviation", threshold, window, keys, tiebreak=tiebreak,
+                             include_current=include_current)
     counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("anomalies"))
     return attach(facts, counts, keys).fillna(0, ["anomalies"])
 
 
 def recommendations(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5, window: int = 6,
-                    tiebreak: Sequence[str] = ()) -> DataFrame:
+                    tiebreak: Sequence[str] = (), include_current: bool = True) -> DataFrame:
     dims = [d for d in _present(df, ["Category", "Region"]) if d not in keys]
     c = F.col
-    facts = _with_row_anomalies(business_facts(df, keys, dims), df, keys, threshold, window, tiebreak)
+    facts = _with_row_anomalies(
+        business_facts(df, keys, dims), df, keys, threshold, window, tiebreak, include_current)
     moved = (c("months") >= 3) & (c("prev3") > 0)
     rules: list[Rule] = [
         (moved & (c("momentum") < -5), "reverse_slowdown", "action", None, c("momentum")),
@@ -143,7 +141,7 @@ def business_actions(df: DataFrame, keys: Sequence[str] = (), threshold: float =
         (c("anomalies") > 0, "explain_anomalies", "action", None, c("anomalies")),
         (F.lit(True), F.when(n < 24, "collect_more_months").otherwise("use_history"), "action", None, n),
     ]
-    return fire(facts, keys, rules, most=5)
+    return fire(facts, keys, rules)
 
 
 def planning_recommendations(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

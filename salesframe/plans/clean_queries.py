@@ -81,6 +81,14 @@ def fill_mode(spark, d):
     return C.fill_mode(V.dirty_typed(spark, d), ["Category"]).select("order_id", "Category")
 
 
+@query("fill_median_nan", _dirty("""
+, gap AS (SELECT order_id, CASE WHEN order_id % 7 <> 0 THEN Revenue END AS Revenue FROM typed)
+SELECT order_id, round(coalesce(Revenue, (SELECT median(Revenue) FROM gap)), 2) AS Revenue FROM gap"""))
+def fill_median_nan(spark, d):
+    """NaN is missing, like NULL."""
+    return rounded(C.fill_median(V.with_nan(spark, d), ["Revenue"]))
+
+
 @query("clip_negative", _dirty("SELECT order_id, round(greatest(Revenue, 0), 2) AS Revenue FROM kept"))
 def clip_negative(spark, d):
     rows = C.drop_missing(C.drop_duplicates(V.dirty_typed(spark, d)), ["Order Date", "Revenue"])
@@ -148,6 +156,17 @@ def onehot(spark, d):
     return W.one_hot(rows)
 
 
+@query("onehot_vectors", """
+WITH v AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey))
+SELECT c_custkey, CAST(n - 1 AS INTEGER) AS size, CASE WHEN i > 1 THEN CAST(i - 2 AS INTEGER) END AS place
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN v USING (n_name)""")
+def onehot_vectors(spark, d):
+    rows = V.table(spark, d, "customer").join(
+        V.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return W.one_hot_vectors(rows, ["n_name"]).select(
+        "c_custkey", F.col("n_name_levels.size").alias("size"), F.get("n_name_levels.indices", F.lit(0)).alias("place"))
+
+
 @query("minmax", """
 WITH r AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS "Sales", round((l_quantity - a) / (b - a), 6) AS qty,
@@ -170,13 +189,12 @@ def text_repair(spark, d):
 
 
 def _schema_sql(columns) -> str:
-    short = "CASE WHEN length(s) > 35 THEN left(s, 35) || '...' ELSE s END"
     rows = " UNION ALL ".join(
         f"SELECT {i} AS p, '{c}' AS c, '{t}' AS t, count(*) FILTER (WHERE \"{c}\" IS NULL) AS n, "
         f"CAST(min(\"{c}\") AS VARCHAR) AS s FROM dirty" for i, (c, t) in enumerate(columns, 1))
     return _dirty(f""", r AS ({rows}),
 u AS (SELECT (SELECT count(*) FROM dirty) AS a, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty)) AS b)
-SELECT CAST(p AS BIGINT) AS position, c AS "column", t AS dtype, n AS missing, {short} AS sample, a AS "rows", a - b AS duplicates
+SELECT CAST(p AS BIGINT) AS position, c AS "column", t AS dtype, n AS missing, s AS sample, a AS "rows", a - b AS duplicates
 FROM r, u""")
 
 

@@ -73,10 +73,9 @@ def fc_champion(spark, d):
     return rounded(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS))
 
 
-@query("fc_grouped", champion_and_full_sql(["Nation"], 6) + """,
-top8 AS (SELECT Nation FROM sales GROUP BY 1 ORDER BY sum(Sales) DESC, 1 LIMIT 8)
+@query("fc_grouped", champion_and_full_sql(["Nation"], 6) + """
 SELECT Nation, round(sum(f) OVER (PARTITION BY Nation), 2) AS "TotalForecast", model_key, step, "Date",
-  round(f, 2) AS "Forecast", round(u, 2) AS "Upper", round(l, 2) AS "Lower" FROM pick SEMI JOIN top8 USING (Nation)""")
+  round(f, 2) AS "Forecast", round(u, 2) AS "Upper", round(l, 2) AS "Lower" FROM pick""")
 def fc_grouped(spark, d):
     return rounded(P.forecast_groups(V.sales(spark, d), ["Nation"], 6))
 

@@ -94,7 +94,7 @@ bl AS (SELECT {ids}, step, sum(f * w) / sum(w) AS f, sum(u * w) / sum(w) AS u, s
 mv AS (SELECT bl.* EXCLUDE (f), greatest(f + CASE WHEN h >= 3 AND abs(sl) > flat
     AND max(round(f, 2)) OVER (PARTITION BY {ids}) = min(round(f, 2)) OVER (PARTITION BY {ids})
     THEN 0.18::DOUBLE * sl * (1 - pow(0.8::DOUBLE, step)) / 0.2::DOUBLE ELSE 0 END, 0) AS f FROM bl JOIN st {_using(keys, 'o', 'h')}),
-af AS (
+af AS MATERIALIZED (
   SELECT {ids}, step, model_key, f, u, l FROM fc SEMI JOIN wanted {_using(keys, 'o', 'h')}
   UNION ALL SELECT {ids}, step, 'smart_ensemble', f, greatest(u, f), greatest(least(l, f), 0) FROM mv
   UNION ALL SELECT {ids}, step, 'smart_ensemble', f, u, l FROM fc SEMI JOIN wanted {_using(keys, 'o', 'h')}

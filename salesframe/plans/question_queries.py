@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import inr_text
 from ..operators import answers as A
 from ..operators import questions as Q
+from ..session import settle
 from . import views as V
 from .forecast_sql import all_models_sql, holdout_outer, metrics_sql
 from .registry import SALES_SQL, facts_sql, query, rounded
@@ -75,23 +76,23 @@ _UPTO_MENTIONS = f"WITH {SALES_SQL}, {ASK_SQL}, {INTENT_SQL}, {HORIZON_SQL}, {FL
 
 @query("intent", f"WITH {ASK_SQL}, {INTENT_SQL} SELECT conv_id, turn, question, intent FROM it")
 def intent(spark, d):
-    return Q.classify(V.questions(spark, d)).select(*IDS, "question", "intent")
+    return Q.classify(V.questions(spark, d), parts=["intent"]).select(*IDS, "question", "intent")
 
 
 @query("horizon", f"{_UPTO_FLAGS} SELECT conv_id, turn, horizon FROM fl")
 def horizon(spark, d):
-    return Q.classify(V.questions(spark, d)).select(*IDS, "horizon")
+    return Q.classify(V.questions(spark, d), parts=["horizon"]).select(*IDS, "horizon")
 
 
 @query("horizon_caution", f"{_UPTO_FLAGS} SELECT horizon, caution, count(*) AS n FROM fl GROUP BY ALL")
 def horizon_caution(spark, d):
-    return Q.classify(V.questions(spark, d)).groupBy("horizon", "caution").agg(F.count(F.lit(1)).alias("n"))
+    return Q.classify(V.questions(spark, d), parts=["caution"]).groupBy("horizon", "caution").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("question_flags", f"""{_UPTO_FLAGS}
 SELECT conv_id, turn, groupwise_forecast, month_category, category_breakdown, region_breakdown FROM fl""")
 def question_flags(spark, d):
-    return Q.classify(V.questions(spark, d)).select(*IDS, *Q.flags("q"))
+    return Q.classify(V.questions(spark, d), parts=["flags"]).select(*IDS, *Q.flags("q"))
 
 
 @query("dimension_mention", f"""{_UPTO_MENTIONS}
@@ -142,6 +143,8 @@ def _fact_lines() -> str:
         ("scenario", "NULL", "uplift_month_avg", "month_avg * 1.2::DOUBLE"),
         *[(f"{m}_{d.lower()}", f"{w}_{d}", k, f"{w}_{d}_{k}") for d in ("Category", "Region")
           for m, w in (("best", "top"), ("weakest", "weak")) for k in ("sales", "share")],
+        *[(f"{m}_product", f"{w}_Category", k, f"{w}_Category_{k}")
+          for m, w in (("best", "top"), ("weakest", "weak")) for k in ("sales", "share")],
         ("recommendations", "top_Category", "prioritize_category", "top_Category_share"),
         ("recommendations", "weak_Category", "review_category", "weak_Category_share"),
         ("recommendations", "top_Region", "benchmark_region", "top_Region_share"),
@@ -178,11 +181,19 @@ def answer_facts(spark, d):
 
 @query("question_facts")
 def question_facts(spark, d):
-    """Every routed question with its results, forecasts included."""
+    """The results that all routed questions ask for, forecasts included, each once."""
     rows = V.sales(spark, d)
-    asked = _routed(spark, d)
-    paths = A.scoped_forecasts(rows, asked, ["Category", "Region", "Nation"])
-    return rounded(A.answers(asked, A.answer_facts(rows), paths, IDS), 4)
+    asked = settle(A.asks(_routed(spark, d), IDS), "asked")
+    paths = settle(A.scoped_forecasts(rows, asked, ["Category", "Region", "Nation"]), "paths")
+    return rounded(A.answers(asked, A.answer_facts(rows), paths), 4)
+
+
+@query("question_asks", f"""{ROUTE_SQL} SELECT conv_id, turn, route, coalesce(scope_dim, '') AS scope_dim,
+  CASE WHEN route <> 'forecast' THEN lower(scope_value) END AS scope_value,
+  CASE WHEN starts_with(route, 'forecast') THEN horizon END AS horizon FROM ro""")
+def question_asks(spark, d):
+    """Which result answers each question."""
+    return A.asks(_routed(spark, d), IDS)
 
 
 @query("inr_format", """

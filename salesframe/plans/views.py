@@ -102,6 +102,12 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Order numbers and amounts of ``dirty_typed``, every seventh order's amount NaN."""
+    return dirty_typed(spark, folder).select("order_id", F.when(
+        F.col("order_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("Revenue")).alias("Revenue"))
+
+
 def dirty_typed(spark: SparkSession, folder: str) -> DataFrame:
     """``dirty`` with its amounts and dates read."""
     from ..operators.clean import parse_amounts, parse_dates

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     It is the one named in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder is made and remembered.
+    as in tests on one machine, a temporary folder is made and remembered until
+    the end of the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -39,13 +42,24 @@ def shared_folder(spark: SparkSession) -> str:
         if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="salesframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for one written table below the shared folder."""
-    return f"{shared_folder(spark)}/salesframe/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one written table below the shared folder, apart for each application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/salesframe/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has settled; tables made from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.exprs import nan_to_null
+
 CORRUPT = "_corrupt_record"
 
 
@@ -16,6 +18,8 @@ def read_table(spark: SparkSession, path: str, file_format: str | None = None,
                schema: StructType | str | None = None) -> tuple[DataFrame | None, str | None]:
     """Open a CSV or Parquet table: ``(table, None)``, or ``(None, message)`` if it cannot be opened.
 
+    NaN is read as missing.
+
     A given ``schema`` saves the pass that infers types. Lines that do not fit it
     are kept in ``_corrupt_record`` when the schema has that column.
     """
@@ -28,7 +32,7 @@ def read_table(spark: SparkSession, path: str, file_format: str | None = None,
     elif schema:
         reader = reader.schema(schema)
     try:
-        return reader.load(path), None
+        return nan_to_null(reader.load(path)), None
     except PySparkException as exc:
         return None, str(exc)
 

@@ -13,6 +13,7 @@ from salesframe.operators import clean as C
 from salesframe.operators import features as W
 from salesframe.operators import profile as P
 from salesframe.operators.ordered import over_rows, with_position
+from salesframe.operators.rollup import monthly_totals
 
 
 @pytest.fixture(scope="module")
@@ -25,14 +26,11 @@ def skewed(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_exact_quantiles_with_and_without_brackets(skewed, small):
+def test_exact_quantiles_by_key(skewed):
     pdf, df = skewed
-    got = exact_quantiles(df, "Sales", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"], "n", small_group=small, accuracy=200)
+    got = exact_quantiles(df, "Sales", {"a": 0.25, "b": 0.5, "c": 0.99}, ["k"], "n")
     got = {r.k: r for r in got.collect()}
     for key, part in pdf.groupby("k"):
-        if small == 0 and len(part) < 300:
-            continue
         want = np.percentile(part.Sales, [25, 50, 99])
         assert (got[key].a, got[key].b, got[key].c) == pytest.approx(tuple(want))
         assert got[key].n == len(part)
@@ -40,7 +38,7 @@ def test_exact_quantiles_with_and_without_brackets(skewed, small):
 
 def test_exact_quantiles_without_keys(skewed):
     pdf, df = skewed
-    got = exact_quantiles(df, "Sales", {"m": 0.5}, small_group=0, accuracy=100).first()
+    got = exact_quantiles(df, "Sales", {"m": 0.5}).first()
     assert got.m == pytest.approx(pdf.Sales.median())
 
 
@@ -134,6 +132,44 @@ def test_duplicate_count_treats_nulls_as_equal(spark):
     assert P.schema_summary(df).first().duplicates == 3
 
 
+@pytest.mark.parametrize("ties", ["id", "name"])
+def test_look_back_beyond_a_block_and_null_dates(spark, ties):
+    rows = [(i, f"n{i:03d}", None if i % 10 == 9 else f"2024-01-{1 + i // 20:02d}", None if i % 3 == 0 else "k", float(i))
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, name string, d string, k string, Sales double").selectExpr(
+        "*", "CAST(d AS DATE) AS Date")
+    make = lambda frame, _: {"s": F.sum("Sales").over(frame(-12, 0))}
+    for keys in ([], ["k"]):
+        got = {r.id: r.s for r in over_rows(df, ["Date", ties], 12, make, keys, block_rows=5).collect()}
+        assert len(got) == 100
+        for key in (None, "k") if keys else ("all",):
+            own = sorted((r for r in rows if key == "all" or r[3] == key), key=lambda r: (r[2] is None, r[2] or "", r[0]))
+            for at, r in enumerate(own):
+                assert got[r[0]] == sum(x[4] for x in own[max(0, at - 12):at + 1])
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1, 10.0, "a"), (2, float("nan"), "a"), (3, 30.0, None)], "i int, Sales double, t string").selectExpr(
+        "*", "DATE'2024-01-05' AS Date")
+    assert sorted(r.Sales for r in C.fill_median(df, ["Sales"]).collect()) == [10.0, 20.0, 30.0]
+    assert monthly_totals(df).first().Sales == 40.0
+    seen = {r.column: r.missing for r in P.schema_summary(df).collect()}
+    assert seen == {"i": 0, "Sales": 1, "t": 1, "Date": 0}
+    assert N.zscore_outliers(df, threshold=0.5).count() == 2
+
+
+def test_one_hot_vectors_number_any_level(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c")], "i int, t string")
+    got = {r.i: (r.t_levels.size, list(r.t_levels.indices), list(r.t_levels["values"])) for r in W.one_hot_vectors(df).collect()}
+    assert got == {1: (2, [0], [1.0]), 2: (2, [], []), 3: (2, [], []), 4: (2, [1], [1.0])}
+
+
+def test_schema_samples_are_whole(spark):
+    df = spark.createDataFrame([("x" * 80,), ("x" * 80,)], "t string")
+    row = P.schema_summary(df).first()
+    assert row.sample == "x" * 80 and row.duplicates == 1
+
+
 def test_anomaly_methods(spark):
     values = [100.0 + i % 7 for i in range(60)]
     values[30] = 900.0
@@ -146,7 +182,6 @@ def test_anomaly_methods(spark):
     assert rolling() == []
     assert "2024-01-31" in rolling(include_current=False)
     assert "2024-01-31" in rolling(threshold=2.0)
-    assert not N.rolling_can_fire(6, 2.5) and N.rolling_can_fire(6, 2.0)
     with pytest.raises(ValueError):
         N.detect_anomalies(df, "guess")
     assert N.detect_anomalies(df.limit(2), "zscore", 0.1).count() == 0
