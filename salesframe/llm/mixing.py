@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import KEY, WORD, once, row_key, running_total, text_or_empty
+from .common import KEY, WORD, once, row_key, running_total, shuffle_partitions, text_or_empty
 
 #: Words of a block, slots of an output shard.
 BLOCK, SHARD = 64, 8192
@@ -46,20 +46,24 @@ PRIME = 2147483647
 def scatter(a: str, b: str) -> str:
     """SQL for a pseudorandom number from 0 to PRIME - 1 from two numbers."""
     t = f"((({a}) % {PRIME} * 1103515245 + ({b}) % {PRIME} * 69621 + 40014) % {PRIME})"
-    t = f"(({t} * {t} + 12345) % {PRIME} * 48271 % {PRIME})"
-    return f"(({t} * {t} + 7919) % {PRIME})"
+    return f"(({t} * {t} + 12345) % {PRIME} * 48271 % {PRIME})"
 
 
-def permuted(rounds: int = ROUNDS) -> str:
-    """SQL for the place of ``s.place`` in the permutation ``s.seed`` of 0 to ``s.size`` - 1.
+def permutation_keys(size: str, seed: str, rounds: int = ROUNDS) -> str:
+    """SQL for the keys of the pseudorandom permutation ``seed`` of 0 to ``size`` - 1."""
+    return (f"transform(sequence(1L, {rounds}L), r -> CAST(floor({scatter(seed, 'r')} / CAST({PRIME} AS DOUBLE) * {size}) "
+            "AS BIGINT))")
+
+
+def permuted(place: str, size: str, keys: str) -> str:
+    """SQL for the place of ``place`` in the permutation of these keys.
 
     Swap-or-not rounds: a round pairs x with key - x and swaps the two or not by a
     pseudorandom bit of the pair, so it permutes any range without search.
     """
-    key = f"CAST(floor({scatter('s.seed', 'r')} / CAST({PRIME} AS DOUBLE) * s.size) AS BIGINT)"
-    other = f"(({key} - x + s.size) % s.size)"
-    bit = f"({scatter(f'greatest(x, {other})', 's.seed + r')} % 2)"
-    return f"aggregate(sequence(1L, {rounds}L), s.place, (x, r) -> CASE WHEN {bit} = 1 THEN {other} ELSE x END)"
+    other = f"((k - x + {size}) % {size})"
+    bit = f"{scatter(f'greatest(x, {other})', 'k')} % 2"
+    return f"aggregate({keys}, {place}, (x, k) -> CASE WHEN {bit} = 1 THEN {other} ELSE x END)"
 
 
 def word_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -121,11 +125,16 @@ def drawn_blocks(sources: DataFrame, shard: int = SHARD) -> DataFrame:
                .withColumn("start", F.coalesce(F.sum("lack").over(before), F.lit(0))))
     missing = missing.select("number", "drawn", "start", F.explode(F.expr("sequence(start, start + lack - 1)")).alias("at"))
     given = spare.join(missing, "at").selectExpr("shard", "number", "drawn + at - start AS k")
-    kept = placed.where("used > 0").select("shard", "number", F.explode(F.expr("sequence(k, k + used - 1)")).alias("k"))
+    # few narrow rows become all slots here: spread them over all tasks first
+    kept = placed.where("used > 0").repartition(shuffle_partitions(spark), "shard", "number").select(
+        "shard", "number", F.explode(F.expr("sequence(k, k + used - 1)")).alias("k"))
+    # the keys of a permutation are worked out once for each pass over a source
+    passes = sources.selectExpr("number", "blocks", f"explode(sequence(0L, {REPEATS - 1}L)) AS pass")
+    passes = passes.withColumn("keys", F.expr(permutation_keys("blocks", "(number * 64 + pass)"))).drop("blocks")
     slots = kept.unionByName(given).join(sources.select("number", "blocks"), "number")
     slots = slots.selectExpr("shard", "number", "k div blocks AS pass", "k % blocks AS place", "blocks")
-    state = F.struct("place", F.col("blocks").alias("size"), F.expr("number * 64 + pass").alias("seed"))
-    return slots.withColumn("s", state).selectExpr("shard", "number", "pass", f"{permuted()} AS block")
+    return slots.join(passes, ["number", "pass"]).selectExpr(
+        "shard", "number", "pass", f"{permuted('place', 'blocks', 'keys')} AS block")
 
 
 def block_pieces(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -267,8 +267,8 @@ def test_mix_documents_hold_what_mix_takes(docs):
 
 def test_permutations(spark):
     for size in (1, 2, 7, 64, 1000):
-        got = [r.p for r in spark.range(size).selectExpr(
-            f"named_struct('place', id, 'size', {size}L, 'seed', 9L) AS s").selectExpr(f"{mixing.permuted()} AS p").collect()]
+        rows = spark.range(size).selectExpr("id", f"{mixing.permutation_keys(f'{size}L', '9L')} AS keys")
+        got = [r.p for r in rows.selectExpr(f"{mixing.permuted('id', f'{size}L', 'keys')} AS p").collect()]
         assert sorted(got) == list(range(size))
     assert got != list(range(1000)) and abs(np.corrcoef(got, range(1000))[0, 1]) < 0.15
 
