@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions.exprs import attach, per_series
 from .anomaly import rolling_count
-from .forecast import CANDIDATES, Params, listed_paths, add_models, check_models, series_of
+from .forecast import (
+    CANDIDATES, FOREST, FOREST_MONTHS, Params, add_models, check_models, listed_paths, series_of,
+)
 from .rollup import business_facts
 
 
@@ -62,11 +64,25 @@ def _scored(series: DataFrame, keys: Sequence[str], models: Sequence[str], param
 
     ``series`` has ``y``, ``origins`` (months used for training) and ``h``.
     """
-    cut = series.select(*keys, F.col("y").alias("_all"), "h", F.explode("origins").alias("o")).select(
+    cut = series.select(*keys, "dates", F.col("y").alias("_all"), "h", "origins", F.posexplode("origins").alias("_i", "o")).select(
         *keys, "o", "h", F.slice("_all", 1, F.col("o")).alias("y"),
         F.slice("_all", F.col("o") + 1, F.col("h")).alias("_actual"),
+        F.slice("dates", 1, F.col("o")).alias("dates"), (F.size("origins") - F.col("_i")).alias("slot"),
+        F.size("_all").alias("_months"),
     )
-    done = add_models(cut, models, params=params)
+    if FOREST not in models:
+        return _classic(cut, keys, models, params)
+    from .ml import forest_paths
+
+    paths = forest_paths(cut.filter(F.col("_months") >= FOREST_MONTHS).drop("_actual", "_months"), keys)
+    scored = cut.select(*keys, "o", "h", "_actual").join(paths, [*keys, "o", "h"]).selectExpr(
+        *[f"`{k}`" for k in keys], "o", "h", f"'{FOREST}' AS model_key", "inline(arrays_zip(_actual, v)) AS (actual, predicted)")
+    others = [m for m in models if m != FOREST]
+    return _classic(cut, keys, others, params).unionByName(scored) if others else scored
+
+
+def _classic(cut: DataFrame, keys: Sequence[str], models: Sequence[str], params: Params | None) -> DataFrame:
+    done = add_models(cut.drop("dates", "slot", "_months"), models, params=params)
     quoted = [f"`{k}`" for k in keys]
     return done.selectExpr(*quoted, "o", "h", "_actual", f"inline({listed_paths(models, 'p_{}.f')})").selectExpr(
         *quoted, "o", "h", "model_key", "inline(arrays_zip(_actual, v)) AS (actual, predicted)")
@@ -150,9 +166,9 @@ def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = C
         "model_key", F.coalesce("model_key", F.lit(fallback)))
 
 
-def with_champion(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_champion(series: DataFrame, keys: Sequence[str], models: Sequence[str] = CANDIDATES) -> DataFrame:
     """Monthly arrays with the ``champion`` model of each series."""
-    picked = _champions(series, keys).select(*keys, F.col("model_key").alias("champion"))
+    picked = _champions(series, keys, models).select(*keys, F.col("model_key").alias("champion"))
     return attach(series, picked, keys)
 
 

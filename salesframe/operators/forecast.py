@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.exprs import attach, known_keys, per_series, staged
+from ..session import settle
 from .features import month_arrays
 from .ranking import rows_of_top_groups
 from .rollup import monthly_totals
@@ -21,6 +22,7 @@ from .rollup import monthly_totals
 # Model names, their order, defaults and the fewest months each needs.
 BASE_MODELS = ["moving_average", "linear_trend", "seasonal_naive", "seasonal_trend", "exp_smoothing", "holts"]
 MODELS = ["smart_ensemble", *BASE_MODELS]
+FOREST, FOREST_MONTHS = "random_forest", 8
 CANDIDATES = ["smart_ensemble", "moving_average", "linear_trend", "seasonal_trend", "exp_smoothing", "holts"]
 ENSEMBLE_MEMBERS = ["holts", "linear_trend", "exp_smoothing", "moving_average", "seasonal_trend"]
 FALLBACK_ORDER = ["smart_ensemble", "holts", "exp_smoothing", "linear_trend", "seasonal_trend",
@@ -46,9 +48,9 @@ Params = Mapping[str, Mapping[str, "float | str"]]
 
 
 def check_models(models: Sequence[str]) -> None:
-    unknown = [m for m in models if m not in MODELS]
+    unknown = [m for m in models if m not in (*MODELS, FOREST)]
     if unknown:
-        raise ValueError(f"unknown model {unknown[0]}, use one of {MODELS}")
+        raise ValueError(f"unknown model {unknown[0]}, use one of {[*MODELS, FOREST]}")
 
 
 def _settings(params: Params | None) -> dict[str, dict[str, str]]:
@@ -300,8 +302,13 @@ def forecast(df: DataFrame, model: str | Sequence[str], horizon: int = 6, keys:
     Forecasts of trend and smoothing models can be negative unless ``clip_at_zero``.
     """
     models = [model] if isinstance(model, str) else list(model)
-    rows = series_of(df, keys).withColumn("h", F.lit(horizon))
-    out = paths_to_rows(add_models(rows, models, z=z, params=params), keys, models)
+    classic, out = [m for m in models if m != FOREST], None
+    if classic or not models:
+        rows = series_of(df, keys).withColumn("h", F.lit(horizon))
+        out = paths_to_rows(add_models(rows, classic, z=z, params=params), keys, classic)
+    if FOREST in models:
+        trees = _forest_rows(df, horizon, keys, z)
+        out = trees if out is None else out.unionByName(trees)
     return out.withColumn("Forecast", F.greatest("Forecast", F.lit(0.0))) if clip_at_zero else out
 
 
@@ -338,13 +345,38 @@ def forecast_with_fallback(df: DataFrame, preferred: str, horizon: int = 6, keys
     return chosen_rows(with_chosen_path(rows, F.lit(preferred), z, params), keys)
 
 
+def _forest_rows(df: DataFrame, horizon: int, keys: Sequence[str], z: float) -> DataFrame:
+    from .ml import random_forest_forecast
+
+    return random_forest_forecast(df, horizon, keys, z)
+
+
 def forecast_with_best_model(df: DataFrame, horizon: int = 6, keys: Sequence[str] = (),
-                             z: float = Z_95) -> DataFrame:
-    """Each series with the model that did best on its recent past."""
+                             z: float = Z_95, models: Sequence[str] = CANDIDATES) -> DataFrame:
+    """Each series with the model that did best on its recent past.
+
+    With the forest among the ``models``, one forest is fitted for each recent origin and
+    one for the forecasts, whatever the number of series.
+    """
     from .evaluate import with_champion
 
-    rows = with_champion(series_of(df, keys), keys).withColumn("h", F.lit(horizon))
-    return chosen_rows(with_chosen_path(rows, F.col("champion"), z), keys)
+    rows = with_champion(series_of(df, keys), keys, models).withColumn("h", F.lit(horizon))
+    return champion_rows(rows, df, horizon, keys, z, FOREST in models)
+
+
+def champion_rows(rows: DataFrame, df: DataFrame, horizon: int, keys: Sequence[str], z: float, with_forest: bool,
+                  params: Params | None = None) -> DataFrame:
+    """Forecasts of monthly arrays by the ``champion`` of each; the forest learns from the raw rows ``df``."""
+    if not with_forest:
+        return chosen_rows(with_chosen_path(rows, F.col("champion"), z, params), keys)
+    rows = settle(rows, "champions")
+    classic = rows.filter(F.col("champion") != FOREST)
+    classic = chosen_rows(with_chosen_path(classic, F.col("champion"), z, params), keys)
+    won = rows.filter(F.col("champion") == FOREST).select(*keys)
+    if not won.head(1):
+        return classic
+    trees = _forest_rows(df, horizon, keys, z)
+    return classic.unionByName(trees.join(won, list(keys), "left_semi") if keys else trees)
 
 
 def forecast_groups(df: DataFrame, group_cols: Sequence[str], horizon: int = 6,

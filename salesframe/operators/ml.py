@@ -21,18 +21,9 @@ from .features import model_features, month_arrays
 from .forecast import RECENT, Z_95, flat_limit, move_if_flat
 from .rollup import monthly_totals
 
-# The features, their labels and kinds.
+# The features; the last three describe the calendar.
 FEATURES = ["lag_1", "lag_2", "lag_3", "rolling_mean_3", "rolling_std_3", "month", "quarter", "year"]
-FEATURE_LABELS = {
-    "lag_1": ("Previous month sales", "Lag feature"),
-    "lag_2": ("Sales two months ago", "Lag feature"),
-    "lag_3": ("Sales three months ago", "Lag feature"),
-    "rolling_mean_3": ("3-month sales average", "Lag feature"),
-    "rolling_std_3": ("3-month volatility", "Lag feature"),
-    "month": ("Month of year", "Calendar feature"),
-    "quarter": ("Quarter", "Calendar feature"),
-    "year": ("Year trend", "Calendar feature"),
-}
+CALENDAR = FEATURES[5:]
 FEWEST_MONTHS = 6
 STEPS_PER_CUT = 12
 
@@ -56,27 +47,19 @@ def regressors(seed: int = 42) -> dict[str, Pipeline]:
     }
 
 
-def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str] = (), z: float = Z_95,
-                           trees: int = 120, depth: int = 8, seed: int = 42) -> DataFrame:
-    """Month-by-month forecasts: each prediction becomes the newest history of the next.
+def _rolled(model: PipelineModel, rows: DataFrame, ids: Sequence[str], horizon: int, steps_per_cut: int) -> DataFrame:
+    """Paths ``_f`` of ``horizon`` months for rows with ``dates`` and ``y``: each prediction becomes the
+    newest history of the next.
 
-    Every step is a projection over one row per series.
+    Every step is a projection over one row per series; every ``steps_per_cut`` steps the
+    lineage is cut.
     """
-    keys = list(keys)
-    # History, training rows and residuals all start from the month totals.
-    monthly = settle(monthly_totals(df, keys), "monthly")
-    series = month_arrays(monthly, keys).filter(F.size("y") >= FEWEST_MONTHS)
-    rows = model_features(monthly, keys)
-    if keys:
-        rows = rows.join(series.select(*keys), keys, "left_semi")
-    model = forest(trees, depth, 1, seed).fit(rows)
-    spread = model.transform(rows).groupBy(*keys).agg(
-        F.stddev_pop(F.col("Sales") - F.col("_prediction")).alias("_s"))
-    state = staged(attach(series, spread, keys), {
+    state = staged(rows, {
         "lag_1": "element_at(y, -1)", "lag_2": "element_at(y, -2)", "lag_3": "element_at(y, -3)",
         "_last": "element_at(dates, -1)", "_recent": A.tail("y", RECENT), "_flat": flat_limit("y"),
         "_f": "CAST(array() AS ARRAY<DOUBLE>)",
     }).withColumn("_slope", F.expr(A.slope("_recent"))).drop("y", "dates", "_recent")
+    kept = [*ids, "_last", "_flat", "_slope"]
     for step in range(1, horizon + 1):
         ready = state.withColumns({
             "_day": F.add_months("_last", step),
@@ -86,13 +69,30 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
                 (F.pow(F.col(f"lag_{i}") - F.col("rolling_mean_3"), F.lit(2)) for i in (1, 2, 3)), F.lit(0.0)) / 3),
             "month": F.month("_day"), "quarter": F.quarter("_day"), "year": F.year("_day"),
         })
-        kept = [*keys, "_s", "_last", "_flat", "_slope"]
         state = model.transform(ready).select(
             *kept, F.greatest("_prediction", F.lit(0.0)).alias("_p"), "lag_1", "lag_2", "_f"
         ).select(*kept, F.col("_p").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"),
                  F.concat("_f", F.array("_p")).alias("_f"))
-        if step % STEPS_PER_CUT == 0 and step < horizon:
+        if step % steps_per_cut == 0 and step < horizon:
             state = cut_lineage(state)
+    return state
+
+
+def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str] = (), z: float = Z_95,
+                           trees: int = 120, depth: int = 8, seed: int = 42,
+                           steps_per_cut: int = STEPS_PER_CUT) -> DataFrame:
+    """Month-by-month forecasts of every series by one forest over the whole panel."""
+    keys = list(keys)
+    # History, training rows and residuals all start from the month totals.
+    monthly = settle(monthly_totals(df, keys), "monthly")
+    series = month_arrays(monthly, keys).filter(F.size("y") >= FEWEST_MONTHS)
+    rows = model_features(monthly, keys)
+    if keys:
+        rows = rows.join(series.select(*keys), keys, "left_semi")
+    model = forest(trees, depth, 1, seed).fit(rows)
+    spread = model.transform(rows).groupBy(*keys).agg(
+        F.stddev_pop(F.col("Sales") - F.col("_prediction")).alias("_s"))
+    state = _rolled(model, attach(series, spread, keys), [*keys, "_s"], horizon, steps_per_cut)
     done = staged(state, {"_f": move_if_flat("_f", "_slope", "_flat", 0.20, 0.78)})
     long = done.select(*keys, "_s", "_last", F.posexplode("_f").alias("_i", "Forecast"))
     step = F.col("_i") + 1
@@ -104,6 +104,28 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
     )
 
 
+def forest_paths(cut: DataFrame, keys: Sequence[str], trees: int = 120, depth: int = 8, seed: int = 42,
+                 steps_per_cut: int = STEPS_PER_CUT) -> DataFrame:
+    """Forest forecasts ``v`` of series cut at origins (``slot``, ``o``, ``h``, ``dates``, ``y``).
+
+    ``slot`` numbers the origins of a series from its last one; there are as many forests as
+    slots, each fitted on the whole panel as far as its origins go.
+    """
+    ids, out = [*keys, "o", "h"], None
+    cut = settle(cut.filter(F.size("y") >= FEWEST_MONTHS), "cut")
+    for slot, longest in sorted(cut.groupBy("slot").agg(F.max("h")).collect()):  # a handful of origins
+        part = cut.filter(F.col("slot") == slot)
+        rows = model_features(
+            part.select(*keys, F.explode(F.arrays_zip("dates", "y")).alias("_m")).select(
+                *keys, F.col("_m.dates").alias("Date"), F.col("_m.y").alias("Sales")), keys)
+        model = forest(trees, depth, 1, seed).fit(settle(rows, "features"))
+        state = _rolled(model, part.select(*ids, "dates", "y"), ids, longest, steps_per_cut)
+        state = staged(state, {"_f": "slice(_f, 1, h)"})
+        done = staged(state, {"v": move_if_flat("_f", "_slope", "_flat", 0.20, 0.78)}).select(*ids, "v")
+        out = done if out is None else out.unionByName(done)
+    return out if out is not None else cut.select(*ids, F.col("y").alias("v"))
+
+
 def feature_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Features of a panel with the train/test part of every month, written once for the fits."""
     return settle(time_split(model_features(monthly_totals(df, keys), keys), keys), "features")
@@ -132,28 +154,35 @@ def refit_best(table: DataFrame, comparison: DataFrame, seed: int = 42) -> tuple
 def importance(model: PipelineModel, spark) -> DataFrame:
     """Share of each feature in a forest's splits, in percent, largest first."""
     parts = model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(f, *FEATURE_LABELS[f], float(v)) for f, v in zip(FEATURES, parts)]
-    table = spark.createDataFrame(rows, "feature string, label string, kind string, _v double")
-    return table.select("feature", "label", "kind", F.round(F.col("_v"), 4).alias("Importance"),
+    rows = [(f, "calendar" if f in CALENDAR else "lag", float(v)) for f, v in zip(FEATURES, parts)]
+    table = spark.createDataFrame(rows, "feature string, kind string, _v double")
+    return table.select("feature", "kind", F.round(F.col("_v"), 4).alias("Importance"),
                         F.round(F.col("_v") * 100, 1).alias("ImportancePct"))
 
 
 def forest_importance(df: DataFrame, keys: Sequence[str] = (), trees: int = 120, depth: int = 8,
                       seed: int = 42) -> DataFrame:
     """Feature importance of the forecasting forest; no rows for fewer than four examples."""
-    rows = model_features(monthly_totals(df, keys), keys)
+    rows = settle(model_features(monthly_totals(df, keys), keys), "features")
     if len(rows.limit(4).collect()) < 4:
         return df.sparkSession.createDataFrame(
-            [], "feature string, label string, kind string, Importance double, ImportancePct double")
+            [], "feature string, kind string, Importance double, ImportancePct double")
     return importance(forest(trees, depth, 1, seed).fit(rows), df.sparkSession)
 
 
-def regression_summary(comparison: DataFrame, examples: DataFrame) -> DataFrame:
-    """Best and worst learner with their errors, and whether the history is deep (90 rows)."""
+def regression_summary(comparison: DataFrame, examples: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """Best and worst learner with their errors, why the best one suits, whether the history is deep
+    (90 rows), and how many ``anomalies`` call for caution."""
     ends = comparison.agg(
         F.min(F.struct("rank", "model_key", "RMSE", "MAE")).alias("_b"),
         F.max(F.struct("rank", "model_key", "RMSE")).alias("_w"))
-    return attach(ends, examples.agg(F.count(F.lit(1)).alias("examples")), ()).select(
+    odd = anomalies.agg(F.count(F.lit(1)).alias("anomalies")) if anomalies is not None else ends.select(
+        F.lit(0).cast("long").alias("anomalies"))
+    suits = F.when(F.col("_b.model_key") == "Random Forest", "non_linear").when(
+        F.col("_b.model_key") == "Gradient Boosting", "complex_patterns").otherwise("close_to_linear")
+    sized = attach(attach(ends, examples.agg(F.count(F.lit(1)).alias("examples")), ()), odd, ())
+    return sized.select(
         F.col("_b.model_key").alias("best"), F.col("_b.RMSE").alias("best_rmse"), F.col("_b.MAE").alias("best_mae"),
         F.col("_w.model_key").alias("worst"), F.col("_w.RMSE").alias("worst_rmse"), "examples",
-        (F.col("examples") >= 90).alias("deep_history"))
+        (F.col("examples") >= 90).alias("deep_history"), suits.alias("suits"), "anomalies",
+        (F.col("anomalies") > 0).alias("caution"))

@@ -65,6 +65,19 @@ def fc_fallback(spark, d):
     return rounded(P.forecast_with_fallback(V.sales(spark, d), "seasonal_trend", 4, KEYS))
 
 
+_CUSTOMERS = 'sales AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS "Date", o_totalprice AS Sales FROM orders)'
+
+
+@query("fc_fallback_customers", all_models_sql(["o_custkey"], full_outer(["o_custkey"], 4)).replace(SALES_SQL, _CUSTOMERS) + f"""
+SELECT o_custkey, model_key, step, {_DATE}, round(f, 6) AS "Forecast", round(u, 6) AS "Upper", round(l, 6) AS "Lower"
+FROM af JOIN size USING (o_custkey) WHERE model_key = CASE WHEN n >= 2 THEN 'seasonal_trend' ELSE 'exp_smoothing' END""")
+def fc_fallback_customers(spark, d):
+    """Customers with one month can't run the preferred model."""
+    orders = V.table(spark, d, "orders").select(
+        "o_custkey", F.to_date("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Sales"))
+    return rounded(P.forecast_with_fallback(orders, "seasonal_trend", 4, ["o_custkey"]), 6)
+
+
 _PICK = """SELECT Region, Category, model_key, step, "Date", round(f, 2) AS "Forecast", round(u, 2) AS "Upper", round(l, 2) AS "Lower" FROM pick"""
 
 
@@ -120,7 +133,7 @@ def fc_steps(spark, d):
     return rounded(out, 2, MoM=6)
 
 
-@query("fc_path_summary", all_models_sql(KEYS, full_outer(KEYS, 12)) + """,
+_PATH_SQL = all_models_sql(KEYS, full_outer(KEYS, 12)) + """,
 la AS (SELECT Region, Category, y AS last_actual FROM idx WHERE i = n - 1),
 p AS (SELECT af.*, last_actual, CAST(last_d + to_months(CAST(step AS INTEGER)) AS DATE) AS d,
     f - lag(f) OVER w AS k, lag(f) OVER w AS b, first_value(f) OVER w AS f1
@@ -135,13 +148,27 @@ t AS (SELECT *, (fl - f1) / greatest(f1, 1) * 100 AS tc FROM s)
 SELECT Region, Category, model_key, round(total, 2) AS total, round(mean, 2) AS mean,
   CASE WHEN tc > 8 THEN 'up' WHEN tc < -8 THEN 'down' ELSE 'steady' END AS direction, round(tc, 4) AS total_change,
   round((f1 - la) / greatest(la, 1) * 100, 4) AS launch_change, peak_month, round(peak, 2) AS peak, low_month, round(low, 2) AS low,
-  rise_month, round(rise_pct, 4) AS rise_pct, drop_month, round(drop_pct, 4) AS drop_pct, round(rw, 4) AS range_width_pct FROM t""")
-def fc_path_summary(spark, d):
+  rise_month, round(rise_pct, 4) AS rise_pct, drop_month, round(drop_pct, 4) AS drop_pct, round(rw, 4) AS range_width_pct FROM t"""
+
+
+def _path_summary(spark, d, **how):
     rows = V.sales(spark, d)
-    out = P.path_summary(P.forecast(rows, "seasonal_trend", 12, KEYS), P.last_actuals(rows, KEYS), KEYS)
+    out = P.path_summary(P.forecast(rows, "seasonal_trend", 12, KEYS), P.last_actuals(rows, KEYS), KEYS, **how)
     return rounded(out, 2, total_change=4, launch_change=4, rise_pct=4, drop_pct=4, range_width_pct=4)
 
 
+@query("fc_path_summary", _PATH_SQL)
+def fc_path_summary(spark, d):
+    return _path_summary(spark, d)
+
+
+@query("fc_path_facts", _PATH_SQL.replace("tc > 8 THEN", "tc > 2 THEN").replace("tc < -8 THEN", "tc < -2 THEN").replace(
+    "(fl - f1) / greatest(f1, 1)", "(fl - f1) / greatest(abs(f1), 1)"))
+def fc_path_facts(spark, d):
+    """The form of the chat: 2 percent count as a direction."""
+    return _path_summary(spark, d, limit=2.0, absolute=True)
+
+
 @query("fc_export", champion_and_full_sql(KEYS, 6) + """
 SELECT Region, Category, strftime("Date", '%b %Y') AS "Month", round(f, 2) AS "Forecast", round(u, 2) AS "Upper",
   round(l, 2) AS "Lower", model_key AS "Model" FROM pick""")

@@ -1,12 +1,33 @@
-"""Regression on monthly panels; results depend on the learners, so there are no SQL twins."""
+"""Regression on monthly panels; forecasts depend on the learners, so their twins state what any learner must keep."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as E
+from ..operators import forecast as P
 from ..operators import ml as M
+from ..operators.anomaly import detect_anomalies
+from ..operators.rollup import monthly_totals
 from . import views as V
-from .registry import query, rounded
+from .registry import SALES_SQL, query, rounded
 
 KEYS = ["Region", "Category"]
+WITH_FOREST = [*P.CANDIDATES, P.FOREST]
+
+_KEPT = f"""WITH {SALES_SQL},
+m AS (SELECT Region, Category, CAST(date_trunc('month', "Date") AS DATE) AS d, sum(Sales) AS s FROM sales GROUP BY ALL)
+SELECT Region, Category, 6 AS steps, CAST(max(d) + INTERVAL 1 MONTH AS DATE) AS first_month,
+  CAST(max(d) + INTERVAL 6 MONTH AS DATE) AS last_month, true AS bands_hold, true AS not_negative FROM m GROUP BY ALL"""
+
+
+def _kept(forecasts):
+    """Steps, months and order of the bands of each path."""
+    c = F.col
+    return forecasts.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("steps"), F.min("Date").alias("first_month"), F.max("Date").alias("last_month"),
+        F.bool_and((c("Lower") <= c("Forecast")) & (c("Forecast") <= c("Upper"))).alias("bands_hold"),
+        F.bool_and(c("Forecast") >= 0).alias("not_negative"))
 
 
 @query("fc_random_forest")
@@ -14,6 +35,22 @@ def fc_random_forest(spark, d):
     return rounded(M.random_forest_forecast(V.sales(spark, d), 6, KEYS))
 
 
+@query("fc_forest_kept", _KEPT)
+def fc_forest_kept(spark, d):
+    return _kept(P.forecast(V.sales(spark, d), P.FOREST, 6, KEYS))
+
+
+@query("fc_champion_forest", _KEPT)
+def fc_champion_forest(spark, d):
+    """Best-model forecasts with the forest among the candidates."""
+    return _kept(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS, models=WITH_FOREST))
+
+
+@query("eval_holdout_forest")
+def eval_holdout_forest(spark, d):
+    return E.compare_models(V.sales(spark, d), KEYS, WITH_FOREST)
+
+
 @query("feature_importance")
 def feature_importance(spark, d):
     return M.forest_importance(V.sales(spark, d), KEYS)
@@ -23,3 +60,24 @@ def feature_importance(spark, d):
 def regression_compare(spark, d):
     comparison, _ = M.compare_regressors(M.feature_table(V.sales(spark, d), KEYS))
     return comparison
+
+
+@query("regression_summary")
+def regression_summary(spark, d):
+    """Best and worst learner, why the best one suits, and whether anomalies call for caution."""
+    rows = V.sales(spark, d)
+    table = M.feature_table(rows, KEYS)
+    comparison, _ = M.compare_regressors(table)
+    odd = detect_anomalies(monthly_totals(rows, KEYS), "zscore", keys=KEYS)
+    return M.regression_summary(comparison, table, odd)
+
+
+@query("regression_refit")
+def regression_refit(spark, d):
+    """Errors on all rows of the best learner, fitted again on all rows."""
+    table = M.feature_table(V.sales(spark, d), KEYS)
+    comparison, _ = M.compare_regressors(table)
+    name, model = M.refit_best(table, comparison)
+    return rounded(E.metrics(model.transform(table).select(
+        F.lit(name).alias("model_key"), F.col("Sales").alias("actual"), F.col("_prediction").alias("predicted")),
+        ["model_key"]), 4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import attach
 from ..operators.evaluate import compare_models
-from ..operators.forecast import DEFAULTS, Z_95, chosen_rows, series_of, with_chosen_path
+from ..operators.forecast import DEFAULTS, FOREST, Z_95, champion_rows, series_of
 
 TRAINED = ["moving_average", "linear_trend", "seasonal_naive", "exp_smoothing", "holts"]
 
@@ -26,7 +26,7 @@ def with_params(champions: DataFrame) -> DataFrame:
 
 
 def train_all(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = TRAINED) -> DataFrame:
-    """The model with the lowest holdout error per series, with its settings."""
+    """The model with the lowest holdout error per series, with its settings; ``models`` may hold the forest."""
     best = compare_models(df, keys, models).filter("rank = 1").drop("rank")
     last = series_of(df, keys).select(*keys, F.element_at("dates", -1).alias("trained_on"))
     return with_params(attach(best, last, keys))
@@ -50,8 +50,9 @@ def score_champions(champions: DataFrame, df: DataFrame, horizon: int = 12, keys
     """Forecast new data with saved models and their saved settings."""
     chosen = champions.select(*keys, F.col("model_key").alias("champion"), "params")
     rows = attach(series_of(df, keys), chosen, keys).filter("champion IS NOT NULL").withColumn("h", F.lit(horizon))
+    with_forest = bool(champions.filter(F.col("model_key") == FOREST).head(1))
     saved = {
         m: {k: _saved(k, v, k in ("window", "season")) for k, v in settings.items() if k != "top_n"}
         for m, settings in DEFAULTS.items()
     }
-    return chosen_rows(with_chosen_path(rows, F.col("champion"), z, saved), keys)
+    return champion_rows(rows, df, horizon, keys, z, with_forest, saved)
