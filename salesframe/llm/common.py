@@ -6,6 +6,8 @@ no step in which one key, one task or the driver holds a whole group.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +29,14 @@ def text_or_empty(text: str = "text") -> Column:
 def running_total(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
     """``df`` with, for each name of ``totals``, the exact sum over all earlier rows of the same keys.
 
-    The order is fixed by the data alone: rows are dealt to slices by a hash of the
-    ``order`` columns (some per shuffle partition), slices follow each other by number and
-    rows within a slice by ``order``. So a key with a third of all rows is spread over
-    all tasks; only one small row per key and slice is summed up along a key. Rows that
-    agree in all of ``order`` are interchangeable. ``df`` is read twice: pass a settled
-    or cheap table.
+    The order is fixed by the data alone, whatever the session's settings: rows are dealt to
+    slices, about the square root of their number, by a hash of the ``order`` columns; slices
+    follow each other by number and rows within a slice by ``order``. So a key with a third of
+    all rows is spread over all tasks, and neither a slice nor the one small row per key and
+    slice that is summed up along a key is more than about that root. Rows that agree in all
+    of ``order`` are interchangeable. ``df`` is read several times: pass a settled table.
     """
-    slices = 4 * shuffle_partitions(df.sparkSession)
+    slices = math.isqrt(df.count()) + 1
     rows = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     per = rows.groupBy(*keys, "_slice").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

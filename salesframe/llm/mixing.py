@@ -115,8 +115,8 @@ def drawn_blocks(sources: DataFrame, shard: int = SHARD) -> DataFrame:
         sources.select("number", "quota"), "number").withColumn(
         "used", F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("k"))))
     placed = settle(placed.withColumn("over", F.col("n") - F.col("used")), "placed")
-    spare = running_total(placed.where("over > 0").select(F.lit(0).alias("all"), "shard", "number", "over"),
-                          ["all"], ["shard", "number"], {"at": F.col("over")})
+    surplus = placed.where("over > 0").select(F.lit(0).alias("all"), "shard", "number", "over")
+    spare = running_total(surplus, ["all"], ["shard", "number"], {"at": F.col("over")})
     spare = spare.select("shard", F.explode(F.expr("sequence(at, at + over - 1)")).alias("at"))
     # ... goes to what is missing from others
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)

@@ -101,7 +101,18 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
                         F.length("candidate").alias("length"), "score", "secret")
 
 
-@_query("op8_embed_dedup")
+@_query("op8_embed_dedup", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    THEN list_transform(embedding, lambda x: CAST(x AS DOUBLE)) END AS e FROM embeddings),
+l AS (SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT n, n AS m FROM v UNION SELECT l.b, r.m FROM r JOIN l ON r.n = l.a),
+c AS (SELECT r.n, min(v.vec_id) AS component_id FROM r JOIN v ON v.n = r.m GROUP BY r.n),
+k AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN c USING (n) LEFT JOIN k USING (n)""")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return embed_dedup.embedding_groups(_table(spark, folder, "embeddings"))
 
