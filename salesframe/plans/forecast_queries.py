@@ -69,13 +69,13 @@ _CUSTOMERS = 'sales AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS "Date", o
 
 
 @query("fc_fallback_customers", all_models_sql(["o_custkey"], full_outer(["o_custkey"], 4)).replace(SALES_SQL, _CUSTOMERS) + f"""
-SELECT o_custkey, model_key, step, {_DATE}, round(f, 6) AS "Forecast", round(u, 6) AS "Upper", round(l, 6) AS "Lower"
+SELECT o_custkey, model_key, step, {_DATE}, round(f, 4) AS "Forecast", round(u, 4) AS "Upper", round(l, 4) AS "Lower"
 FROM af JOIN size USING (o_custkey) WHERE model_key = CASE WHEN n >= 2 THEN 'seasonal_trend' ELSE 'exp_smoothing' END""")
 def fc_fallback_customers(spark, d):
     """Customers with one month can't run the preferred model."""
     orders = V.table(spark, d, "orders").select(
         "o_custkey", F.to_date("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Sales"))
-    return rounded(P.forecast_with_fallback(orders, "seasonal_trend", 4, ["o_custkey"]), 6)
+    return rounded(P.forecast_with_fallback(orders, "seasonal_trend", 4, ["o_custkey"]), 4)
 
 
 _PICK = """SELECT Region, Category, model_key, step, "Date", round(f, 2) AS "Forecast", round(u, 2) AS "Upper", round(l, 2) AS "Lower" FROM pick"""
