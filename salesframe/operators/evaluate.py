@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions.exprs import attach, per_series
+from ..session import settle
 from .anomaly import rolling_count
 from .forecast import (
     CANDIDATES, FOREST, FOREST_MONTHS, Params, add_models, check_models, listed_paths, series_of,
@@ -152,7 +153,7 @@ def _champion_plan(series: DataFrame) -> DataFrame:
 def champions(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = CANDIDATES,
               fallback: str = "holts") -> DataFrame:
     """The best model of every series with its metrics and how it was judged."""
-    return _champions(series_of(df, keys), keys, models, fallback)
+    return _champions(settle(series_of(df, keys), "series"), keys, models, fallback)
 
 
 def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = CANDIDATES,
@@ -167,7 +168,8 @@ def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = C
 
 
 def with_champion(series: DataFrame, keys: Sequence[str], models: Sequence[str] = CANDIDATES) -> DataFrame:
-    """Monthly arrays with the ``champion`` model of each series."""
+    """Monthly arrays with the ``champion`` model of each series; the arrays are written once."""
+    series = settle(series, "series")
     picked = _champions(series, keys, models).select(*keys, F.col("model_key").alias("champion"))
     return attach(series, picked, keys)
 

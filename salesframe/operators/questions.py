@@ -52,7 +52,14 @@ SALES_WORDS = ["sales", "revenue"]
 DEFAULT_HORIZON, LONGEST_HORIZON = 6, 60
 DIMENSION_ORDER = ["Category", "Product", "Product Name", "Item", "Item Name", "SKU", "Brand", "Region"]
 
+# Patterns that read how far ahead a question looks, and the name of the application.
 _NUMBER = r"(\d+|" + "|".join(NUMBERS) + r"|twenty[- ]four)"
+_AHEAD = r"\bnext\s+(\d+|" + "|".join(NUMBERS) + r")[-\s]*(month|months|year|years)\b"
+_NEXT_YEAR = r"\bnext\s+year\b"
+_YEARS = _NUMBER + r"[-\s]*(?:year|years|yr|yrs)\b"
+_MONTHS = _NUMBER + r"[-\s]*(?:month|months|mo|mos)\b"
+_NEXT = r"\bnext\s+" + _NUMBER + r"\b"
+_APP = r"\bapp\b"
 
 
 def has_any(q: str, words: Sequence[str]) -> str:
@@ -68,11 +75,10 @@ def intent(q: str) -> str:
     has = lambda name: has_any(q, INTENT_WORDS[name])
     word = lambda w: f"contains({q}, '{w}')"
     weak = has_any(q, WEAK)
-    numbers = "|".join(NUMBERS)
-    ahead = rf"({word('next')} AND {q} RLIKE r'(?U)\bnext\s+(\d+|{numbers})[-\s]*(month|months|year|years)\b')"
+    ahead = f"({word('next')} AND {q} RLIKE r'(?U){_AHEAD}')"
     rules = [
         (has("anomaly"), "anomaly"), (has("recommendations"), "recommendations"), (has("model_info"), "model_info"),
-        (rf"{has('project_info')} OR ({word('app')} AND {q} RLIKE r'(?U)\bapp\b')", "project_info"),
+        (f"{has('project_info')} OR ({word('app')} AND {q} RLIKE r'(?U){_APP}')", "project_info"),
         (has("data_info"), "data_info"), (has("scenario"), "scenario"), (f"{has('forecast')} OR {ahead}", "forecast"),
         (has("comparison"), "comparison"), (has("summary"), "summary"),
         (f"{word('region')} AND {weak}", "weakest_region"), (f"{word('category')} AND {weak}", "weakest_category"),
@@ -98,10 +104,10 @@ def horizon(q: str, longest: int = LONGEST_HORIZON) -> str:
 
     months = ", ".join([
         f"CASE WHEN contains({q}, 'next month') THEN 1D END",
-        rf"CASE WHEN {q} RLIKE r'(?U)\bnext\s+year\b' THEN 12D END",
-        find(["year", "yr"], _NUMBER + r"[-\s]*(?:year|years|yr|yrs)\b") + " * 12",
-        find(["mo"], _NUMBER + r"[-\s]*(?:month|months|mo|mos)\b"),
-        find(["next"], r"\bnext\s+" + _NUMBER + r"\b"),
+        f"CASE WHEN {q} RLIKE r'(?U){_NEXT_YEAR}' THEN 12D END",
+        find(["year", "yr"], _YEARS) + " * 12",
+        find(["mo"], _MONTHS),
+        find(["next"], _NEXT),
         f"{DEFAULT_HORIZON}D",
     ])
     return f"CAST(least(greatest(coalesce({months}), 1D), {longest}D) AS BIGINT)"
