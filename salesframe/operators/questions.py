@@ -158,6 +158,16 @@ def dimension_values(df: DataFrame, dims: Sequence[str] | None = None) -> DataFr
 _PIECES = r"(?U)\w+|\W"
 
 
+def _marked(pieces: str) -> str:
+    """SQL text: pieces in a row, words between marks of one kind, other pieces between marks of another.
+
+    The row begins and ends with a mark of the other kind. One row holds another exactly where
+    its pieces follow each other with no word directly before or after.
+    """
+    mark = r"IF(t RLIKE r'(?U)^\w', '\u0002', '\u0003')"
+    return f"concat('\u0003', array_join(transform({pieces}, t -> concat({mark}, t, {mark})), ''), '\u0003')"
+
+
 def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
              text_col: str = "question") -> DataFrame:
     """The dimension value a question names: ``dim`` and ``value``, NULL if none.
@@ -169,17 +179,16 @@ def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
     longest value wins.
     """
     cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECES), F.lit(0))
-    run = lambda pieces: F.concat(F.lit("\u0001"), F.array_join(pieces, "\u0001"), F.lit("\u0001"))
     known = values.select("dim", "value", "place", cut("value").alias("_v")).select(
-        "dim", "value", "place", F.get("_v", F.lit(0)).alias("_piece"), run(F.col("_v")).alias("_run"))
+        "dim", "value", "place", F.get("_v", F.lit(0)).alias("_piece"), F.expr(_marked("_v")).alias("_run"))
     spread = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = questions.repartition(spread, *ids)
     pieces = rows.select(*ids, F.explode(F.array_distinct(cut(text_col))).alias("_piece"))
     found = pieces.join(known, "_piece").groupBy(*ids).agg(
         F.collect_list(F.struct("dim", "value", "place", "_run")).alias("_found"))
     joined = rows.join(found, list(ids), "left")
-    joined = staged(joined, {"_text": f"""CASE WHEN _found IS NOT NULL THEN concat('\u0001', array_join(
-        regexp_extract_all(lower(`{text_col}`), r'{_PIECES}', 0), '\u0001'), '\u0001') END"""})
+    pieces_of = f"regexp_extract_all(lower(`{text_col}`), r'{_PIECES}', 0)"
+    joined = staged(joined, {"_text": f"CASE WHEN _found IS NOT NULL THEN {_marked(pieces_of)} END"})
     first = (f"(contains(lower(`{text_col}`), 'category') AND x.dim = 'Category') OR (NOT contains(lower(`{text_col}`), 'category')"
              f" AND contains(lower(`{text_col}`), 'region') AND x.dim = 'Region')")
     best = (f"array_min(transform(filter(_found, x -> contains(_text, x._run)), x -> named_struct("
