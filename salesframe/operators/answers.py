@@ -121,12 +121,12 @@ ASK = ["route", "scope_dim", "scope_value", "horizon"]
 def asks(questions: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Which result each routed question asks for: ids and the columns of ``ASK``.
 
-    Only what tells results apart is kept: no horizon where nothing is forecast.
+    Only what tells results apart is kept: the horizon is 0 where nothing is forecast.
     """
     ahead = F.col("route").startswith("forecast")
     return questions.select(*ids, "route", F.coalesce("scope_dim", F.lit("")).alias("scope_dim"),
                             F.when(F.col("route") != "forecast", F.lower("scope_value")).alias("scope_value"),
-                            F.when(ahead, F.col("horizon")).alias("horizon"))
+                            F.when(ahead, F.col("horizon")).otherwise(0).alias("horizon"))
 
 
 def answers(asked: DataFrame, facts: DataFrame, forecasts: DataFrame) -> DataFrame:

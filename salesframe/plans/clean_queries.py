@@ -158,13 +158,13 @@ def onehot(spark, d):
 
 @query("onehot_vectors", """
 WITH v AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey))
-SELECT c_custkey, CAST(n - 1 AS INTEGER) AS size, CASE WHEN i > 1 THEN CAST(i - 2 AS INTEGER) END AS place
+SELECT c_custkey, CAST(n - 1 AS INTEGER) AS size, CAST(i - 2 AS INTEGER) AS place
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN v USING (n_name)""")
 def onehot_vectors(spark, d):
     rows = V.table(spark, d, "customer").join(
         V.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
     return W.one_hot_vectors(rows, ["n_name"]).select(
-        "c_custkey", F.col("n_name_levels.size").alias("size"), F.get("n_name_levels.indices", F.lit(0)).alias("place"))
+        "c_custkey", F.col("n_name_levels.size").alias("size"), F.coalesce(F.get("n_name_levels.indices", F.lit(0)), F.lit(-1)).alias("place"))
 
 
 @query("minmax", """

@@ -190,7 +190,7 @@ def question_facts(spark, d):
 
 @query("question_asks", f"""{ROUTE_SQL} SELECT conv_id, turn, route, coalesce(scope_dim, '') AS scope_dim,
   CASE WHEN route <> 'forecast' THEN lower(scope_value) END AS scope_value,
-  CASE WHEN starts_with(route, 'forecast') THEN horizon END AS horizon FROM ro""")
+  CASE WHEN starts_with(route, 'forecast') THEN horizon ELSE 0 END AS horizon FROM ro""")
 def question_asks(spark, d):
     """Which result answers each question."""
     return A.asks(_routed(spark, d), IDS)

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -37,7 +38,7 @@ def test_query_equals_sql(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) == len(want)
     text = lambda df: sorted(
-        tuple("" if v is None or v != v else str(v)[:10] if hasattr(v, "isoformat") else
+        tuple("" if pd.isna(v) else str(v)[:10] if hasattr(v, "isoformat") else
               f"{v + 0.0:.4f}" if isinstance(v, (int, float)) else str(v) for v in row)
         for row in df[columns].itertuples(index=False))
     assert text(got) == text(want)
