@@ -29,8 +29,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import staged
 from ..session import settle
-from .common import KEY, WORD, once, row_key, running_total, shuffle_partitions, text_or_empty
+from .common import KEY, SPACE, WORD, once, row_key, running_total, shuffle_partitions, text_or_empty
 
 #: Words of a block, slots of an output shard.
 BLOCK, SHARD = 64, 8192
@@ -180,11 +181,10 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     keyed = once(docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_column, text, source)))
     found = spans.select(*KEY, "spans", (F.col("taken") == F.col("size")).alias("whole")).join(keyed, KEY)
     body = f"_row.`{text}`"
-    cut = F.expr(
-        "regexp_replace(array_join(flatten(transform(spans, s -> slice(parts, CAST(s.begin + 1 AS INT), CAST(s.words AS INT)))), ''),"
-        r" '^[\\x20\\x09-\\x0D]+', '')")
-    found = found.withColumn("parts", F.when(~F.col("whole"), F.regexp_extract_all(
-        body, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
-    new = F.when(F.col("whole"), F.col(body)).otherwise(cut)
+    # a text is parted once, not again for each of its spans
+    found = staged(found, {"parts": f"CASE WHEN NOT whole THEN regexp_extract_all({body}, r'{SPACE}*{WORD}', 0) END"})
+    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(
+        "parts", (s["begin"] + 1).cast("int"), s["words"].cast("int")))), "")
+    new = F.when(F.col("whole"), F.col(body)).otherwise(F.regexp_replace(cut, f"^{SPACE}+", ""))
     return found.withColumn("_text", new).select(
         *[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
