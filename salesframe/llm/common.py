@@ -37,17 +37,16 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], totals: dict
     of ``order`` are interchangeable. ``df`` is read several times: pass a settled table.
     """
     slices = math.isqrt(df.count()) + 1
-    rows = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    per = rows.groupBy(*keys, "_slice").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_base_slice"),
-        *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in totals])
-    condition = F.col("_slice") == F.col("_base_slice")
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(base, condition).select(
+    # keys as columns that are never null, so that the join and the window share one shuffle of the rows
+    plain = {f"_text{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    plain |= {f"_none{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+    by = [*plain, "_slice"]
+    rows = df.withColumns(plain | {"_slice": F.pmod(F.xxhash64(*order), F.lit(slices))})
+    per = rows.groupBy(*by).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    before = Window.partitionBy(*plain).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*by, *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in totals])
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(base, by).select(
         *df.columns,
         *[(F.col(f"_base_{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(n) for n, v in totals.items()])
 
