@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
+
 GRAMS = 3
 BUCKETS = 1 << 14
 #: Rows to learn from and landmarks among them, at most.
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: st
     """A model from a bounded sample of ``docs``, all of whose rows may be learned from."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").count()
+    sizes = settle(rows.groupBy("lang").count(), "languages")  # written first: the join by a hot language moves no row
     quota = max(1, sample // max(1, sizes.count()))
     # ids hashed to the unit interval; a generous share of each language first, then the exact number
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
