@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from salesframe.llm import (
-    exact_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash,
+    exact_dedup, langid, license_scan, line_dedup, mixing, near_dedup, packing, quality, secret_scan, simhash,
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, id long, row string, kept boolean, lines int, start int"
@@ -421,3 +421,28 @@ def test_secret_scan(spark, docs, nothing):
     assert len(one) == 1 and 0 < one.pop() < 0.5
     assert secret_scan.secret_scan(nothing).count() == 0
     assert secret_scan.secret_scan(docs).count() == 0
+
+
+def test_near_dedup_against_all_pairs(spark, docs, nothing):
+    rng = random.Random(12)
+    rows = list(odd_rows())
+    common = [rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(40)]
+    for i in range(100, 130):  # a passage in all, a group of near copies, pairs about the limit
+        own = [rng.choice(WORDS) + str(rng.randrange(500)) for _ in range(rng.randrange(5, 120))]
+        rows.append((i, " ".join(own + common), "en", "b"))
+        for j in range(1, 4):
+            copy = [w if rng.random() > 0.01 * j else "x" for w in own + common]
+            rows.append((1000 * j + i, " ".join(copy), "en", "b"))
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    linked = [(i, j) for i in range(len(rows)) for j in range(i)
+              if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = roots(len(rows), linked)
+    want = sorted(repr(smallest([rows[i][0] for i in range(len(rows)) if root[i] == r])) for r in set(root))
+    left = near_dedup.near_dedup(spark.createDataFrame(table(rows), SCHEMA).repartition(5))
+    assert left.columns == docs.columns and sorted(repr(r.doc_id) for r in left.collect()) == want
+    assert near_dedup.near_dedup(nothing).count() == 0
+    far = [(i, j) for i, j in linked if (brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[j][1])).bit_count() > 3]
+    assert far  # links that three bits do not reach
