@@ -2,7 +2,8 @@
 
 Whole texts, runs of their paragraphs (between blank lines; runs as long as any known text) and
 their lines are brought to a canonical form and hash-joined, by SHA-256, to the digests of known
-licence texts in the same form.
+licence texts in the same form. Long licences are known by digests (``license_digests``): as whole
+texts, and as runs of their own number of paragraphs.
 Canonical: lower case; copyright lines (a copyright mark and a year) removed; every run of
 characters that are neither letters nor digits is one space; equivalent spellings are
 written one way. All steps are DataFrame functions; texts are read once.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import staged
 from ..session import settle
 from .common import text_or_empty
+from .license_digests import FULL
 from .license_texts import KNOWN
 
 #: A line that states a copyright.
@@ -52,13 +54,18 @@ def canonical_lines(text: Column, spellings: list[tuple[str, str]] = SPELLINGS)
     return form
 
 
-def with_units(rows: DataFrame, run: int = 1) -> DataFrame:
+def _flat(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"[ \n]+", " "))
+
+
+def with_units(rows: DataFrame, run: int = 1, full: list[tuple] = ()) -> DataFrame:
     """``rows`` with ``units``, kind and digest of each unit of the canonical text ``form``; the whole text comes first.
 
-    ``run``: paragraphs that a unit may take together.
+    ``run``: paragraphs that a unit may take together. ``full``: long known texts, as in ``license_digests``; runs of
+    as many paragraphs are units where they begin with the first paragraph of such a text.
     """
     def digest(kind: str, x: Column) -> Column:
-        flat = F.trim(F.regexp_replace(x, r"[ \n]+", " "))
+        flat = _flat(x)
         return F.when(flat != "", F.struct(F.lit(kind).alias("kind"), F.unhex(F.sha2(flat, 256)).alias("digest")))
 
     paragraphs, lines = F.col("_paragraphs"), F.col("_lines")
@@ -68,11 +75,30 @@ def with_units(rows: DataFrame, run: int = 1) -> DataFrame:
             F.sequence(F.lit(1), F.size(paragraphs) - n + 1),
             lambda i: digest("paragraphs", F.array_join(F.slice(paragraphs, i, n), " ")))).otherwise(F.array())
 
+    starts: dict[int, set[str]] = {}
+    for _, n, first, _ in full:
+        if n > run:
+            starts.setdefault(n, set()).add(first)
+
+    def long_runs() -> list[Column]:
+        at = F.col("_heads")
+
+        def runs_of(n: int) -> Column:
+            fits = F.filter(at, lambda p: p["head"].isin(sorted(starts[n])) & (p["i"] + n - 1 <= F.size(paragraphs)))
+            return F.when(F.size(paragraphs) > n, F.transform(
+                fits, lambda p: digest("paragraphs", F.array_join(F.slice(paragraphs, p["i"], n), " ")))).otherwise(F.array())
+        return [runs_of(n) for n in sorted(starts)]
+
     rows = staged(rows, {"_paragraphs": f"split(form, r'{BLANK}')", "_lines": "split(form, '\n')"})
+    if starts:
+        # where such a text may begin: few places, found once, so the long runs cost next to nothing
+        known = ", ".join(sorted({f"'{h}'" for hs in starts.values() for h in hs}))
+        rows = staged(rows, {"_heads": f"""IF(size(_paragraphs) > {min(starts)}, filter(transform(_paragraphs,
+            (x, i) -> named_struct('i', i + 1, 'head', trim(regexp_replace(x, '[ \n]+', ' ')))), p -> p.head IN ({known})), array())"""})
     return rows.withColumn("units", F.filter(F.concat(
-        F.array(digest("text", F.col("form"))), *[runs(n) for n in range(1, run + 1)],
+        F.array(digest("text", F.col("form"))), *[runs(n) for n in range(1, run + 1)], *long_runs(),
         F.when(F.size(lines) > 1, F.transform(lines, lambda x: digest("line", x))).otherwise(F.array()),
-    ), lambda u: u.isNotNull())).drop("_paragraphs", "_lines", "form")
+    ), lambda u: u.isNotNull())).drop("_paragraphs", "_lines", "_heads", "form")
 
 
 def _forms(rows: DataFrame, text: str) -> DataFrame:
@@ -92,14 +118,19 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None, id_column: str
     ``text_license`` of the whole text, ``licenses`` found (by name) and ``notices``, their number.
     """
     spark = docs.sparkSession
+    full = FULL if known is None else []
     if known is None:
         known = spark.createDataFrame(KNOWN, "license string, text string")
     run = _forms(known.select("text"), "text").agg(F.max(F.size(F.split("form", BLANK)))).first()[0] or 1
     forms = _forms(docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"),
                                F.col(text).alias("body")), "body")
-    rows = settle(with_units(forms, run), "units")
+    rows = settle(with_units(forms, run, full), "units")
+    digests = known_digests(known)
+    if full:
+        more = spark.createDataFrame([(bytes.fromhex(d), n) for n, _, _, d in full], "digest binary, license string")
+        digests = digests.union(more).groupBy("digest").agg(F.min("license").alias("license"))
     hits = (rows.select("row", F.explode("units").alias("unit")).select("row", "unit.*")
-            .join(known_digests(known), "digest").groupBy("row")
+            .join(digests, "digest").groupBy("row")
             .agg(F.max(F.when(F.col("kind") == "text", F.col("license"))).alias("text_license"),
                  F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),
                  F.count("*").alias("notices")))
@@ -121,7 +152,7 @@ def oracle() -> str:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(same)}, 'g')"
     known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
     run = max(len(re.split(BLANK, t.replace("\t", " "))) for _, t in KNOWN)
-    flat = "trim(regexp_replace(x, '[ \\n]+', ' ', 'g'))"
+    flat = "trim(regexp_replace(x, r'[ \\n]+', ' ', 'g'))"
     return f"""
 WITH known_forms AS (SELECT license, {form} AS x FROM (VALUES {known}) AS k(license, text)),
 known AS (SELECT sha256({flat}) AS digest, min(license) AS license FROM known_forms GROUP BY 1),

@@ -446,3 +446,20 @@ def test_near_dedup_against_all_pairs(spark, docs, nothing):
     assert near_dedup.near_dedup(nothing).count() == 0
     far = [(i, j) for i, j in linked if (brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[j][1])).bit_count() > 3]
     assert far  # links that three bits do not reach
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="licence texts not here")
+def test_whole_long_licenses(spark):
+    want = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1",
+            "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    rows = []
+    for i, file in enumerate(want):
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            text = f.read()
+        rows += [(i, text, None, None), (100 + i, "Some words.\n\n" + text + "\n\nMore words.", None, None),
+                 (200 + i, text[:len(text) // 2], None, None)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(table(rows), SCHEMA)).collect()}
+    for i, name in enumerate(want.values()):
+        assert got[i].text_license == name
+        assert name in got[100 + i].licenses.split(",") and got[100 + i].text_license is None
+        assert name not in got[200 + i].licenses.split(",")
