@@ -1,9 +1,11 @@
 """Line-level duplicates by pairwise alignment.
 
-Lines that occur in several documents name an owner: the earliest document that has them
-(smallest id, null ids last). Every other document with the line is paired with that owner,
-so a line shared by n documents makes n - 1 pairs however common it is; rare and common lines
-go the same way and none is left out. For each pair the lines it shares are aligned by patience
+A passage is the shortest run of consecutive lines, from a line on or up to a line, that has
+``block_words`` words; every block that can be deleted is made of passages. Each passage names an
+owner: the earliest document that has it (smallest id, null ids last). Every other document with it
+is paired with that owner, so a passage shared by n documents makes n - 1 pairs however common it
+is; rare and common ones go the same way and none is left out. So a block shared with any earlier
+document is looked for, whatever the owners of its single lines. For each pair all lines it shares are aligned by patience
 diff: lines unique on both sides, in the longest order common to both, are anchors; the gaps
 between anchors are aligned again, from their ends inward and by lines unique within the gap.
 Aligned lines that follow each other on both sides are a block, and blocks of at least
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import KEY, row_key
+from .common import KEY, once, row_key
 
 #: Words from which on an aligned block is deleted.
 BLOCK_WORDS = 5
@@ -115,15 +117,49 @@ def common_blocks(shared: list[tuple[list[int], list[int], int]], block_words: i
 
 # --- the whole table ---------------------------------------------------------
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for key, a, b, body in zip(batch["id"], *(batch[k] for k in KEY), batch["body"]):
-            at: dict[str, list[int]] = {}
-            for i, line in enumerate(text_lines(body)):
-                at.setdefault(line, []).append(i)
-            out += [(md5(x.encode()).digest(), key, a, b, ps, len(x.split())) for x, ps in at.items()]
-        yield pd.DataFrame(out, columns=["line", "id", *KEY, "places", "words"])
+def passages(digests: list[bytes], words: list[int], block_words: int) -> set[bytes]:
+    """Digests of the shortest runs of ``block_words`` words from each line on and up to each line."""
+    runs, start, total = set(), 0, 0
+    for end, n in enumerate(words):  # up to each line
+        total += n
+        while total - words[start] >= block_words and start < end:
+            total -= words[start]
+            start += 1
+        if total >= block_words:
+            runs.add((start, end + 1))
+    end = total = 0
+    for start, n in enumerate(words):  # from each line on
+        while total < block_words and end < len(words):
+            total += words[end]
+            end += 1
+        if total >= block_words and end > start:
+            runs.add((start, end))
+        total -= n
+    return {md5(b"".join(digests[i:j])).digest() for i, j in runs}
+
+
+def _occurrences(block_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, a, b, body in zip(batch["id"], *(batch[k] for k in KEY), batch["body"]):
+                lines = text_lines(body)
+                digests, words = [md5(x.encode()).digest() for x in lines], [len(x.split()) for x in lines]
+                out.append((key, a, b, [int.from_bytes(x[:8], "little", signed=True) for x in digests], words,
+                            list(passages(digests, words, block_words))))
+            yield pd.DataFrame(out, columns=["id", *KEY, "lines", "words", "passages"])
+    return run
+
+
+def pair_blocks(later: list[int], words: list[int], earlier: list[int], block_words: int) -> list[int]:
+    """Positions to delete from a document, given the digests of all lines of it and of an earlier one."""
+    at: dict[int, tuple[list[int], list[int], int]] = {}
+    for i, line in enumerate(later):
+        at.setdefault(line, ([], [], words[i]))[0].append(i)
+    for i, line in enumerate(earlier):
+        if line in at:
+            at[line][1].append(i)
+    return common_blocks([x for x in at.values() if x[1]], block_words)
 
 
 def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -131,25 +167,29 @@ def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """Row key and ``removed``, the places among its non-empty lines, of each document that loses lines."""
     kind = docs.schema[id_column].dataType
     schema = T.StructType([
-        T.StructField("line", T.BinaryType()), T.StructField("id", kind), *[T.StructField(k, T.LongType()) for k in KEY],
-        T.StructField("places", T.ArrayType(T.IntegerType())), T.StructField("words", T.IntegerType())])
-    lines = settle(docs.select(F.col(id_column).alias("id"), *row_key(id_column, text), F.col(text).alias("body"))
-                   .mapInPandas(_occurrences, schema), "lines")
+        T.StructField("id", kind), *[T.StructField(k, T.LongType()) for k in KEY],
+        T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())),
+        T.StructField("passages", T.ArrayType(T.BinaryType()))])
+    rows = settle(docs.select(F.col(id_column).alias("id"), *row_key(id_column, text), F.col(text).alias("body"))
+                  .mapInPandas(_occurrences(block_words), schema), "lines")
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", *KEY)
+    found = rows.select("id", *KEY, F.explode("passages").alias("passage"))
     owners = settle(
-        lines.groupBy("line").agg(F.min(F.struct(own.alias("doc"), F.col("places"))).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("line", *[F.col(f"first.doc.{k}").alias(f"own{k}") for k in KEY],
-                               F.col("first.places").alias("own_places")), "owners")
-    shared = lines.join(owners, "line").where(" OR ".join(f"{k} <> own{k}" for k in KEY))
-    pairs = shared.groupBy(*KEY, *[f"own{k}" for k in KEY]).agg(
-        F.collect_set(F.struct("places", "own_places", "words")).alias("shared"))
+        found.groupBy("passage").agg(F.min(own).alias("doc"), F.count("*").alias("n"))
+        .where("n > 1").select("passage", *[F.col(f"doc.{k}").alias(f"own{k}") for k in KEY]), "owners")
+    pairs = settle(found.select(*KEY, "passage").join(owners, "passage").where(" OR ".join(f"{k} <> own{k}" for k in KEY))
+                   .select(*KEY, *[f"own{k}" for k in KEY]).distinct(), "pairs")
+    bodies = once(rows.select(*KEY, "lines", "words"))
+    both = (pairs.join(bodies, KEY)
+            .join(bodies.select(*[F.col(k).alias(f"own{k}") for k in KEY], F.col("lines").alias("own_lines")),
+                  [f"own{k}" for k in KEY]))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def delete(rows: pd.Series) -> pd.Series:
-        return pd.Series([common_blocks([(list(x["places"]), list(x["own_places"]), int(x["words"])) for x in row],
-                                        block_words) for row in rows], dtype=object)
+    def delete(lines: pd.Series, words: pd.Series, own_lines: pd.Series) -> pd.Series:
+        return pd.Series([pair_blocks(x.tolist(), w.tolist(), y.tolist(), block_words)
+                          for x, w, y in zip(lines, words, own_lines)], dtype=object)
 
-    gone = pairs.select(*KEY, delete("shared").alias("gone")).where("size(gone) > 0")
+    gone = both.select(*KEY, delete("lines", "words", "own_lines").alias("gone")).where("size(gone) > 0")
     return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("removed"))
 
 

@@ -463,3 +463,21 @@ def test_whole_long_licenses(spark):
         assert got[i].text_license == name
         assert name in got[100 + i].licenses.split(",") and got[100 + i].text_license is None
         assert name not in got[200 + i].licenses.split(",")
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """A passage whose lines have other owners each, and random passages, as alignment of all pairs deletes them."""
+    rng = random.Random(13)
+    lines = [f"w{i} x{i} y{i}" for i in range(12)]
+    texts = [f"own {i} line here\n{x}\nend {i}" for i, x in enumerate(lines)] + ["b\n" + "\n".join(lines), "c\n" + "\n".join(lines)]
+    pool = [" ".join(f"p{i}{c}" for c in range(1 + i % 4)) for i in range(60)]
+    for i in range(60):
+        at = rng.randrange(50)
+        texts.append("\n".join([f"start {i}", *pool[at:at + rng.randrange(1, 10)], f"end {i}"]))
+    split = [line_dedup.text_lines(t) for t in texts]
+    number = {x: i for i, x in enumerate({x for t in split for x in t})}
+    coded, words_of = [[number[x] for x in t] for t in split], [[len(x.split()) for x in t] for t in split]
+    want = {i: len({p for j in range(i) for p in line_dedup.pair_blocks(coded[i], words_of[i], coded[j], 5)}) for i in range(len(texts))}
+    frame = spark.createDataFrame(table([(i, t, None, None) for i, t in enumerate(texts)]), SCHEMA)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_dedup(frame).collect()}
+    assert got == want and got[13] == 12
