@@ -1,6 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of at least ``SHORTEST`` letters, digits and ``+/_-`` that hold a digit. A forest
+Candidates are runs of at least ``SHORTEST`` letters, digits and ``+/_-`` that hold a digit, and, whatever
+their length and characters, values assigned to a secret's name (up to white space or the closing quote) and
+strings of a known key format. A forest
 decides which are secrets, from the candidate's length, its character transitions and
 classes, how much of it dictionary words cover, the document's path and the words next to it. It
 is trained on labelled findings: those given, or findings whose format proves them (a known
@@ -41,6 +43,14 @@ SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|priv
 EXAMPLE_WORDS = "example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test|mock|fixture|docs?/"
 KNOWN_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,})$"
 ASSIGNED = rf"(?i)({SECRET_WORDS})[\"']?\s*[=:]+\s*[\"']?$"
+# a name that holds a secret word, and what stands between it and its value
+_NAME = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_.\-]{{0,40}}[\"'\]]{{0,2}}"
+_VALUE = r"(?:(?<=\")[^\"]+|(?<=')[^']+|(?<![\"'])[^\"'=:][^\"']*(?<![.,;:)\]}>]))"
+IN_WORD = rf"(?<={_NAME}[=:]{{1,3}}[\"']?){_VALUE}"
+AFTER_SIGN = rf"(?<=^[\"']?){_VALUE}"
+AFTER_NAME = rf"(?<=^[=:]{{1,3}}[\"']?){_VALUE}"
+KNOWN_INSIDE = "(?<![A-Za-z0-9])" + KNOWN_FORMAT[1:-1] + "(?![A-Za-z0-9])"
+KNOWN_START = "AKIA|gh[pousr]_|xox|sk_live_"
 CONFIG_PATH = r"(?i)(\.env|\.pem|\.key|\.ya?ml|\.json|\.ini|\.cfg|\.conf|\.properties)$"
 DICTIONARY = (
     "about after again also and any because been before being between both but can code come could data date "
@@ -66,10 +76,23 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", p
     rows = docs.select(F.col(id_column).alias("id"), F.col(path).cast("string").alias("path"), words.alias("words"))
     near = F.expr(f"""filter(transform(words, (w, i) -> named_struct('word', i, 'body', w,
         'before', concat_ws(' ', IF(i > 1, words[i - 2], NULL), IF(i > 0, words[i - 1], NULL)),
-        'after', coalesce(get(words, i + 1), ''))), x -> length(x.body) >= {SHORTEST} AND x.body RLIKE '[0-9]')""")
+        'after', coalesce(get(words, i + 1), ''))), x -> (length(x.body) >= {SHORTEST} AND x.body RLIKE '[0-9]') OR x.body RLIKE '[=:]|{KNOWN_START}'
+            OR x.before RLIKE '[=:]$')""")
     rows = rows.select("id", "path", F.explode(near).alias("x")).select("id", "path", "x.*")
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
-    cut = F.instr(F.col("body"), F.col("candidate"))
+    def every(pattern: str) -> Column:
+        return F.regexp_extract_all("body", F.lit(pattern), F.lit(0))
+
+    runs = every(CANDIDATE)
+    values = F.concat(
+        every(IN_WORD), every(KNOWN_INSIDE),
+        F.when(F.col("before").rlike(rf"{_NAME} ?[=:]{{1,3}}$"), every(AFTER_SIGN)).otherwise(F.array()),
+        F.when(F.col("before").rlike(rf"{_NAME}$"), every(AFTER_NAME)).otherwise(F.array()))
+    rows = rows.select("*", F.posexplode(F.concat(runs, F.array_except(F.filter(values, lambda v: v != ""), runs)))
+                       .alias("nth", "candidate"))
+    # a short value may also occur in its own name: it stands after the sign
+    after = [F.instr(F.col("body"), F.concat(F.lit(sign), F.col("candidate"))) for sign in ('="', "='", "=", ':"', ":'", ":")]
+    cut = F.coalesce(*[F.when(at > 0, at + len(sign)) for at, sign in zip(after, ('="', "='", "=", ':"', ":'", ":"))],
+                     F.instr(F.col("body"), F.col("candidate")))
     return rows.select(
         "id", "path", "word", "nth", "candidate",
         F.concat("before", F.lit(" "), F.substring("body", F.lit(1), cut - 1)).alias("left"),
