@@ -94,9 +94,20 @@ def row_key(id_column: str = "doc_id", text: str = "text", *more: str) -> list[C
 KEY = ["_key_a", "_key_b"]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as ``_row``, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def once(keyed: DataFrame) -> DataFrame:
-    """One row of each row key; partitions by the key, so a join by it needs no further shuffle."""
-    first = Window.partitionBy(*KEY).orderBy("_key_a")
+    """One row of each row key; partitions by the key, so a join by it needs no further shuffle.
+
+    Rows of one key that differ in other columns of ``_row``: the one with the smallest hash of all columns stays.
+    """
+    plain = keyed.schema["_row"].dataType.fields if "_row" in keyed.columns else []
+    columns = [F.to_json(F.struct(F.col(f"_row.`{f.name}`"))) if "map<" in f.dataType.simpleString()
+               else F.col(f"_row.`{f.name}`") for f in plain]
+    first = Window.partitionBy(*KEY).orderBy(*([F.xxhash64(F.lit(i), *columns) for i in range(2)] if plain else KEY[:1]))
     return keyed.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
 
 
@@ -105,5 +116,5 @@ def only_rows(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", tex
 
     One shuffle of the rows, by their key.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_column, text))
+    keyed = docs.select(whole_row(docs), *row_key(id_column, text))
     return once(keyed.join(wanted.select(*KEY), KEY, "left_semi")).select("_row.*")

@@ -37,7 +37,8 @@ BLANK = r"\n( *\n)+"
 SPELLINGS = [
     (r"licenc(e|ing|or)", r"licens\1"),
     (r"\b(sub|non|per) ?(licens|infring|cent\b)", r"\1\2"),
-    (r"copyright (c |owner)", r"copyright holder"),
+    (r"\bcopyright c\b", r"copyright"),
+    (r"\bcopyright owner", r"copyright holder"),
     (r"\b(author|organ|recogn|util|real|initial|minim|custom|categor|general|summar)is(e|ing|ation)", r"\1iz\2"),
     (r"\b(fav|hon|lab|behavi|col|endeav)our", r"\1or"),
     (r"(acknowledg|judg|fulfil)e?l?ment", r"\1ment"),
@@ -152,7 +153,7 @@ def oracle() -> str:
         form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(same)}, 'g')"
     known = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
     run = max(len(re.split(BLANK, t.replace("\t", " "))) for _, t in KNOWN)
-    flat = "trim(regexp_replace(x, r'[ \\n]+', ' ', 'g'))"
+    flat = "trim(regexp_replace(x, '[ \\n]+', ' ', 'g'))"
     return f"""
 WITH known_forms AS (SELECT license, {form} AS x FROM (VALUES {known}) AS k(license, text)),
 known AS (SELECT sha256({flat}) AS digest, min(license) AS license FROM known_forms GROUP BY 1),

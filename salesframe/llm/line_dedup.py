@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import KEY, once, row_key
+from .common import KEY, once, row_key, whole_row
 
 #: Words from which on an aligned block is deleted.
 BLOCK_WORDS = 5
@@ -179,7 +179,7 @@ def duplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         .where("n > 1").select("passage", *[F.col(f"doc.{k}").alias(f"own{k}") for k in KEY]), "owners")
     pairs = settle(found.select(*KEY, "passage").join(owners, "passage").where(" OR ".join(f"{k} <> own{k}" for k in KEY))
                    .select(*KEY, *[f"own{k}" for k in KEY]).distinct(), "pairs")
-    bodies = once(rows.select(*KEY, "lines", "words"))
+    bodies = settle(once(rows.select(*KEY, "lines", "words")), "bodies")  # nothing between shuffle and join, so hot owners can be split
     both = (pairs.join(bodies, KEY)
             .join(bodies.select(*[F.col(k).alias(f"own{k}") for k in KEY], F.col("lines").alias("own_lines")),
                   [f"own{k}" for k in KEY]))
@@ -215,7 +215,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return pd.DataFrame(out, columns=["text", "lines"])
 
     gone = settle(duplicate_lines(docs, id_column, text, block_words), "removed")
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_column, text))
+    keyed = docs.select(whole_row(docs), *row_key(id_column, text))
     found = keyed.join(gone, KEY, "left").select(
         "_row", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("_gone"),
         without(F.col(f"_row.`{text}`"), F.col("removed")).alias("_new"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import staged
 from ..session import settle
-from .common import KEY, SPACE, WORD, once, row_key, running_total, shuffle_partitions, text_or_empty
+from .common import KEY, SPACE, WORD, once, row_key, running_total, shuffle_partitions, text_or_empty, whole_row
 
 #: Words of a block, slots of an output shard.
 BLOCK, SHARD = 64, 8192
@@ -178,7 +178,7 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     parts = block_pieces(sizes, sources, block).join(times, ["number", "block"]).withColumn("pass", F.explode("passes"))
     spans = parts.groupBy(*_ROW, "pass").agg(
         F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("spans"), F.sum("words").alias("taken"))
-    keyed = once(docs.select(F.struct(*docs.columns).alias("_row"), *row_key(id_column, text, source)))
+    keyed = once(docs.select(whole_row(docs), *row_key(id_column, text, source)))
     found = spans.select(*KEY, "spans", (F.col("taken") == F.col("size")).alias("whole")).join(keyed, KEY)
     body = f"_row.`{text}`"
     # a text is parted once, not again for each of its spans
