@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from . import (
-    embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash,
+    divergence, embed_dedup, exact_dedup, langid, license_scan, line_dedup, mixing, packing, quality, secret_scan, simhash,
+    url_filter, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +126,25 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.expr("coalesce(crc32(cast(id AS string)) % 5 = 0, false)").alias("held_out"),
         quality.score_statistics(model).alias("score")).withColumn(
         "predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+#: The rules that pages are judged by.
+PAGE_RULES = [
+    url_filter.rule("com/", "allow"), url_filter.rule("example.com/en/", "block"), url_filter.rule("www.example.com/en/", "allow"),
+    url_filter.rule("net/es/", "block"), url_filter.rule("net/fr/", "block"),
+]
+
+
+@_query("op11_url_filter", url_filter.oracle(PAGE_RULES))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_filter(_table(spark, folder, "pages"), PAGE_RULES)
+
+
+@_query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"))
+
+
+@_query("op13_divergence", divergence.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
