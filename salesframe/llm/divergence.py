@@ -151,8 +151,8 @@ def _price(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     # two tiles: pairs across them; a tile with itself: its own pairs
     pairs = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if low == high or tile[i] != tile[j]]
     found = distances(counts, rows["total"].tolist(), pairs)
-    return pd.DataFrame({"lang": lang, "a": [names[i] for i, _ in pairs], "b": [names[j] for _, j in pairs],
-                         "value": np.array(found, np.int64)})
+    return pd.DataFrame({"lang": lang, "a": pd.Series([names[i] for i, _ in pairs], dtype=object),
+                         "b": pd.Series([names[j] for _, j in pairs], dtype=object), "value": pd.Series(found, dtype="int64")})
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",

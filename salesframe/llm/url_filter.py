@@ -171,7 +171,7 @@ def url_filter(pages: DataFrame, rules: Rules | DataFrame, redirects: DataFrame
     """
     links = pages.sparkSession.createDataFrame([], "url string, target string") if html is None else page_links(pages, url, html)
     if redirects is not None:
-        links = links.union(redirects.select("url", resolved(F.col("target"), F.col("url"))).dropna())
+        links = links.union(redirects.select("url", resolved(F.col("target"), F.col("url")).alias("target")).dropna())
     aliases = settle(alias_verdicts(links, rules).where("verdict = 'block'").select(F.col("node").alias("blocked")), "blocked")
     u = F.col(url)
     rows = pages.select(F.col(id_column).alias("_id"), host_of(u).alias("host"), path_of(u).alias("path"), u.alias("_url"))

@@ -13,7 +13,7 @@ from salesframe.llm import packing, quality, queries
 from salesframe.session import settle
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "labels"]
+TABLES = ["documents", "embeddings", "labels", "pages"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables not here")
 
 COLUMNS = {
@@ -27,6 +27,9 @@ COLUMNS = {
     "op8_embed_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op11_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_divergence": "lang string, source string, part string, item string, value bigint, rank int",
 }
 
 
