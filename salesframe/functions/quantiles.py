@@ -23,13 +23,23 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float],
     ``count_as`` names a column for the number of known values; NaN is missing.
     The counted values are written once, so a job runs while the plan is built.
     """
-    keys, names = list(keys), list(wanted)
+    return quantiles_of(counted_values(df, value, keys), wanted, keys, count_as)
+
+
+def counted_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Known values ``_v`` per key with their number ``_c``, written by ranges ``_part`` of (key, value)."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = settle(
+    return settle(
         counted.repartitionByRange(spread, *keys, "_v").withColumn("_part", F.spark_partition_id()), "counted")
+
+
+def quantiles_of(counted: DataFrame, wanted: Mapping[str, float], keys: Sequence[str] = (),
+                 count_as: str | None = None) -> DataFrame:
+    """Exact quantiles of ``counted_values``."""
+    keys, names = list(keys), list(wanted)
     parts = counted.groupBy(*keys, "_part").agg(F.sum("_c").alias("_sum"))
     along = Window.partitionBy(*(keys or [F.lit(1)]))
     parts = parts.select(

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.exprs import attach, known_keys, per_series
 from ..functions.labels import severity
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import counted_values, quantiles_of
 from ..session import settle
 from .ordered import over_rows
 
 
 def _fences(df: DataFrame, value_col: str, keys: Sequence[str]) -> DataFrame:
-    q = exact_quantiles(df, value_col, {"_q1": 0.25, "_q3": 0.75}, keys, count_as="_n")
+    return _fences_of(counted_values(df, value_col, keys), keys)
+
+
+def _fences_of(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    q = quantiles_of(counted, {"_q1": 0.25, "_q3": 0.75}, keys, count_as="_n")
     iqr = F.col("_q3") - F.col("_q1")
     return q.filter(iqr > 0).select(
         *keys, "_n", iqr.alias("_iqr"), (F.col("_q1") - 1.5 * iqr).alias("_low"),
@@ -53,6 +57,18 @@ def iqr_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] =
     )
 
 
+def iqr_outlier_count(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] = (), name: str = "outliers") -> DataFrame:
+    """How many rows of each series lie outside the 1.5 IQR fences; series without any are absent where there are keys.
+
+    Fences and counts both come from the counted values, so the rows are read once.
+    """
+    counted = counted_values(known_keys(df, keys), value_col, keys)
+    outside = (F.col("_v") < F.col("_low")) | (F.col("_v") > F.col("_high"))
+    found = attach(counted, _small(_fences_of(counted, keys), keys), keys).filter(outside)
+    n = F.sum("_c") if keys else F.coalesce(F.sum("_c"), F.lit(0))
+    return found.groupBy(*keys).agg(n.alias(name))
+
+
 def zscore_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] = (),
                     threshold: float = 3.0) -> DataFrame:
     """Rows more than ``threshold`` sample deviations from the mean, all columns kept."""
@@ -97,12 +113,13 @@ def _rolling(df, order, keys, value_col, threshold, window, include_current, by_
 def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2.5,
                      window: int = 6, keys: Sequence[str] = (), date_col: str = "Date",
                      value_col: str = "Sales", tiebreak: Sequence[str] = (),
-                     include_current: bool = True, by_period: bool = False) -> DataFrame:
+                     include_current: bool = True, by_period: bool = False,
+                     centre: DataFrame | None = None) -> DataFrame:
     """Unusual rows with score and severity.
 
     ``by_period`` says that ``df`` is already rolled up to one row per period, so
-    that a rolling window may hold a whole series. Series with fewer than three
-    rows have no anomalies.
+    that a rolling window may hold a whole series. ``centre`` gives the statistics of the z-score
+    (``Cube.centre``) where they are known. Series with fewer than three rows have no anomalies.
     """
     df = known_keys(df, keys)
     v = F.col(value_col)
@@ -115,7 +132,8 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2
                           severity(score, 2, 3).alias("severity"), F.lit("iqr").alias("method"))
     if method == "zscore":
         z = F.abs(F.try_divide(v - F.col("_mean"), F.col("_std")))
-        out = attach(df, _small(_centre(df, value_col, keys), keys), keys).filter((z > threshold) & (F.col("_n") >= 3))
+        centre = _centre(df, value_col, keys) if centre is None else centre
+        out = attach(df, _small(centre, keys), keys).filter((z > threshold) & (F.col("_n") >= 3))
     elif method == "rolling_deviation":
         out = _rolling(df, [date_col, *tiebreak], keys, value_col, threshold, window, include_current, by_period)
         z = F.col("_z")

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import attach
+from ..session import settle
 from .anomaly import detect_anomalies
+from .cube import Cube, roll_up
 from .evaluate import compare_models, with_champion
 from .forecast import chosen_rows, series_of, with_chosen_path
-from .profile import schema_summary
+from .profile import missing_values
 from .ranking import rank_dimension
-from .rollup import business_facts, dimension_share, month_by_dimension, monthly_totals
+from .rollup import business_facts, dimension_share, monthly_totals
 from .rules import planning_recommendations
 
 
@@ -44,13 +46,19 @@ def product_dimension(df: DataFrame) -> str | None:
     return next(iter(known + [c for c in df.columns if any(w in c.lower() for w in PRODUCT_WORDS)]), None)
 
 
-def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: float = 20.0) -> DataFrame:
-    """Every result but forecasts, as (route, subject, metric, value)."""
+def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: float = 20.0,
+                 cube: Cube | None = None) -> DataFrame:
+    """Every result but forecasts, as (route, subject, metric, value).
+
+    The rows are read twice: for the cube (unless one with all these dimensions is given) and for missing values.
+    """
     c = F.col
     product_dim = product_dim or product_dimension(df)
     month = lambda name: F.date_format(name, "yyyy-MM")
     dims = [d for d in ("Category", "Region") if d in df.columns]
-    facts = business_facts(df, (), dims)
+    if cube is None:
+        cube = roll_up(df, (), [*dims, *([product_dim] if product_dim else [])])
+    facts = settle(business_facts(cube, (), dims), "facts")
     factor = 1 + uplift_pct / 100
     shared = lambda route: [
         (route, None, "rows", c("rows")), (route, None, "total", c("total")),
@@ -76,39 +84,42 @@ def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: floa
     ]
     parts = [_lines(facts, lines)]
     for dim, word in [*[(d, d.lower()) for d in dims], *([(product_dim, "product")] if product_dim else [])]:
-        ranked = rank_dimension(df, dim).withColumn("_m", F.explode(F.array(
+        ranked = rank_dimension(cube.by(dim), dim).withColumn("_m", F.explode(F.array(
             F.struct(F.lit("sales").alias("m"), F.col("Sales").alias("v")),
             F.struct(F.lit("share").alias("m"), F.col("Share").alias("v")))))
         parts.append(ranked.select(
             F.concat("mode", F.lit(f"_{word}")).alias("route"), F.col(dim).alias("subject"),
             F.col("_m.m").alias("metric"), F.col("_m.v").alias("value")))
     for dim in dims:
-        parts.append(_rows(dimension_share(df, dim), f"{dim.lower()}_breakdown", c(dim), F.lit("share"), c("Share")))
+        parts.append(_rows(dimension_share(cube.by(dim), dim), f"{dim.lower()}_breakdown", c(dim), F.lit("share"), c("Share")))
     if "Category" in dims:
-        cells = month_by_dimension(df, "Category")
+        cells = monthly_totals(cube.by("Category"), ["Category"])
         parts.append(_rows(cells, "month_category", F.concat_ws(" ", month("Date"), c("Category")), F.lit("sales"), c("Sales")))
-    odd = detect_anomalies(monthly_totals(df), "rolling_deviation", 2.5, by_period=True)
+    odd = detect_anomalies(monthly_totals(cube.periods()), "rolling_deviation", 2.5, by_period=True)
     parts.append(_rows(odd.agg(F.count(F.lit(1)).alias("n")), "anomaly", F.lit(None), F.lit("count"), c("n")))
     parts.append(_rows(odd, "anomaly", F.date_format("Date", "yyyy-MM"), F.lit("score"), c("anomaly_score")))
-    parts.append(_rows(compare_models(df), "model_info", c("model_key"), F.lit("MAPE"), c("MAPE")))
-    parts.append(_rows(planning_recommendations(df), "recommendations", c("subject"), c("code"), c("metric")))
-    parts.append(_rows(schema_summary(df), "data_info", c("column"), F.lit("missing"), c("missing")))
+    parts.append(_rows(compare_models(cube.periods()), "model_info", c("model_key"), F.lit("MAPE"), c("MAPE")))
+    parts.append(_rows(planning_recommendations(cube, facts=facts), "recommendations", c("subject"), c("code"), c("metric")))
+    parts.append(_rows(missing_values(df), "data_info", c("column"), F.lit("missing"), c("missing")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def scoped_forecasts(df: DataFrame, questions: DataFrame, dims: Sequence[str]) -> DataFrame:
+def scoped_forecasts(df: DataFrame | Cube, questions: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Best-model forecasts of the whole table and of every dimension value, per asked horizon.
 
-    Horizons are bounded by the longest one that ``classify`` lets through.
+    Horizons are bounded by the longest one that ``classify`` lets through. Months of all scopes come from one
+    cube; raw rows are not multiplied by their scopes.
     """
-    scope = F.array(
-        F.struct(F.lit("").alias("scope_dim"), F.lit("").alias("scope_value")),
-        *[F.struct(F.lit(d).alias("scope_dim"), F.col(d).alias("scope_value")) for d in dims])
+    cube = df if isinstance(df, Cube) else roll_up(df, (), dims)
     keys = ["scope_dim", "scope_value"]
-    series = series_of(df.select("Date", "Sales", F.inline(scope)), keys, 3)
+    rows = cube.periods().select(F.lit("").alias("scope_dim"), F.lit("").alias("scope_value"), "Date", "Sales")
+    for d in dims:
+        rows = rows.unionByName(cube.by(d).select(
+            F.lit(d).alias("scope_dim"), F.col(d).cast("string").alias("scope_value"), "Date", "Sales"))
+    series = series_of(rows, keys, 3)
     asked = questions.filter(F.col("route").startswith("forecast")).agg(F.collect_set("horizon").alias("_asked"))
     rows = attach(with_champion(series, keys), asked, ()).withColumn("h", F.explode("_asked")).drop("_asked")
     picked = with_chosen_path(rows, F.col("champion")).withColumnRenamed("h", "horizon")

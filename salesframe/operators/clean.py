@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..functions.exprs import attach, nan_to_null, row_digest, staged
+from ..functions.exprs import ROW_HASH, attach, nan_to_null, row_hash, staged
 from ..functions.quantiles import exact_quantiles, most_common
 from ..functions.text import amount, repair_text, text_columns
 from ..session import settle
@@ -93,7 +93,20 @@ def parse_dates(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each group of equal rows.
+
+    The rows are written once with a hash and a number each. Only hashes are shuffled to find those that
+    repeat; only the rows behind repeated hashes are compared whole, copies collapsing before they move. The numbers of
+    surplus copies are then taken out, by a broadcast as long as they are few.
+    """
+    rows = settle(df.select(*[F.col(f"`{c}`") for c in df.columns], *row_hash(df),
+                            F.monotonically_increasing_id().alias("_row")), "rows")
+    again = rows.groupBy(*ROW_HASH).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*ROW_HASH)
+    suspects = rows.join(settle(again, "repeated"), ROW_HASH, "left_semi")
+    # a null in a column is a value of its own here, as it is where rows are grouped
+    kept = suspects.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.min("_row").alias("_row"))
+    surplus = suspects.select("_row").join(kept.select("_row"), "_row", "left_anti")
+    return rows.join(settle(surplus, "surplus"), "_row", "left_anti").drop("_row", *ROW_HASH)
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -154,8 +167,8 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
     """
     df = parse_dates(parse_amounts(nan_to_null(df)))
     date_col, value_col = date_col or date_column(df), value_col or target_column(df)
-    # Medians, modes and row numbers each pass over the table: write it once.
-    df = settle(drop_missing(drop_duplicates(df), [c for c in (date_col, value_col) if c]), "clean")
+    # Medians, modes and row numbers each pass over the table: it is written once, without copies.
+    df = drop_duplicates(drop_missing(df, [c for c in (date_col, value_col) if c]))
     df = fill_mode(fill_median(df, [c for c in numeric_columns(df) if c not in tiebreak]))
     if value_col:
         df = clip_negative(df, value_col)
@@ -172,24 +185,25 @@ def clean_sales(df: DataFrame, date_col: str | None = None, value_col: str | Non
 def clean_upload(df: DataFrame, date_col: str, value_col: str,
                  ids: Sequence[str] = ()) -> DataFrame:
     """The shorter order for a table whose dates and amounts are already typed."""
-    df = settle(drop_missing(drop_duplicates(nan_to_null(df)), [date_col, value_col]), "clean")
+    df = drop_duplicates(drop_missing(nan_to_null(df), [date_col, value_col]))
     df = repair_text(fill_mode(fill_median(df, [c for c in numeric_columns(df) if c not in ids])))
     return rename_canonical(clip_negative(df, value_col), date_col, value_col)
 
 
 def cleaning_steps(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """What cleaning a typed table changes: one row per step with count and level."""
-    from .anomaly import iqr_outliers
+    from .anomaly import iqr_outlier_count
 
     df = nan_to_null(df)
-    # Copies are told by a digest, so only digests and a few marks are shuffled, not rows.
+    # Copies are told by a hash, so only hashes and a few marks are shuffled, not rows.
     kept, there = F.col("_kept"), F.col(f"`{date_col}`").isNotNull() & F.col(f"`{value_col}`").isNotNull()
     gaps = lambda names: sum((F.col(f"`{c}`").isNull().cast("int") for c in names), F.lit(0))
     numbers, texts = numeric_columns(df), text_columns(df)
     groups = df.select(
-        row_digest(df).alias("_digest"), there.alias("_kept"), gaps(numbers).alias("_numeric"), gaps(texts).alias("_text"),
-        F.coalesce(F.col(f"`{value_col}`") < 0, F.lit(False)).alias("_below")).groupBy("_digest").agg(
-        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in ("_kept", "_numeric", "_text", "_below")])
+        *row_hash(df), there.alias("_kept"), F.col(f"`{value_col}`").cast("double").alias("_v"), gaps(numbers).alias("_numeric"), gaps(texts).alias("_text"),
+        F.coalesce(F.col(f"`{value_col}`") < 0, F.lit(False)).alias("_below")).groupBy(*ROW_HASH).agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in ("_kept", "_numeric", "_text", "_below", "_v")])
+    groups = settle(groups, "kinds")
     counts = groups.agg(
         (F.sum("_copies") - F.count(F.lit(1))).alias("duplicates_removed"),
         F.count_if(~kept).alias("rows_dropped"),
@@ -198,8 +212,7 @@ def cleaning_steps(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
         F.count_if(kept & F.col("_below")).alias("negatives_clipped"),
         F.count_if(kept).alias("rows_left"),
     )
-    outliers = iqr_outliers(drop_missing(drop_duplicates(df), [date_col, value_col]), value_col)
-    counts = attach(counts, outliers.agg(F.count(F.lit(1)).alias("outliers")), ())
+    counts = attach(counts, iqr_outlier_count(groups.filter(kept), "_v"), ())
     steps = ["duplicates_removed", "rows_dropped", "numeric_filled", "text_filled",
              "outliers", "negatives_clipped", "rows_left"]
     return counts.select(F.explode(F.array(*[

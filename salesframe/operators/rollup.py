@@ -13,6 +13,9 @@ from ..functions import labels as L
 from ..functions.exprs import (
     attach, known_keys, month_of, nz_sum, pct, pct_change, per_series, staged,
 )
+from ..session import settle
+from .cube import Cube
+from .ordered import with_position
 
 
 def period_totals(df: DataFrame, unit: str = "month", keys: Sequence[str] = (),
@@ -52,10 +55,9 @@ def month_by_dimension(df: DataFrame, dim: str, date_col: str = "Date",
     ``strongest`` marks the largest cell of the table, ``latest_leader`` the top
     value of the latest month.
     """
-    cells = (
+    cells = settle(
         known_keys(df, [dim]).groupBy(month_of(date_col).alias("Date"), dim)
-        .agg(nz_sum(value_col).alias("Sales"))
-    )
+        .agg(nz_sum(value_col).alias("Sales")), "cells")
     tops = cells.agg(
         F.min(F.struct(-F.col("Sales"), F.col("Date"), F.col(dim))).alias("_top"),
         F.min(F.struct((-F.unix_date("Date")), -F.col("Sales"), F.col(dim))).alias("_last"),
@@ -64,9 +66,10 @@ def month_by_dimension(df: DataFrame, dim: str, date_col: str = "Date",
         F.col(f"_last.{dim}").alias("_last_dim"),
         F.date_from_unix_date(-F.col("_last.col1")).alias("_last_date"),
     )
-    rank = F.row_number().over(per_series(["Date"], F.col("Sales").desc(), F.col(dim)))
-    return attach(cells.withColumn("rank", rank.cast("long")), tops, ()).select(
-        "Date", dim, "Sales", "rank",
+    # a month may have any number of values: ranks come from ranges of (month, sales, value), not from a window per month
+    ranked = with_position(cells.withColumn("_less", -F.col("Sales")), ["_less", dim], ["Date"], "rank")
+    return attach(ranked, tops, ()).select(
+        "Date", dim, "Sales", F.col("rank").cast("long").alias("rank"),
         ((F.col("Date") == F.col("_top_date")) & (F.col(dim) == F.col("_top_dim"))).alias("strongest"),
         ((F.col("Date") == F.col("_last_date")) & (F.col(dim) == F.col("_last_dim"))).alias("latest_leader"),
     )
@@ -182,12 +185,14 @@ def level_counts(df: DataFrame, dim: str) -> DataFrame:
     return known_keys(df, [dim]).groupBy(dim).agg(F.count(F.lit(1)).alias("n"))
 
 
-def recent_days(df: DataFrame, keys: Sequence[str] = (), days: int = 30,
+def recent_days(df: DataFrame | Cube, keys: Sequence[str] = (), days: int = 30,
                 date_col: str = "Date", value_col: str = "Sales") -> DataFrame:
     """Sum of the last ``days`` days against the ``days`` before them.
 
-    Daily totals are made first, so the look-back runs over calendar rows only.
+    Daily totals are made first, so the look-back runs over calendar rows only. A cube must be one by day.
     """
+    if isinstance(df, Cube):
+        df, date_col, value_col = df.periods(), "Date", "Sales"
     daily = (
         known_keys(df, keys).filter(F.col(date_col).isNotNull())
         .groupBy(*keys, F.col(date_col).cast("date").alias("_day"))
@@ -245,27 +250,31 @@ def _with_series_facts(df: DataFrame) -> DataFrame:
     })
 
 
-def business_facts(df: DataFrame, keys: Sequence[str] = (), dims: Sequence[str] = (),
-                   date_col: str = "Date", value_col: str = "Sales") -> DataFrame:
-    """One wide row per series: totals, month facts and the leaders of each dimension.
-
-    One scan: grouping sets make month and dimension totals together, counted
-    before the shuffle; what reaches the second step is one row per month or
-    dimension value.
-    """
-    keys, dims = list(keys), list(dims)
+def _fact_totals(df: DataFrame, keys: list[str], dims: list[str], date_col: str, value_col: str) -> DataFrame:
     rows = known_keys(df, keys).filter(F.col(date_col).isNotNull()).select(
         *keys, month_of(date_col).alias("_month"), F.col(date_col).cast("date").alias("_day"),
         F.col(value_col).cast("double").alias("_v"), *[F.col(d).alias(f"_d_{d}") for d in dims],
     )
     marks = ["_month", *[f"_d_{d}" for d in dims]]
-    totals = rows.groupingSets(
+    return rows.groupingSets(
         [[*keys, m] for m in marks], *[F.col(c) for c in [*keys, *marks]]
     ).agg(
         nz_sum("_v").alias("Sales"), F.count("_v").alias("_known"), F.count(F.lit(1)).alias("_rows"),
         F.min("_day").alias("_first"), F.max("_day").alias("_last"),
         *[F.grouping(m).alias(f"_g{i}") for i, m in enumerate(marks)],
     )
+
+
+def business_facts(df: DataFrame | Cube, keys: Sequence[str] = (), dims: Sequence[str] = (),
+                   date_col: str = "Date", value_col: str = "Sales") -> DataFrame:
+    """One wide row per series: totals, month facts and the leaders of each dimension.
+
+    One scan: grouping sets make month and dimension totals together, counted
+    before the shuffle; what reaches the second step is one row per month or
+    dimension value. From a cube of the same keys there is no scan at all.
+    """
+    keys, dims = list(keys), list(dims)
+    totals = df.totals(dims) if isinstance(df, Cube) else _fact_totals(df, keys, dims, date_col, value_col)
     is_month = F.col("_g0") == 0
     aggs = [
         F.array_sort(F.collect_list(F.when(

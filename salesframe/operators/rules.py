@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import attach, known_keys
 from ..functions.labels import signal
-from .anomaly import detect_anomalies, iqr_outliers, rolling_count, strongest_anomaly
+from .anomaly import detect_anomalies, iqr_outlier_count, rolling_count, strongest_anomaly
+from .cube import Cube, roll_up
 from .rollup import business_facts, main_driver, recent_days
 
 Rule = tuple[Column, "Column | str", "Column | str", "Column | None", "Column | None"]
@@ -144,10 +145,13 @@ def business_actions(df: DataFrame, keys: Sequence[str] = (), threshold: float =
     return fire(facts, keys, rules)
 
 
-def planning_recommendations(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """What to prioritise, review, benchmark and study, with the trend of the first and last months."""
+def planning_recommendations(df: DataFrame | Cube, keys: Sequence[str] = (), facts: DataFrame | None = None) -> DataFrame:
+    """What to prioritise, review, benchmark and study, with the trend of the first and last months.
+
+    ``facts``: the business facts of both dimensions, where they are known.
+    """
     dims = [d for d in _present(df, ["Category", "Region"]) if d not in keys]
-    facts, c = business_facts(df, keys, dims), F.col
+    facts, c = business_facts(df, keys, dims) if facts is None else facts, F.col
     rules: list[Rule] = []
     if "Category" in dims:
         rules += [
@@ -169,9 +173,10 @@ def planning_recommendations(df: DataFrame, keys: Sequence[str] = ()) -> DataFra
 def upload_insights(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """First look at a table: 30-day trend, month comparison, long trend, outliers, size hint."""
     c = F.col
-    facts = business_facts(df, keys)
-    days = recent_days(df, keys).select(*keys, F.col("change_pct").alias("_days"))
-    odd = iqr_outliers(df, "Sales", keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_odd"))
+    cube = roll_up(df, keys, (), "day")
+    facts = business_facts(cube, keys)
+    days = recent_days(cube, keys).select(*keys, F.col("change_pct").alias("_days"))
+    odd = iqr_outlier_count(df, "Sales", keys, "_odd")
     facts = attach(attach(facts, days, keys), odd, keys)
     return fire(facts, keys, [
         (c("_days").isNotNull(), "last_30_days", "message", None, c("_days")),
@@ -197,22 +202,24 @@ def signals(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5, win
 def root_cause(df: DataFrame, keys: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Which region and category moved the latest month, and the strongest odd row.
 
-    Series with fewer than 30 rows give ``not_enough_data`` only.
+    Series with fewer than 30 rows give ``not_enough_data`` only. Two passes over the rows: the roll-up, and the
+    search for odd rows with the statistics it gives.
     """
     df = known_keys(df, keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    wide = sizes
+    cube = roll_up(df, keys, [d for d in _present(df, ["Region", "Category"]) if d not in keys])
+    wide = cube.sizes()
     rules: list[Rule] = [(F.col("_rows") < 30, "not_enough_data", "info", None, F.col("_rows"))]
     enough = F.col("_rows") >= 30
-    for dim in [d for d in _present(df, ["Region", "Category"]) if d not in keys]:
-        moved = main_driver(df, dim, keys).select(
+    for dim in cube.dims:
+        moved = main_driver(cube.by(dim), dim, keys).select(
             *keys, F.col("subject").alias(f"_s_{dim}"), F.col("change").alias(f"_c_{dim}"),
             F.col("total_change").alias(f"_t_{dim}"))
         wide = attach(wide, moved, keys)
         rules.append((enough & F.col(f"_s_{dim}").isNotNull(), f"{dim.lower()}_driver",
                       F.when(F.col(f"_t_{dim}") < 0, "decline").otherwise("growth"),
                       F.col(f"_s_{dim}"), F.col(f"_c_{dim}")))
-    odd = strongest_anomaly(detect_anomalies(df, "zscore", 2.5, keys=keys, tiebreak=tiebreak), keys, tiebreak)
+    odd = strongest_anomaly(detect_anomalies(df, "zscore", 2.5, keys=keys, tiebreak=tiebreak, centre=cube.centre()),
+                            keys, tiebreak)
     wide = attach(wide, odd.select(*keys, F.col("Date").alias("_d"), F.col("anomaly_score").alias("_a"),
                                    F.col("severity").alias("_v")), keys)
     rules.append((enough & F.col("_a").isNotNull(), "unusual_sales", F.col("_v"),

@@ -18,8 +18,8 @@ def _using(keys: Sequence[str], *more: str) -> str:
 def idx_sql(keys: Sequence[str]) -> str:
     """``idx``: months of each series numbered from 0."""
     return monthly_sql(keys) + f""",
-idx AS (SELECT {cols(keys)}d, s AS y, i - 1 AS i, n FROM m),
-size AS (SELECT {cols(keys)}max(n) AS n, max(d) AS last_d FROM idx GROUP BY {', '.join(keys)})"""
+idx AS MATERIALIZED (SELECT {cols(keys)}d, s AS y, i - 1 AS i, n FROM m),
+size AS MATERIALIZED (SELECT {cols(keys)}max(n) AS n, max(d) AS last_d FROM idx GROUP BY {', '.join(keys)})"""
 
 
 def base_sql(keys: Sequence[str], outer: str) -> str:
@@ -114,7 +114,7 @@ me AS (SELECT {k}, model_key, round(avg(abs(a - p)), 2) AS MAE, round(sqrt(avg((
   round(avg(abs(a - p) / greatest(abs(a), 1)) * 100, 2) AS MAPE,
   round(CASE WHEN var_pop(a) > 0 THEN 1 - avg((a - p) * (a - p)) / var_pop(a) ELSE 0 END, 3) AS R2,
   count(DISTINCT o) AS Splits FROM pv GROUP BY {k}, model_key),
-rk AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY MAPE, list_position({models}, model_key)) AS rank FROM me)"""
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY MAPE, list_position({models}, model_key)) AS rank FROM me)"""
 
 
 def holdout_outer(keys: Sequence[str]) -> str:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.labels import inr_text
 from ..operators import answers as A
 from ..operators import questions as Q
+from ..operators.cube import roll_up
 from ..session import settle
 from . import views as V
-from .forecast_sql import all_models_sql, holdout_outer, metrics_sql
+from .forecast_sql import all_models_sql, champion_outer, holdout_outer, metrics_sql
 from .registry import SALES_SQL, facts_sql, query, rounded
 
 IDS = ["conv_id", "turn"]
+SCOPES = ["Category", "Region", "Nation"]
 _PHRASES = ", ".join("'" + p.replace("'", "''") + "'" for p in V.PHRASES)
 
 ASK_SQL = f"""ask AS (SELECT conv_id, turn, concat_ws(' ', text, ([{_PHRASES}])[(conv_id * 7 + turn) % {len(V.PHRASES)} + 1]) AS question
@@ -179,13 +181,39 @@ def answer_facts(spark, d):
     return rounded(A.answer_facts(V.sales(spark, d)), 4)
 
 
-@query("question_facts")
+_SCOPE = ["scope_dim", "scope_value"]
+_SCOPED_SALES = SALES_SQL.replace("sales AS (", "plain AS (") + """,
+sales AS (SELECT '' AS scope_dim, '' AS scope_value, "Date", Sales FROM plain
+  UNION ALL SELECT 'Category', Category, "Date", Sales FROM plain UNION ALL SELECT 'Region', Region, "Date", Sales FROM plain
+  UNION ALL SELECT 'Nation', Nation, "Date", Sales FROM plain)"""
+_PATHS = all_models_sql(_SCOPE, champion_outer(_SCOPE) + """ UNION ALL SELECT scope_dim, scope_value, n AS o, horizon AS h
+  FROM size, (SELECT DISTINCT horizon FROM asked WHERE starts_with(route, 'forecast'))""").replace(SALES_SQL, _SCOPED_SALES) + "," + metrics_sql(_SCOPE)
+_FOUND = "route, scope_dim, scope_value, horizon, questions, subject, coalesce(metric, 'no_result') AS metric, round(value, 4) AS value"
+
+
+@query("question_facts", f"""
+WITH asked AS MATERIALIZED ({ROUTE_SQL} SELECT route, coalesce(scope_dim, '') AS scope_dim, CASE WHEN route <> 'forecast' THEN lower(scope_value) END AS scope_value,
+  CASE WHEN starts_with(route, 'forecast') THEN horizon ELSE 0 END AS horizon FROM ro),
+facts AS MATERIALIZED ({FACT_SQL} SELECT route, subject, metric, value FROM fx),
+paths AS MATERIALIZED ({_PATHS}
+  SELECT s.scope_dim, lower(s.scope_value) AS scope_value, af.h AS horizon, af.model_key AS metric, f AS value,
+    strftime(CAST(last_d + to_months(CAST(step AS INTEGER)) AS DATE), '%Y-%m') || CASE s.scope_value WHEN '' THEN '' ELSE ' ' || s.scope_value END AS subject
+  FROM size s LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON r.scope_dim = s.scope_dim AND r.scope_value = s.scope_value
+    JOIN af ON af.scope_dim = s.scope_dim AND af.scope_value = s.scope_value AND af.o = s.n AND af.model_key = coalesce(r.model_key, 'holts')
+  WHERE s.n >= 3),
+kinds AS (SELECT *, count(*) AS questions FROM asked GROUP BY ALL)
+SELECT {_FOUND} FROM kinds LEFT JOIN facts USING (route) WHERE NOT starts_with(route, 'forecast')
+UNION ALL
+SELECT k.{_FOUND.replace('scope_', 'k.scope_').replace('horizon,', 'k.horizon,')} FROM kinds k LEFT JOIN paths p ON p.scope_dim = k.scope_dim AND p.horizon = k.horizon
+  AND (k.route = 'forecast_groups' OR p.scope_value = coalesce(k.scope_value, ''))
+WHERE starts_with(route, 'forecast')""")
 def question_facts(spark, d):
     """The results that all routed questions ask for, forecasts included, each once."""
     rows = V.sales(spark, d)
-    asked = settle(A.asks(_routed(spark, d), IDS), "asked")
-    paths = settle(A.scoped_forecasts(rows, asked, ["Category", "Region", "Nation"]), "paths")
-    return rounded(A.answers(asked, A.answer_facts(rows), paths), 4)
+    cube = roll_up(rows, (), SCOPES)
+    asked = settle(A.asks(Q.route(V.questions(spark, d), cube.values(), IDS), IDS), "asked")
+    paths = settle(A.scoped_forecasts(cube, asked, SCOPES), "paths")
+    return rounded(A.answers(asked, A.answer_facts(rows, cube=cube), paths), 4)
 
 
 @query("question_asks", f"""{ROUTE_SQL} SELECT conv_id, turn, route, coalesce(scope_dim, '') AS scope_dim,

@@ -1,5 +1,6 @@
 """Row-level operators that must hold under a hot key: quantiles, order, cleaning, anomalies."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -12,8 +13,12 @@ from salesframe.operators import anomaly as N
 from salesframe.operators import clean as C
 from salesframe.operators import features as W
 from salesframe.operators import profile as P
+from salesframe.operators import ordered
+from salesframe.operators.cube import roll_up
 from salesframe.operators.ordered import over_rows, with_position
-from salesframe.operators.rollup import monthly_totals
+from salesframe.operators.rollup import (
+    business_facts, dimension_totals, main_driver, month_by_dimension, monthly_totals, recent_days,
+)
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +200,81 @@ def test_constant_values_have_no_outliers(spark):
 def test_min_max_leaves_constants(spark):
     df = spark.createDataFrame([(1.0, 3.0), (5.0, 3.0)], "a double, b double")
     assert sorted(tuple(r) for r in W.min_max(df).collect()) == [(0.0, 3.0), (1.0, 3.0)]
+
+
+def test_one_day_spreads_over_ranges(spark):
+    rows = [(dt.date(2024, 1, 1), i % 1500, float(i % 7)) for i in range(2000)] + [(dt.date(2024, 1, 1), 5, 1.0)] * 500
+    df = spark.createDataFrame(rows, "Date date, id int, Sales double").repartition(5)
+    placed = with_position(df, ["Date"])
+    sizes = sorted(r["count"] for r in placed.groupBy(F.floor((F.col("_pos") - 1) / 2500)).count().collect())
+    assert sizes == [2500]
+    parts = ordered_parts(df)
+    assert len(parts) == 4 and max(parts) <= 2 * sorted(parts)[2]
+    make = lambda frame, ordered: {"m": F.sum("Sales").over(frame(-6, 0)), "l": F.lag("Sales", 2).over(ordered)}
+    once = sorted(map(repr, over_rows(df, ["Date"], 6, make, block_rows=300).collect()))
+    again = sorted(map(repr, over_rows(df.orderBy(F.rand(3)).repartition(3), ["Date"], 6, make, block_rows=77).collect()))
+    assert once == again
+
+
+def ordered_parts(df):
+    """Rows of each range that positions are counted in."""
+    seen = []
+    original = ordered.settle
+
+    def keep(frame, name="stage"):
+        out = original(frame, name)
+        seen.extend(r["count"] for r in out.groupBy("_part").count().collect())
+        return out
+    ordered.settle = keep
+    try:
+        with_position(df, ["Date"]).count()
+    finally:
+        ordered.settle = original
+    return seen
+
+
+def test_equal_rows_go_and_others_stay(spark):
+    rows = [(i % 50, None if i % 3 else "a", float("nan") if i % 5 == 0 else i % 2 * 1.0, [i % 2, None]) for i in range(500)]
+    rows += [(None, None, None, None)] * 40 + [(None, "a", 0.0, [None, 0]), (None, "a", 0.0, [0, None])]
+    df = spark.createDataFrame(rows, "id int, t string, `a.v` double, l array<int>").repartition(6)
+    want = sorted(map(repr, df.dropDuplicates().collect()))
+    assert sorted(map(repr, C.drop_duplicates(df).collect())) == want
+    assert C.drop_duplicates(df.where("false")).count() == 0
+    assert C.drop_duplicates(spark.createDataFrame([(0.0, 1), (-0.0, 1)], "a double, b int")).count() == 1
+
+
+def test_cube_gives_what_rows_give(spark):
+    rng = random.Random(8)
+    rows = [(dt.date(2023, 1 + i % 7, 1 + i % 28) if i % 11 else None, rng.choice(["n", "s", None]), rng.choice(["a", "b", None]),
+             rng.choice(["x", "y"]), None if i % 13 == 0 else 1e6 + rng.random()) for i in range(600)]
+    df = spark.createDataFrame(rows, "Date date, k string, Category string, Region string, Sales double").repartition(4)
+    for keys in ([], ["k"]):
+        cube = roll_up(df, keys, ["Category", "Region"])
+        shown = lambda d: sorted(repr([round(v, 4) if isinstance(v, float) else v for v in r]) for r in d.select(sorted(set(d.columns) - {"_s", "_y"})).collect())
+        assert shown(business_facts(cube, keys, ["Region", "Category"])) == shown(business_facts(df, keys, ["Region", "Category"]))
+        for dim in ("Category", "Region"):
+            assert shown(dimension_totals(cube.by(dim), [*keys, dim])) == shown(dimension_totals(df, [*keys, dim]))
+            assert shown(main_driver(cube.by(dim), dim, keys)) == shown(main_driver(df, dim, keys))
+        known = df.filter("k IS NOT NULL") if keys else df
+        for r in cube.centre().collect():
+            own = [x[4] for x in rows if x[4] is not None and (not keys or x[1] == r.k)]
+            n = len([x for x in rows if not keys or x[1] == r.k])
+            assert r._n == n and r._mean == pytest.approx(np.mean(own)) and r._std == pytest.approx(np.std(own, ddof=1), rel=1e-6)
+        assert known.count() == cube.sizes().agg(F.sum("_rows")).first()[0]
+    assert {(r.dim, r.value) for r in cube.values().collect()} == {("Category", "a"), ("Category", "b"), ("Region", "x"), ("Region", "y")}
+    days = roll_up(df, (), (), "day")
+    assert recent_days(days).first() == recent_days(df).first()
+    count = N.iqr_outlier_count(df, "Sales", ["Region"])
+    assert {r.Region: r.outliers for r in count.collect()} == {
+        r.Region: r["count"] for r in N.iqr_outliers(df, "Sales", ["Region"]).groupBy("Region").count().collect()}
+
+
+def test_ranks_of_many_values_in_a_month(spark):
+    rows = [(dt.date(2024, 1 + i % 2, 3), f"v{i % 300:03d}", float(i % 40)) for i in range(1200)]
+    got = month_by_dimension(spark.createDataFrame(rows, "Date date, Category string, Sales double"), "Category").toPandas()
+    want = pd.DataFrame(rows, columns=["Date", "Category", "Sales"])
+    want["Date"] = [d.replace(day=1) for d in want.Date]
+    want = want.groupby(["Date", "Category"], as_index=False).Sales.sum().sort_values(["Date", "Sales", "Category"], ascending=[True, False, True])
+    want["rank"] = want.groupby("Date").cumcount() + 1
+    both = got.merge(want, on=["Date", "Category"])
+    assert len(both) == len(want) == len(got) and (both.rank_x == both.rank_y).all()
