@@ -24,9 +24,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,44 +42,45 @@ PRIOR = 5
 #: Term numbers in a block (a power of two), and groups in a tile.
 BLOCK = 1 << 13
 TILE = 32
-_FLUSH = 1 << 18
+_FLUSH = 1 << 19
 #: Terms as UTF-8: letters of ASCII and every byte of the characters beyond it.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents per group and term, summed up as far as a task sees them; each group once without term."""
     groups: dict[tuple, tuple[Counter, Counter]] = {}
 
-    def flush() -> pd.DataFrame:
-        rows = []
-        for (lang, source), (seen, docs) in groups.items():
-            rows.append((lang, source, None, 0, 0))
-            rows += [(lang, source, term.decode(), n, docs[term]) for term, n in seen.items()]
-        groups.clear()
-        return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        while groups:
+            (lang, source), (seen, docs) = groups.popitem()
+            term = pa.concat_arrays([pa.nulls(1, pa.binary()), pa.array(seen, pa.binary())]).view(pa.string())
+            yield pa.record_batch({
+                "lang": pa.repeat(pa.scalar(lang), len(term)), "source": pa.repeat(pa.scalar(source), len(term)), "term": term,
+                "n": pa.array(np.fromiter(chain([0], seen.values()), np.int64, len(term))),
+                "docs": pa.array(np.fromiter(chain([0], map(docs.__getitem__, seen)), np.int64, len(term)))})
 
     held = 0
     for batch in batches:
-        for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
+        texts = batch.column("text").cast(pa.binary())
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
             seen, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            own = Counter(_TERM.findall(text.encode().lower()))
+            terms = _TERM.findall(text.as_py().lower())
             held -= len(seen)
-            seen.update(own)
-            docs.update(own.keys())
+            seen.update(terms)
+            docs.update(set(terms))
             held += len(seen)
             if held > _FLUSH:
-                yield flush()
+                yield from flush()
                 held = 0
-    if groups:
-        yield flush()
+    yield from flush()
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang``, ``source``, ``term``, occurrences ``n`` and documents ``docs``; one row with a null term per group."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
                          for n, c in (("lang", lang), ("source", source), ("text", text))])
-    return rows.mapInPandas(_count, "lang string, source string, term string, n long, docs long").groupBy(
+    return rows.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy(
         "lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
