@@ -12,7 +12,7 @@ from ..session import settle
 from .anomaly import detect_anomalies
 from .cube import Cube, roll_up
 from .evaluate import compare_models, with_champion
-from .forecast import chosen_rows, series_of, with_chosen_path
+from .forecast import CANDIDATES, chosen_rows, series_of, with_chosen_path
 from .profile import missing_values
 from .ranking import rank_dimension
 from .rollup import business_facts, dimension_share, monthly_totals
@@ -98,7 +98,7 @@ def answer_facts(df: DataFrame, product_dim: str | None = None, uplift_pct: floa
     odd = detect_anomalies(monthly_totals(cube.periods()), "rolling_deviation", 2.5, by_period=True)
     parts.append(_rows(odd.agg(F.count(F.lit(1)).alias("n")), "anomaly", F.lit(None), F.lit("count"), c("n")))
     parts.append(_rows(odd, "anomaly", F.date_format("Date", "yyyy-MM"), F.lit("score"), c("anomaly_score")))
-    parts.append(_rows(compare_models(cube.periods()), "model_info", c("model_key"), F.lit("MAPE"), c("MAPE")))
+    parts.append(_rows(compare_models(cube.periods(), (), CANDIDATES), "model_info", c("model_key"), F.lit("MAPE"), c("MAPE")))
     parts.append(_rows(planning_recommendations(cube, facts=facts), "recommendations", c("subject"), c("code"), c("metric")))
     parts.append(_rows(missing_values(df), "data_info", c("column"), F.lit("missing"), c("missing")))
     out = parts[0]
@@ -121,7 +121,7 @@ def scoped_forecasts(df: DataFrame | Cube, questions: DataFrame, dims: Sequence[
             F.lit(d).alias("scope_dim"), F.col(d).cast("string").alias("scope_value"), "Date", "Sales"))
     series = series_of(rows, keys, 3)
     asked = questions.filter(F.col("route").startswith("forecast")).agg(F.collect_set("horizon").alias("_asked"))
-    rows = attach(with_champion(series, keys), asked, ()).withColumn("h", F.explode("_asked")).drop("_asked")
+    rows = attach(with_champion(series, keys, CANDIDATES), asked, ()).withColumn("h", F.explode("_asked")).drop("_asked")
     picked = with_chosen_path(rows, F.col("champion")).withColumnRenamed("h", "horizon")
     return chosen_rows(picked, [*keys, "horizon"])
 

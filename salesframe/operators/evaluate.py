@@ -12,7 +12,7 @@ from ..functions.exprs import attach, per_series
 from ..session import settle
 from .anomaly import rolling_count
 from .forecast import (
-    CANDIDATES, FOREST, FOREST_MONTHS, Params, add_models, check_models, listed_paths, series_of,
+    FOREST, FOREST_MONTHS, WITH_FOREST, Params, add_models, check_models, listed_paths, series_of,
 )
 from .rollup import business_facts
 
@@ -104,14 +104,14 @@ def _backtest_plan(series: DataFrame, min_train: Column, horizon: int, max_split
 
 
 def ranked(comparison: DataFrame, keys: Sequence[str] = (), by: str = "MAPE",
-           order: Sequence[str] = CANDIDATES) -> DataFrame:
+           order: Sequence[str] = WITH_FOREST) -> DataFrame:
     """Number the models of each series from best to worst; ties follow ``order``."""
     place = F.coalesce(F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model_key")), F.lit(99))
     w = Window.partitionBy(*(keys or [F.lit(1)])).orderBy(F.col(by), F.when(place > 0, place).otherwise(99))
     return comparison.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def compare_models(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = CANDIDATES,
+def compare_models(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = WITH_FOREST,
                    test_ratio: float = 0.2, params: Params | None = None) -> DataFrame:
     """Holdout metrics of every model and series, best first; series too short for two test months give none."""
     check_models(models)
@@ -120,7 +120,7 @@ def compare_models(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str
     return ranked(out.withColumn("Accuracy", L.accuracy_label(F.col("MAPE"))), keys)
 
 
-def backtest(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = CANDIDATES,
+def backtest(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = WITH_FOREST,
              min_train: int = 6, horizon: int = 1, max_splits: int = 8,
              params: Params | None = None) -> DataFrame:
     """Expanding-window metrics pooled over the last origins of each series."""
@@ -150,13 +150,13 @@ def _champion_plan(series: DataFrame) -> DataFrame:
     }).filter(F.col("h") >= F.when(long, 1).otherwise(2))
 
 
-def champions(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = CANDIDATES,
+def champions(df: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = WITH_FOREST,
               fallback: str = "holts") -> DataFrame:
     """The best model of every series with its metrics and how it was judged."""
     return _champions(settle(series_of(df, keys), "series"), keys, models, fallback)
 
 
-def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = CANDIDATES,
+def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = WITH_FOREST,
                fallback: str = "holts") -> DataFrame:
     scored = _scored(_champion_plan(series), keys, models, None)
     best = best_model(_round_metrics(metrics(scored, [*keys, "model_key"])), keys)
@@ -167,7 +167,7 @@ def _champions(series: DataFrame, keys: Sequence[str], models: Sequence[str] = C
         "model_key", F.coalesce("model_key", F.lit(fallback)))
 
 
-def with_champion(series: DataFrame, keys: Sequence[str], models: Sequence[str] = CANDIDATES) -> DataFrame:
+def with_champion(series: DataFrame, keys: Sequence[str], models: Sequence[str] = WITH_FOREST) -> DataFrame:
     """Monthly arrays with the ``champion`` model of each series; the arrays are written once."""
     series = settle(series, "series")
     picked = _champions(series, keys, models).select(*keys, F.col("model_key").alias("champion"))
@@ -198,22 +198,23 @@ def with_confidence(df: DataFrame) -> DataFrame:
     })
 
 
-def confidence(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5, window: int = 6) -> DataFrame:
+def confidence(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5, window: int = 6,
+               models: Sequence[str] = WITH_FOREST) -> DataFrame:
     """How far the champion's forecast of each series can be trusted."""
-    best = champions(df, keys).select(*keys, "model_key", "MAPE")
+    best = champions(df, keys, models).select(*keys, "model_key", "MAPE")
     facts = business_facts(df, keys).select(
         *keys, "months", "cv", rolling_count("_y", threshold, window).alias("anomalies"))
     return with_confidence(attach(facts, best, keys))
 
 
 def executive_summary(df: DataFrame, keys: Sequence[str] = (), threshold: float = 2.5,
-                      window: int = 6) -> DataFrame:
+                      window: int = 6, models: Sequence[str] = WITH_FOREST) -> DataFrame:
     """Headline row per series: totals, best and weakest month, growth, anomalies, best model, confidence."""
     facts = business_facts(df, keys).select(
         *keys, "total", "best_month", "best_sales", "worst_month", "worst_sales", "months", "cv",
         F.coalesce("growth_half", "growth_3").alias("growth"),
         rolling_count("_y", threshold, window).alias("anomalies"))
-    best = compare_models(df, keys).filter("rank = 1").select(*keys, F.col("model_key").alias("best_model"), "MAPE")
+    best = compare_models(df, keys, models).filter("rank = 1").select(*keys, F.col("model_key").alias("best_model"), "MAPE")
     out = with_confidence(attach(facts, best, keys))
     return out.select(
         *keys, "total", "best_month", "best_sales", "worst_month", "worst_sales", "growth",

@@ -23,7 +23,10 @@ from .rollup import monthly_totals
 BASE_MODELS = ["moving_average", "linear_trend", "seasonal_naive", "seasonal_trend", "exp_smoothing", "holts"]
 MODELS = ["smart_ensemble", *BASE_MODELS]
 FOREST, FOREST_MONTHS = "random_forest", 8
+FOREST_DEFAULTS = {"trees": 120, "depth": 8, "seed": 42}
 CANDIDATES = ["smart_ensemble", "moving_average", "linear_trend", "seasonal_trend", "exp_smoothing", "holts"]
+#: What series are judged by unless told otherwise; the forest takes part from ``FOREST_MONTHS`` months.
+WITH_FOREST = [*CANDIDATES, FOREST]
 ENSEMBLE_MEMBERS = ["holts", "linear_trend", "exp_smoothing", "moving_average", "seasonal_trend"]
 FALLBACK_ORDER = ["smart_ensemble", "holts", "exp_smoothing", "linear_trend", "seasonal_trend",
                   "moving_average", "seasonal_naive"]
@@ -352,7 +355,7 @@ def _forest_rows(df: DataFrame, horizon: int, keys: Sequence[str], z: float) ->
 
 
 def forecast_with_best_model(df: DataFrame, horizon: int = 6, keys: Sequence[str] = (),
-                             z: float = Z_95, models: Sequence[str] = CANDIDATES) -> DataFrame:
+                             z: float = Z_95, models: Sequence[str] = WITH_FOREST) -> DataFrame:
     """Each series with the model that did best on its recent past.
 
     With the forest among the ``models``, one forest is fitted for each recent origin and
@@ -388,7 +391,7 @@ def forecast_groups(df: DataFrame, group_cols: Sequence[str], horizon: int = 6,
     rows = known_keys(df, groups)
     if max_groups:
         rows = rows_of_top_groups(rows, groups, max_groups)
-    series = with_champion(series_of(rows, groups, fewest_months), groups).withColumn("h", F.lit(horizon))
+    series = with_champion(series_of(rows, groups, fewest_months), groups, CANDIDATES).withColumn("h", F.lit(horizon))
     picked = with_chosen_path(series, F.col("champion"), z).withColumn("TotalForecast", F.expr(A.total("p_chosen.f")))
     return chosen_rows(picked, [*groups, "TotalForecast"])
 

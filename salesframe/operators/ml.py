@@ -6,16 +6,19 @@ One model is fitted on the whole panel; rows of all series are its examples.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.exprs import attach, staged
-from ..session import cut_lineage, settle
+from ..session import scratch_path, settle
 from .evaluate import metrics, ranked, time_split
 from .features import model_features, month_arrays
 from .forecast import RECENT, Z_95, flat_limit, move_if_flat
@@ -25,7 +28,8 @@ from .rollup import monthly_totals
 FEATURES = ["lag_1", "lag_2", "lag_3", "rolling_mean_3", "rolling_std_3", "month", "quarter", "year"]
 CALENDAR = FEATURES[5:]
 FEWEST_MONTHS = 6
-STEPS_PER_CUT = 12
+#: Rows that go down all trees together.
+ROWS_AT_ONCE = 4096
 
 
 def _pipeline(learner) -> Pipeline:
@@ -47,40 +51,93 @@ def regressors(seed: int = 42) -> dict[str, Pipeline]:
     }
 
 
-def _rolled(model: PipelineModel, rows: DataFrame, ids: Sequence[str], horizon: int, steps_per_cut: int) -> DataFrame:
-    """Paths ``_f`` of ``horizon`` months for rows with ``dates`` and ``y``: each prediction becomes the
-    newest history of the next.
-
-    Every step is a projection over one row per series; every ``steps_per_cut`` steps the
-    lineage is cut.
+class Trees(NamedTuple):
+    """A forest as arrays (trees, nodes): a node's feature (-1 in leaves), threshold, children and value."""
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Mean over the trees for rows of features; all trees and rows go down one level at a time."""
+        out = []
+        tree = np.arange(len(self.value))[:, None]
+        for at in range(0, len(x), ROWS_AT_ONCE):
+            part = x[at:at + ROWS_AT_ONCE]
+            row, node = np.arange(len(part))[None, :], np.zeros((len(tree), len(part)), np.int32)
+            feature = self.feature[tree, node]
+            while (feature >= 0).any():
+                low = part[row, np.maximum(feature, 0)] <= self.threshold[tree, node]
+                below = np.where(low, self.left[tree, node], self.right[tree, node])
+                node = np.where(feature >= 0, below, node)
+                feature = self.feature[tree, node]
+            out.append(self.value[tree, node].mean(axis=0))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def forest_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
+    """The nodes of a fitted forest as a table: ``tree``, ``node``, ``feature``, ``threshold``, ``left``, ``right``, ``value``."""
+    path = scratch_path(spark, "forest")
+    model.stages[-1].write().save(path)
+    n = F.col("nodeData")
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), n["split"]["featureIndex"].alias("feature"),
+        F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["prediction"].alias("value"))
+
+
+def forest_trees(model: PipelineModel, spark: SparkSession) -> Trees:
+    """A fitted forest as arrays; at most trees x 2 ** (depth + 1) nodes, whatever it learnt from."""
+    nodes = forest_nodes(model, spark).toPandas()
+    shape = (nodes["tree"].max() + 1, nodes["node"].max() + 1)
+
+    def laid(name: str, kind: type, empty: float) -> np.ndarray:
+        out = np.full(shape, empty, kind)
+        out[nodes["tree"], nodes["node"]] = nodes[name].fillna(empty)
+        return out
+    return Trees(laid("feature", np.int32, -1), laid("threshold", np.float64, 0), laid("left", np.int32, -1),
+                 laid("right", np.int32, -1), laid("value", np.float64, 0))
+
+
+def recursive_paths(trees: Trees, history: np.ndarray, month: np.ndarray, steps: int) -> np.ndarray:
+    """Forecasts (series, steps): each prediction, not below 0, becomes the newest history of the next.
+
+    ``history`` has the last three months of each series, oldest first; ``month`` counts the last one from year 0.
+    """
+    out = np.zeros((len(history), steps))
+    for step in range(steps):
+        lags = history[:, ::-1]
+        month = month + 1
+        features = np.column_stack([
+            lags, lags.mean(axis=1), lags.std(axis=1), month % 12 + 1, month % 12 // 3 + 1, month // 12])
+        out[:, step] = np.maximum(trees.predict(features), 0.0)
+        history = np.column_stack([history[:, 1:], out[:, step]])
+    return out
+
+
+def with_forest_path(rows: DataFrame, trees: Trees, ids: Sequence[str], h: str) -> DataFrame:
+    """Add the path ``_f`` of ``h`` months to rows with ``dates`` and ``y``: one projection, whatever the horizon.
+
+    Trees are arrays that go with the task; a batch of series goes down all of them together. Walking them
+    by column expressions would visit a thousand nodes per series and month one by one.
     """
-    state = staged(rows, {
-        "lag_1": "element_at(y, -1)", "lag_2": "element_at(y, -2)", "lag_3": "element_at(y, -3)",
-        "_last": "element_at(dates, -1)", "_recent": A.tail("y", RECENT), "_flat": flat_limit("y"),
-        "_f": "CAST(array() AS ARRAY<DOUBLE>)",
-    }).withColumn("_slope", F.expr(A.slope("_recent"))).drop("y", "dates", "_recent")
-    kept = [*ids, "_last", "_flat", "_slope"]
-    for step in range(1, horizon + 1):
-        ready = state.withColumns({
-            "_day": F.add_months("_last", step),
-            "rolling_mean_3": (F.col("lag_1") + F.col("lag_2") + F.col("lag_3")) / 3,
-        }).withColumns({
-            "rolling_std_3": F.sqrt(sum(
-                (F.pow(F.col(f"lag_{i}") - F.col("rolling_mean_3"), F.lit(2)) for i in (1, 2, 3)), F.lit(0.0)) / 3),
-            "month": F.month("_day"), "quarter": F.quarter("_day"), "year": F.year("_day"),
-        })
-        state = model.transform(ready).select(
-            *kept, F.greatest("_prediction", F.lit(0.0)).alias("_p"), "lag_1", "lag_2", "_f"
-        ).select(*kept, F.col("_p").alias("lag_1"), F.col("lag_1").alias("lag_2"), F.col("lag_2").alias("lag_3"),
-                 F.concat("_f", F.array("_p")).alias("_f"))
-        if step % steps_per_cut == 0 and step < horizon:
-            state = cut_lineage(state)
-    return state
+    @F.pandas_udf("array<double>")
+    def path(y: pd.Series, month: pd.Series, steps: pd.Series) -> pd.Series:
+        if not len(y):
+            return pd.Series([], dtype=object)
+        found = recursive_paths(trees, np.stack([v[-3:] for v in y]), month.to_numpy(), int(steps.max()))
+        return pd.Series([f[:n] for f, n in zip(found, steps)])
+
+    last = F.element_at("dates", -1)
+    state = staged(rows, {"_recent": A.tail("y", RECENT), "_flat": flat_limit("y")}).withColumns({
+        "_slope": F.expr(A.slope("_recent")), "_last": last,
+        "_f": path("y", F.year(last) * 12 + F.month(last) - 1, F.col(h).cast("int"))})
+    return staged(state.drop("_recent"), {"_f": move_if_flat("_f", "_slope", "_flat", 0.20, 0.78)}).select(*ids, "_last", "_f")
 
 
 def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str] = (), z: float = Z_95,
-                           trees: int = 120, depth: int = 8, seed: int = 42,
-                           steps_per_cut: int = STEPS_PER_CUT) -> DataFrame:
+                           trees: int = 120, depth: int = 8, seed: int = 42) -> DataFrame:
     """Month-by-month forecasts of every series by one forest over the whole panel."""
     keys = list(keys)
     # History, training rows and residuals all start from the month totals.
@@ -89,12 +146,17 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
     rows = model_features(monthly, keys)
     if keys:
         rows = rows.join(series.select(*keys), keys, "left_semi")
+    rows = settle(rows, "features")
+    if not rows.head(1):  # no series is long enough
+        return df.sparkSession.createDataFrame([], series.select(*keys).schema).select(
+            *keys, F.lit("random_forest").alias("model_key"), F.lit(0).cast("long").alias("step"),
+            F.lit(None).cast("date").alias("Date"), *[F.lit(None).cast("double").alias(c) for c in ("Forecast", "Upper", "Lower")])
     model = forest(trees, depth, 1, seed).fit(rows)
     spread = model.transform(rows).groupBy(*keys).agg(
         F.stddev_pop(F.col("Sales") - F.col("_prediction")).alias("_s"))
-    state = _rolled(model, attach(series, spread, keys), [*keys, "_s"], horizon, steps_per_cut)
-    done = staged(state, {"_f": move_if_flat("_f", "_slope", "_flat", 0.20, 0.78)})
-    long = done.select(*keys, "_s", "_last", F.posexplode("_f").alias("_i", "Forecast"))
+    found = with_forest_path(attach(series, spread, keys).withColumn("_h", F.lit(horizon)),
+                             forest_trees(model, df.sparkSession), [*keys, "_s"], "_h")
+    long = found.select(*keys, "_s", "_last", F.posexplode("_f").alias("_i", "Forecast"))
     step = F.col("_i") + 1
     return long.select(
         *keys, F.lit("random_forest").alias("model_key"), step.cast("long").alias("step"),
@@ -104,8 +166,7 @@ def random_forest_forecast(df: DataFrame, horizon: int = 6, keys: Sequence[str]
     )
 
 
-def forest_paths(cut: DataFrame, keys: Sequence[str], trees: int = 120, depth: int = 8, seed: int = 42,
-                 steps_per_cut: int = STEPS_PER_CUT) -> DataFrame:
+def forest_paths(cut: DataFrame, keys: Sequence[str], trees: int = 120, depth: int = 8, seed: int = 42) -> DataFrame:
     """Forest forecasts ``v`` of series cut at origins (``slot``, ``o``, ``h``, ``dates``, ``y``).
 
     ``slot`` numbers the origins of a series from its last one; there are as many forests as
@@ -113,15 +174,14 @@ def forest_paths(cut: DataFrame, keys: Sequence[str], trees: int = 120, depth: i
     """
     ids, out = [*keys, "o", "h"], None
     cut = settle(cut.filter(F.size("y") >= FEWEST_MONTHS), "cut")
-    for slot, longest in sorted(cut.groupBy("slot").agg(F.max("h")).collect()):  # a handful of origins
+    for (slot,) in sorted(cut.select("slot").distinct().collect()):  # a handful of origins
         part = cut.filter(F.col("slot") == slot)
         rows = model_features(
             part.select(*keys, F.explode(F.arrays_zip("dates", "y")).alias("_m")).select(
                 *keys, F.col("_m.dates").alias("Date"), F.col("_m.y").alias("Sales")), keys)
         model = forest(trees, depth, 1, seed).fit(settle(rows, "features"))
-        state = _rolled(model, part.select(*ids, "dates", "y"), ids, longest, steps_per_cut)
-        state = staged(state, {"_f": "slice(_f, 1, h)"})
-        done = staged(state, {"v": move_if_flat("_f", "_slope", "_flat", 0.20, 0.78)}).select(*ids, "v")
+        done = with_forest_path(part.select(*ids, "dates", "y"), forest_trees(model, cut.sparkSession), ids, "h").select(
+            *ids, F.col("_f").alias("v"))
         out = done if out is None else out.unionByName(done)
     return out if out is not None else cut.select(*ids, F.col("y").alias("v"))
 

@@ -83,7 +83,7 @@ _PICK = """SELECT Region, Category, model_key, step, "Date", round(f, 2) AS "For
 
 @query("fc_champion", champion_and_full_sql(KEYS, 6) + _PICK)
 def fc_champion(spark, d):
-    return rounded(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS))
+    return rounded(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS, models=P.CANDIDATES))
 
 
 @query("fc_grouped", champion_and_full_sql(["Nation"], 6) + """
@@ -173,7 +173,7 @@ def fc_path_facts(spark, d):
 SELECT Region, Category, strftime("Date", '%b %Y') AS "Month", round(f, 2) AS "Forecast", round(u, 2) AS "Upper",
   round(l, 2) AS "Lower", model_key AS "Model" FROM pick""")
 def fc_export(spark, d):
-    return P.export_table(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS), KEYS)
+    return P.export_table(P.forecast_with_best_model(V.sales(spark, d), 6, KEYS, models=P.CANDIDATES), KEYS)
 
 
 # --- evaluation --------------------------------------------------------------
@@ -193,19 +193,19 @@ def time_split(spark, d):
 @query("eval_holdout", all_models_sql(KEYS, holdout_outer(KEYS)) + "," + metrics_sql(KEYS) + f"""
 SELECT Region, Category, model_key, MAE, RMSE, MAPE, R2, {_ACC} AS "Accuracy", rank FROM rk""")
 def eval_holdout(spark, d):
-    return E.compare_models(V.sales(spark, d), KEYS)
+    return E.compare_models(V.sales(spark, d), KEYS, P.CANDIDATES)
 
 
 @query("eval_backtest", all_models_sql(KEYS, backtest_outer(KEYS, "6", 1, 5)) + "," + metrics_sql(KEYS) + """
 SELECT Region, Category, model_key, MAE, RMSE, MAPE, R2, Splits AS "Splits", 1 AS "Horizon", rank FROM rk""")
 def eval_backtest(spark, d):
-    return E.backtest(V.sales(spark, d), KEYS, max_splits=5)
+    return E.backtest(V.sales(spark, d), KEYS, P.CANDIDATES, max_splits=5)
 
 
 @query("eval_backtest_h3", all_models_sql(["Nation"], backtest_outer(["Nation"], "24", 3, 8)) + "," + metrics_sql(["Nation"]) + """
 SELECT Nation, model_key, MAE, RMSE, MAPE, R2, Splits AS "Splits", 3 AS "Horizon", rank FROM rk""")
 def eval_backtest_h3(spark, d):
-    return E.backtest(V.sales(spark, d), ["Nation"], min_train=24, horizon=3)
+    return E.backtest(V.sales(spark, d), ["Nation"], P.CANDIDATES, min_train=24, horizon=3)
 
 
 @query("eval_metrics_floor", """
@@ -222,14 +222,14 @@ def eval_metrics_floor(spark, d):
 @query("accuracy_label", all_models_sql(["Nation"], holdout_outer(["Nation"])) + "," + metrics_sql(["Nation"]) + f"""
 SELECT {_ACC} AS label, count(*) AS n FROM rk GROUP BY 1""")
 def accuracy_label(spark, d):
-    return E.compare_models(V.sales(spark, d), ["Nation"]).groupBy(F.col("Accuracy").alias("label")).agg(
+    return E.compare_models(V.sales(spark, d), ["Nation"], P.CANDIDATES).groupBy(F.col("Accuracy").alias("label")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @query("best_model", all_models_sql(["Nation"], holdout_outer(["Nation"])) + "," + metrics_sql(["Nation"]) + f"""
 SELECT Nation, model_key, MAE, RMSE, MAPE, R2, {_ACC} AS "Accuracy" FROM rk WHERE rank = 1""")
 def best_model(spark, d):
-    return E.best_model(E.compare_models(V.sales(spark, d), ["Nation"]), ["Nation"])
+    return E.best_model(E.compare_models(V.sales(spark, d), ["Nation"], P.CANDIDATES), ["Nation"])
 
 
 _CH = "SELECT {k}, months, trained_on, model_key, MAE, RMSE, MAPE, R2, judged_by FROM ch"
@@ -237,7 +237,7 @@ _CH = "SELECT {k}, months, trained_on, model_key, MAE, RMSE, MAPE, R2, judged_by
 
 @query("champion", champion_and_full_sql(KEYS, 1) + _CH.format(k="Region, Category"))
 def champion(spark, d):
-    return E.champions(V.sales(spark, d), KEYS)
+    return E.champions(V.sales(spark, d), KEYS, P.CANDIDATES)
 
 
 @query("champion_customers", champion_and_full_sql(["o_custkey"], 1).replace(
@@ -248,7 +248,7 @@ def champion_customers(spark, d):
     # where the order of a sum decides; `champion` compares MAE and RMSE.
     orders = V.table(spark, d, "orders").select(
         "o_custkey", F.to_date("o_orderdate").alias("Date"), F.col("o_totalprice").alias("Sales"))
-    return E.champions(orders, ["o_custkey"]).drop("MAE", "RMSE")
+    return E.champions(orders, ["o_custkey"], P.CANDIDATES).drop("MAE", "RMSE")
 
 
 _SCORE = """greatest(100 - CASE WHEN MAPE < 10 THEN 0 WHEN MAPE < 20 THEN 10 WHEN MAPE < 35 THEN 25 ELSE 40 END
@@ -269,7 +269,7 @@ SELECT Nation, months, round(cv, 4) AS cv, anomalies, model_key, MAPE, score, {_
   CASE WHEN months >= 12 THEN 'sufficient_history' ELSE 'limited_history' END AS reason_history,
   CASE WHEN anomalies <= 2 THEN 'few_anomalies' ELSE 'many_anomalies' END AS reason_anomalies FROM y""")
 def confidence(spark, d):
-    return rounded(E.confidence(V.sales(spark, d), ["Nation"], 1.8), 4)
+    return rounded(E.confidence(V.sales(spark, d), ["Nation"], 1.8, models=P.CANDIDATES), 4)
 
 
 @query("executive_summary", all_models_sql(["Region"], holdout_outer(["Region"])) + "," + metrics_sql(["Region"]) + ", "
@@ -282,4 +282,4 @@ SELECT Region, round(total, 2) AS total, best_month, round(best_sales, 2) AS bes
   CASE WHEN growth > 10 THEN 'strong_upward' WHEN growth < -10 THEN 'declining' ELSE 'stable' END AS trend,
   anomalies, model_key AS best_model, MAPE, score, {_LEVEL} AS level FROM y""")
 def executive_summary(spark, d):
-    return rounded(E.executive_summary(V.sales(spark, d), ["Region"], 1.8), 2, growth=4)
+    return rounded(E.executive_summary(V.sales(spark, d), ["Region"], 1.8, models=P.CANDIDATES), 2, growth=4)

@@ -14,9 +14,9 @@ from .forecast_queries import KEYS
 from .forecast_sql import all_models_sql, full_outer, holdout_outer, metrics_sql
 from .registry import SALES_SQL, query, rounded
 
-_MODELS = str(S.TRAINED)
+_MODELS = str(S.CLASSIC)
 _MAPS = "CASE model_key " + " ".join(
-    f"WHEN '{m}' THEN '{'|'.join(f'{k}={float(v)}' for k, v in sorted(DEFAULTS[m].items()))}'" for m in S.TRAINED) + " END"
+    f"WHEN '{m}' THEN '{'|'.join(f'{k}={float(v)}' for k, v in sorted(DEFAULTS[m].items()))}'" for m in S.CLASSIC) + " END"
 
 
 @query("csv_roundtrip", f"""WITH {SALES_SQL}
@@ -55,16 +55,28 @@ def _flat_params(df):
 
 @query("fc_train_all", _TRAIN)
 def fc_train_all(spark, d):
-    return _flat_params(S.train_all(V.sales(spark, d), KEYS))
+    return _flat_params(S.train_all(V.sales(spark, d), KEYS, S.CLASSIC))
 
 
 @query("champion_roundtrip", _TRAIN)
 def champion_roundtrip(spark, d):
     path = scratch_path(spark, "champions")
-    S.save_champions(S.train_all(V.sales(spark, d), KEYS), path)
+    S.save_champions(S.train_all(V.sales(spark, d), KEYS, S.CLASSIC), path)
     return _flat_params(S.load_champions(spark, path))
 
 
+@query("champion_replaced", all_models_sql(KEYS, holdout_outer(KEYS)) + "," + metrics_sql(KEYS, _MODELS) + f"""
+SELECT Region, Category, CASE WHEN Region = 'ASIA' THEN 'holts' ELSE model_key END AS model_key,
+  CASE WHEN Region = 'ASIA' THEN h.MAPE ELSE rk.MAPE END AS MAPE
+FROM rk JOIN (SELECT Region, Category, MAPE FROM me WHERE model_key = 'holts') h USING (Region, Category) WHERE rank = 1""")
+def champion_replaced(spark, d):
+    """All champions saved, then those of one region replaced by another choice."""
+    path, rows = scratch_path(spark, "champions"), V.sales(spark, d)
+    S.save_champions(S.train_all(rows, KEYS, S.CLASSIC), path)
+    S.save_champions(S.train_all(rows.filter("Region = 'ASIA'"), KEYS, ["holts"]), path, "replace")
+    return S.load_champions(spark, path).select(*KEYS, "model_key", "MAPE")
+
+
 @query("fc_score_champion", all_models_sql(KEYS, holdout_outer(KEYS) + " UNION ALL " + full_outer(KEYS, 12)) + ","
        # full-history forecasts (o = n) have no month to be judged by, so they fall out of the metrics
        + metrics_sql(KEYS, _MODELS) + """
@@ -75,7 +87,7 @@ FROM rk JOIN size USING (Region, Category) JOIN af ON af.Region = rk.Region AND
 def fc_score_champion(spark, d):
     path = scratch_path(spark, "champions")
     rows = V.sales(spark, d)
-    S.save_champions(S.train_all(rows, KEYS), path)
+    S.save_champions(S.train_all(rows, KEYS, S.CLASSIC), path)
     return rounded(S.score_champions(S.load_champions(spark, path), rows, 12, KEYS))
 
 
