@@ -1,4 +1,4 @@
-"""Exact quantiles and modes that never hold a group in one task.
+"""Exact and sketched quantiles and modes that never hold a group in one task.
 
 Equal values are counted before the shuffle. The counted values are dealt out by
 ranges of (key, value), so a key of any size is spread over many tasks; the number
@@ -8,6 +8,7 @@ is then read from the two values whose ranks enclose it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,24 @@ def exact_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float],
     return quantiles_of(counted_values(df, value, keys), wanted, keys, count_as)
 
 
+def sketch_size(error: float) -> int:
+    """The ``k`` of a KLL sketch whose normalised rank error is ``error`` (at 99 % confidence)."""
+    return min(max(math.ceil((2.296 / error) ** (1 / 0.9723)), 8), 65535)
+
+
+def sketched_quantiles(df: DataFrame, value: str, wanted: Mapping[str, float], error: float,
+                       keys: Sequence[str] = (), count_as: str | None = None) -> DataFrame:
+    """Quantiles within ``error`` of their rank, from one KLL sketch per key.
+
+    Sketches are built in each task and merged, so what is shuffled is one sketch per key and task, whatever
+    the number of distinct values. A value of the column is returned, without interpolation.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    sketch = rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(sketch_size(error))).alias("_s"), F.count("_v").alias("_n"))
+    read = [F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_s", F.lit(float(q)))).alias(n) for n, q in wanted.items()]
+    return sketch.select(*keys, *read, *([F.col("_n").alias(count_as)] if count_as else []))
+
+
 def counted_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Known values ``_v`` per key with their number ``_c``, written by ranges ``_part`` of (key, value)."""
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(

@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions.exprs import attach, known_keys, per_series
 from ..functions.labels import severity
-from ..functions.quantiles import counted_values, quantiles_of
+from ..functions.quantiles import counted_values, quantiles_of, sketched_quantiles
 from ..session import settle
 from .ordered import over_rows
 
 
-def _fences(df: DataFrame, value_col: str, keys: Sequence[str]) -> DataFrame:
-    return _fences_of(counted_values(df, value_col, keys), keys)
+_QUARTERS = {"_q1": 0.25, "_q3": 0.75}
 
 
-def _fences_of(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    q = quantiles_of(counted, {"_q1": 0.25, "_q3": 0.75}, keys, count_as="_n")
+def _fences(df: DataFrame, value_col: str, keys: Sequence[str], approx: float | None = None) -> DataFrame:
+    if approx:
+        return _fences_of(sketched_quantiles(df, value_col, _QUARTERS, approx, keys, "_n"), keys)
+    return _fences_of(quantiles_of(counted_values(df, value_col, keys), _QUARTERS, keys, "_n"), keys)
+
+
+def _fences_of(q: DataFrame, keys: Sequence[str]) -> DataFrame:
     iqr = F.col("_q3") - F.col("_q1")
     return q.filter(iqr > 0).select(
         *keys, "_n", iqr.alias("_iqr"), (F.col("_q1") - 1.5 * iqr).alias("_low"),
@@ -46,11 +50,14 @@ def _small(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     return settle(stats, "stats") if keys else stats
 
 
-def iqr_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] = ()) -> DataFrame:
-    """Rows outside the 1.5 IQR fences, all columns kept."""
+def iqr_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str] = (), approx: float | None = None) -> DataFrame:
+    """Rows outside the 1.5 IQR fences, all columns kept.
+
+    ``approx``: the rank error allowed for the quartiles, which then come from sketches; exact without it.
+    """
     v = F.col(value_col)
     return (
-        attach(known_keys(df, keys), _small(_fences(df, value_col, keys), keys), keys)
+        attach(known_keys(df, keys), _small(_fences(known_keys(df, keys), value_col, keys, approx), keys), keys)
         .filter((v < F.col("_low")) | (v > F.col("_high")))
         .withColumns({"outlier_score": _fence_score(v), "outlier_method": F.lit("iqr")})
         .drop("_n", "_iqr", "_low", "_high")
@@ -64,7 +71,7 @@ def iqr_outlier_count(df: DataFrame, value_col: str = "Sales", keys: Sequence[st
     """
     counted = counted_values(known_keys(df, keys), value_col, keys)
     outside = (F.col("_v") < F.col("_low")) | (F.col("_v") > F.col("_high"))
-    found = attach(counted, _small(_fences_of(counted, keys), keys), keys).filter(outside)
+    found = attach(counted, _small(_fences_of(quantiles_of(counted, _QUARTERS, keys, "_n"), keys), keys), keys).filter(outside)
     n = F.sum("_c") if keys else F.coalesce(F.sum("_c"), F.lit(0))
     return found.groupBy(*keys).agg(n.alias(name))
 
@@ -82,9 +89,9 @@ def zscore_outliers(df: DataFrame, value_col: str = "Sales", keys: Sequence[str]
 
 
 def detect_outliers(df: DataFrame, value_col: str = "Sales", method: str = "iqr",
-                    keys: Sequence[str] = ()) -> DataFrame:
+                    keys: Sequence[str] = (), approx: float | None = None) -> DataFrame:
     if method == "iqr":
-        return iqr_outliers(df, value_col, keys)
+        return iqr_outliers(df, value_col, keys, approx)
     if method == "zscore":
         return zscore_outliers(df, value_col, keys)
     raise ValueError("unknown outlier method, use 'iqr' or 'zscore'")
@@ -114,19 +121,20 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", threshold: float = 2
                      window: int = 6, keys: Sequence[str] = (), date_col: str = "Date",
                      value_col: str = "Sales", tiebreak: Sequence[str] = (),
                      include_current: bool = True, by_period: bool = False,
-                     centre: DataFrame | None = None) -> DataFrame:
+                     centre: DataFrame | None = None, approx: float | None = None) -> DataFrame:
     """Unusual rows with score and severity.
 
     ``by_period`` says that ``df`` is already rolled up to one row per period, so
     that a rolling window may hold a whole series. ``centre`` gives the statistics of the z-score
-    (``Cube.centre``) where they are known. Series with fewer than three rows have no anomalies.
+    (``Cube.centre``) where they are known, ``approx`` the rank error allowed for quartiles. Series with fewer
+    than three rows have no anomalies.
     """
     df = known_keys(df, keys)
     v = F.col(value_col)
     shown = [*keys, *tiebreak, F.col(date_col).alias("Date"), v.alias("Sales")]
     if method == "iqr":
         score = _fence_score(v)
-        out = attach(df, _small(_fences(df, value_col, keys), keys), keys).filter(
+        out = attach(df, _small(_fences(df, value_col, keys, approx), keys), keys).filter(
             ((v < F.col("_low")) | (v > F.col("_high"))) & (F.col("_n") >= 3))
         return out.select(*shown, score.alias("anomaly_score"),
                           severity(score, 2, 3).alias("severity"), F.lit("iqr").alias("method"))

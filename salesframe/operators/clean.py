@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from ..functions.exprs import ROW_HASH, attach, nan_to_null, row_hash, staged
-from ..functions.quantiles import exact_quantiles, most_common
+from ..functions.quantiles import exact_quantiles, most_common, sketched_quantiles
 from ..functions.text import amount, repair_text, text_columns
 from ..session import settle
 from .features import calendar_features, min_max, one_hot, row_features
@@ -113,10 +113,11 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def fill_median(df: DataFrame, columns: Sequence[str] | None = None, approx: float | None = None) -> DataFrame:
     """Numeric gaps take the column median; filled columns are doubles.
 
-    All medians come from one pass over (column, value) pairs.
+    All medians come from one pass over (column, value) pairs; with ``approx``, an allowed rank error, from one
+    sketch per column, which shuffles nothing but sketches.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     if not columns:
@@ -125,7 +126,8 @@ def fill_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)
     ])).alias("_p")).select(F.col("_p.i").alias("_i"), F.col("_p.v").alias("_v"))
-    medians = exact_quantiles(pairs, "_v", {"m": 0.5}, ["_i"]).agg(*[
+    found = sketched_quantiles(pairs, "_v", {"m": 0.5}, approx, ["_i"]) if approx else exact_quantiles(pairs, "_v", {"m": 0.5}, ["_i"])
+    medians = found.agg(*[
         F.max(F.when(F.col("_i") == i, F.col("m"))).alias(f"_m{i}") for i in range(len(columns))
     ])
     out = attach(df, medians, ())

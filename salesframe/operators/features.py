@@ -14,6 +14,10 @@ from ..session import settle
 from .ordered import over_rows, with_position
 
 
+#: Levels of a text column up to which ``one_hot`` makes columns of them.
+MAX_LEVELS = 1000
+
+
 def calendar_features(df: DataFrame, date_col: str = "Date") -> DataFrame:
     d = F.col(date_col)
     return df.withColumns({
@@ -122,18 +126,24 @@ def recent_slope(monthly: DataFrame, keys: Sequence[str] = (), window: int = 6)
 
 
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, exclude: Sequence[str] = (),
-            levels: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+            levels: Mapping[str, Sequence[str]] | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
     """0/1 columns per text level, the first level dropped.
 
-    The levels become columns, so they must be few: pass ``levels``, or let one
-    job per column look them up. For columns of many levels see ``one_hot_vectors``.
+    The levels become columns, so they must be few: pass ``levels``, or let two jobs look them up, one that
+    sketches how many there are and one that fetches them. A column with more than about ``max_levels`` is refused
+    before anything is fetched; ``one_hot_vectors`` takes any number.
     """
     if columns is None:
         columns = [n for n, t in df.dtypes if t == "string" and n not in exclude]
     levels = dict(levels or {})
-    for c in columns:
-        if c not in levels:
-            levels[c] = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()]
+    unknown = [c for c in columns if c not in levels]
+    if unknown:
+        sizes = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(unknown)]).first()
+        many = [c for c, n in zip(unknown, sizes) if n > max_levels]
+        if many:
+            raise ValueError(f"{', '.join(many)}: more than {max_levels} levels, use one_hot_vectors")
+        found = df.agg(*[F.collect_set(c).alias(f"s{i}") for i, c in enumerate(unknown)]).first()
+        levels |= dict(zip(unknown, found))
     flags = {
         f"{c}_{v}": F.coalesce(F.col(c) == v, F.lit(False)).cast("long")
         for c in columns for v in sorted(levels[c])[1:]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import attach, staged
 from ..functions.labels import horizon_caution
+from ..session import settle
 
 # The words below define intents, flags and numbers.
 WEAK = ["weak", "weakest", "worst", "lowest", "least", "poor", "poorest", "underperform", "under performing",
@@ -168,33 +169,46 @@ def _marked(pieces: str) -> str:
     return f"concat('\u0003', array_join(transform({pieces}, t -> concat({mark}, t, {mark})), ''), '\u0003')"
 
 
+def _indexed(values: DataFrame) -> DataFrame:
+    """Values under their rarest piece (the fewest values have it): ``_piece``, ``dim``, ``value``, ``place``, ``_run``."""
+    known = values.select("dim", "value", "place", F.regexp_extract_all(F.lower("value"), F.lit(_PIECES), F.lit(0)).alias("_v"))
+    each = known.select("dim", "value", F.explode(F.array_distinct("_v")).alias("_piece"))
+    spread = each.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    # words before blanks and signs, which most texts have
+    rank = F.struct((~F.col("_piece").rlike(r"(?U)^\w")).alias("sign"), F.col("_n").alias("n"), F.col("_piece").alias("piece"))
+    rarest = each.join(spread, "_piece").groupBy("dim", "value").agg(F.min(rank).alias("_r"))
+    return known.join(rarest, ["dim", "value"]).select(
+        "dim", "value", "place", F.col("_r.piece").alias("_piece"), F.expr(_marked("_v")).alias("_run"))
+
+
 def mentions(questions: DataFrame, values: DataFrame, ids: Sequence[str],
              text_col: str = "question") -> DataFrame:
     """The dimension value a question names: ``dim`` and ``value``, NULL if none.
 
-    The distinct pieces of a question meet the first pieces of the values in an
-    equi-join of ids and pieces, without texts; the few values found so are then
-    compared with the text in place. No question is compared with every value. A
-    question about a category or region looks there first, then in column order; the
-    longest value wins.
+    Values are kept under their rarest piece. The distinct pieces of a question meet them in an equi-join of ids and
+    pieces, without texts; what is found so is compared with the text, one candidate a row, and the best one is a
+    minimum. So neither a common first word of very many values nor a question with many candidates makes a long
+    list, and no question is compared with every value. A question about a category or region looks there first, then
+    in column order; the longest value wins.
     """
-    cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECES), F.lit(0))
-    known = values.select("dim", "value", "place", cut("value").alias("_v")).select(
-        "dim", "value", "place", F.get("_v", F.lit(0)).alias("_piece"), F.expr(_marked("_v")).alias("_run"))
     spread = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = questions.repartition(spread, *ids)
+    return _mentions(questions.repartition(spread, *ids), questions.columns, values, ids, text_col)
+
+
+def _mentions(rows: DataFrame, shown: Sequence[str], values: DataFrame, ids: Sequence[str], text_col: str) -> DataFrame:
+    cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECES), F.lit(0))
     pieces = rows.select(*ids, F.explode(F.array_distinct(cut(text_col))).alias("_piece"))
-    found = pieces.join(known, "_piece").groupBy(*ids).agg(
-        F.collect_list(F.struct("dim", "value", "place", "_run")).alias("_found"))
-    joined = rows.join(found, list(ids), "left")
-    pieces_of = f"regexp_extract_all(lower(`{text_col}`), r'{_PIECES}', 0)"
-    joined = staged(joined, {"_text": f"CASE WHEN _found IS NOT NULL THEN {_marked(pieces_of)} END"})
-    first = (f"(contains(lower(`{text_col}`), 'category') AND x.dim = 'Category') OR (NOT contains(lower(`{text_col}`), 'category')"
-             f" AND contains(lower(`{text_col}`), 'region') AND x.dim = 'Region')")
-    best = (f"array_min(transform(filter(_found, x -> contains(_text, x._run)), x -> named_struct("
-            f"'o', IF({first}, -1, x.place), 'l', -length(x.value), 'v', x.value, 'd', x.dim)))")
-    return joined.withColumn("_best", F.expr(best)).select(
-        *questions.columns, F.col("_best.d").alias("dim"), F.col("_best.v").alias("value"))
+    found = pieces.join(settle(_indexed(values), "values"), "_piece").drop("_piece")
+    with_found = rows.select(*ids, F.col(text_col).alias("_q")).join(found.select(*ids).distinct(), list(ids), "left_semi")
+    pieces_of = f"regexp_extract_all(lower(_q), r'{_PIECES}', 0)"
+    texts = staged(with_found, {"_text": _marked(pieces_of), "_about": (
+        "CASE WHEN contains(lower(_q), 'category') THEN 'Category' WHEN contains(lower(_q), 'region') THEN 'Region' END")})
+    named = texts.drop("_q").join(found, list(ids)).where("contains(_text, _run)")
+    first = F.coalesce(F.col("dim") == F.col("_about"), F.lit(False))
+    best = F.min(F.struct(F.when(first, -1).otherwise(F.col("place")).alias("o"), (-F.length("value")).alias("l"),
+                          F.col("value").alias("v"), F.col("dim").alias("d")))
+    return rows.join(named.groupBy(*ids).agg(best.alias("_best")), list(ids), "left").select(
+        *shown, F.col("_best.d").alias("dim"), F.col("_best.v").alias("value"))
 
 
 def route(questions: DataFrame, values: DataFrame, ids: Sequence[str],
@@ -204,7 +218,10 @@ def route(questions: DataFrame, values: DataFrame, ids: Sequence[str],
     Forecast routes are scoped to a mentioned value, to a dimension (one forecast
     per value) or to everything.
     """
-    named = mentions(classify(questions, text_col), values, ids, text_col)
+    # dealt out before anything is worked out of the texts
+    spread = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = classify(questions.repartition(spread, *ids), text_col)
+    named = _mentions(dealt, dealt.columns, values, ids, text_col)
     c = F.col
     says = lambda words: F.expr(has_any(f"lower(`{text_col}`)", words))
     direct = ["data_info", "model_info", "recommendations", "project_info"]

@@ -10,6 +10,7 @@ from ..operators import clean as C
 from ..operators import features as W
 from ..operators import profile as P
 from ..operators.rollup import monthly_totals
+from ..session import settle
 from . import views as V
 from .registry import SALES_SQL, monthly_sql, query, rounded
 
@@ -240,7 +241,7 @@ SELECT n AS rows_before, (SELECT count(*) FROM filled) AS rows_after,
   n - (SELECT count(*) FROM (SELECT DISTINCT * FROM typed)) AS duplicates_removed, nulls AS missing_fixed,
   2 AS columns_converted, (SELECT count(*) FROM typed, f WHERE Revenue < low OR Revenue > high) AS outliers_detected FROM z"""))
 def cleaning_report(spark, d):
-    raw = V.dirty_typed(spark, d)
+    raw = settle(V.dirty_typed(spark, d), "typed")  # read from text once; the report and the cleaning pass over it
     return P.cleaning_report(raw, C.clean_upload(raw, "Order Date", "Revenue", ["order_id"]), "Order Date", "Revenue")
 
 

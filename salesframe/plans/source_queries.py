@@ -102,10 +102,29 @@ def demo_panel(spark, d):
     return rounded(monthly_totals(panel, ["s_suppkey"]), 1)
 
 
-@query("demo_panel_noise")
+def _u(salt: int) -> str:
+    return f"(('0x' || substr(md5(s_suppkey || '|' || d || '|{salt}'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496"
+
+
+def _drawn(shares: dict[str, float], salt: int) -> str:
+    edge, cases = 0.0, []
+    for name, part in list(shares.items())[:-1]:
+        edge += part
+        cases.append(f"WHEN {_u(salt)} < {edge!r}::DOUBLE THEN '{name}'")
+    return f"CASE {' '.join(cases)} ELSE '{list(shares)[-1]}' END"
+
+
+@query("demo_panel_noise", f"""
+WITH r AS (SELECT s_suppkey, CAST(unnest(generate_series(DATE '2022-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d FROM supplier),
+v AS (SELECT s_suppkey, d, round(greatest(8000 + 14000 * (d - DATE '2022-01-01') / 1095.0::DOUBLE
+  + 3500 * sin(2 * pi() * dayofyear(d) / 365) + 800 * sin(2 * pi() * (isodow(d) - 1) / 7)
+  + 600 * sqrt(-2 * ln({_u(42)})) * cos(2 * pi() * {_u(43)}), 0), 2) AS s FROM r)
+SELECT {_drawn(T.DEMO_CATEGORIES, 44)} AS "Category", {_drawn(T.DEMO_REGIONS, 45)} AS "Region", round(sum(s), 1) AS "Sales",
+  sum(CAST(floor(s / (45 + 40 * {_u(46)})) AS BIGINT)) AS "Orders", sum(CAST(floor(30 * {_u(47)}) AS BIGINT)) AS "Returns", count(*) AS n
+FROM v GROUP BY ALL""")
 def demo_panel_noise(spark, d):
     """A noisy demo panel with segments, one series per supplier, as category totals."""
     panel = T.demo_panel(V.table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
     return rounded(panel.groupBy("Category", "Region").agg(
         F.sum("Sales").alias("Sales"), F.sum("Orders").alias("Orders"), F.sum("Returns").alias("Returns"),
-        F.count(F.lit(1)).alias("n")))
+        F.count(F.lit(1)).alias("n")), 1)

@@ -53,8 +53,12 @@ DEMO_REGIONS = {"North": 0.3, "South": 0.25, "East": 0.25, "West": 0.2}
 
 
 def _uniform(keys: Sequence[str], salt: int):
-    """A number in (0, 1) that depends on the row alone, so retries give the same rows."""
-    bits = F.pmod(F.xxhash64(*keys, "Date", F.lit(salt)), F.lit(1 << 52))
+    """A number in (0, 1) that depends on the row alone, so retries give the same rows and SQL can restate them.
+
+    52 bits of the MD5 of the row's keys, day and the counter ``salt``.
+    """
+    row = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("Date").cast("string"), F.lit(str(salt)))
+    bits = F.conv(F.substring(F.md5(row), 1, 13), 16, 10).cast("long")
     return (bits + F.lit(0.5)) / float(1 << 52)
 
 

@@ -2,23 +2,27 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from salesframe.functions.quantiles import exact_quantiles, most_common
+from salesframe.functions.quantiles import exact_quantiles, most_common, sketch_size, sketched_quantiles
 from salesframe.operators import anomaly as N
 from salesframe.operators import clean as C
 from salesframe.operators import features as W
-from salesframe.operators import profile as P
+from salesframe.operators import ml as M
 from salesframe.operators import ordered
+from salesframe.operators import profile as P
+from salesframe.operators import questions as Q
 from salesframe.operators.cube import roll_up
 from salesframe.operators.ordered import over_rows, with_position
 from salesframe.operators.rollup import (
     business_facts, dimension_totals, main_driver, month_by_dimension, monthly_totals, recent_days,
 )
+from salesframe.sources import champions as H
 
 
 @pytest.fixture(scope="module")
@@ -278,3 +282,76 @@ def test_ranks_of_many_values_in_a_month(spark):
     want["rank"] = want.groupby("Date").cumcount() + 1
     both = got.merge(want, on=["Date", "Category"])
     assert len(both) == len(want) == len(got) and (both.rank_x == both.rank_y).all()
+
+
+def test_sketched_quantiles_stay_within_their_rank_error(spark):
+    rng = random.Random(2)
+    values = [0.0] * 4000 + [rng.lognormvariate(0, 3) for _ in range(6000)]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(0, None), (1, float("nan")), (2, None)], "k int, v double").repartition(7)
+    for keys in ([], ["k"]):
+        for r in sketched_quantiles(df, "v", {"a": 0.25, "m": 0.5, "z": 0.99}, 0.02, keys, "n").collect():
+            own = sorted(v for i, v in enumerate(values) if not keys or i % 2 == r.k)
+            if keys and r.k == 2:
+                assert (r.a, r.m, r.z, r.n) == (None, None, None, 0)
+                continue
+            assert r.n == len(own)
+            for q, found in ((0.25, r.a), (0.5, r.m), (0.99, r.z)):
+                low, high = np.searchsorted(own, found, "left") / len(own), np.searchsorted(own, found, "right") / len(own)
+                assert low - 0.02 <= q <= high + 0.02
+    exact = {(r.k, r.v) for r in N.iqr_outliers(df, "v", ["k"]).collect()}
+    near = {(r.k, r.v) for r in N.iqr_outliers(df, "v", ["k"], approx=0.005).collect()}
+    assert len(exact ^ near) < 0.1 * len(exact)
+    filled = C.fill_median(df.select("v"), approx=0.01).filter("v IS NULL").count()
+    assert filled == 0 and sketch_size(0.0133) == 200
+
+
+def test_one_hot_refuses_columns_of_many_levels(spark):
+    df = spark.range(500).selectExpr("id", "CAST(id AS STRING) AS many", "IF(id % 2 = 0, 'a', 'b') AS few")
+    with pytest.raises(ValueError, match="one_hot_vectors"):
+        W.one_hot(df, max_levels=100)
+    assert W.one_hot(df, ["few"], max_levels=100).columns == ["id", "many", "few_b"]
+
+
+def test_mentions_of_values_that_share_words(spark):
+    values = [("Product", f"the common item {i}", 2) for i in range(400)] + [
+        ("Category", "item", 0), ("Region", "north east", 1), ("Region", "east", 1), ("Product", "c++", 2), ("Product", "the", 2)]
+    texts = ["show the common item 37 please", "the north east, region", "category of an item", "north-east", "c++ sales", "nothing here",
+             "the common item 4x", None, "", "items", "THE COMMON ITEM 399", "north east item region"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, question string").repartition(3)
+    got = {r.id: (r.dim, r.value) for r in Q.mentions(frame, spark.createDataFrame(values, "dim string, value string, place int"), ["id"]).collect()}
+    assert len(got) == len(texts)
+
+    def brute(text):
+        text = (text or "").lower()
+        about = "Category" if "category" in text else "Region" if "region" in text else ""
+        fits = [(-1 if d == about else p, -len(v), v, d) for d, v, p in values
+                if re.search(r"(?<!\w)" + re.escape(v.lower()) + r"(?!\w)", text)]
+        return (min(fits)[3], min(fits)[2]) if fits else (None, None)
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_champions_are_replaced_by_key(spark, make_monthly, tmp_path):
+    rows = make_monthly({"a": [10 + i for i in range(12)], "b": [100 - i for i in range(12)]})
+    path = str(tmp_path / "champions")
+    H.save_champions(H.train_all(rows, ["k"], ["moving_average"]), path, "replace")
+    H.save_champions(H.train_all(rows.filter("k = 'b'"), ["k"], ["holts"]), path, "replace")
+    assert {r.k: r.model_key for r in H.load_champions(spark, path).collect()} == {"a": "moving_average", "b": "holts"}
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        H.save_champions(H.train_all(rows, ["k"], ["holts"]), path)
+    H.save_champions(H.train_all(rows, ["k"], ["linear_trend"]), path, "overwrite")
+    assert {r.model_key for r in H.load_champions(spark, path).collect()} == {"linear_trend"}
+
+
+def test_trees_predict_what_the_fitted_forest_does(spark, make_monthly):
+    rng = random.Random(6)
+    rows = make_monthly({k: [100 + 5 * i + rng.random() * 40 for i in range(30)] for k in "abc"})
+    table = W.model_features(monthly_totals(rows, ["k"]), ["k"])
+    model = M.forest(15, 5).fit(table)
+    trees = M.forest_trees(model, spark)
+    told = model.transform(table).toPandas()
+    np.testing.assert_allclose(trees.predict(told[M.FEATURES].to_numpy(float)), told["_prediction"], rtol=1e-12)
+    out = M.random_forest_forecast(rows, 14, ["k"], trees=15, depth=5)
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()  # no lineage is cut
+    one = {r.k: r.Forecast for r in out.filter("step = 1").collect()}
+    assert out.count() == 42 and set(one) == set("abc")
+    assert M.random_forest_forecast(make_monthly({"a": [1, 2, 3]}), 3, ["k"]).count() == 0
