@@ -96,8 +96,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op7_secret_scan")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    found = secret_scan.secret_scan(_table(spark, folder, "documents"),
-                                    learn_from=F.expr("crc32(cast(id AS string)) % 5 <> 0"))
+    found = secret_scan.secret_scan(_table(spark, folder, "documents"))
     return found.select("doc_id", "word", "nth", F.sha2("candidate", 256).alias("candidate_sha256"),
                         F.length("candidate").alias("length"), "score", "secret")
 
