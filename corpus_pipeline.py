@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from salesframe.llm import exact_dedup, mixing, packing, quality, simhash
 from salesframe.llm.queries import learning_labels
-from salesframe.session import settle
+from salesframe.session import drop_written, passing_scratch, write_table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        # a stage's own tables go when its result is written, and that one when the next is
+        with passing_scratch(spark) as kept:
+            docs, path = write_table(stage(spark, docs, sf_dir), name)
+            kept.add(path)
+        if last:
+            drop_written(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,10 +57,45 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/salesframe/{spark.sparkContext.applicationId}"
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, as Hadoop knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has settled; tables made from it can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_written(spark, _scratch_root(spark))
+
+
+def drop_written(spark: SparkSession, path: str) -> None:
+    """Delete one written table, whose readers are all done."""
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+def scratch_tables(spark: SparkSession) -> set[str]:
+    """The paths of all tables that this application has settled and not dropped."""
+    root, files = _files(spark, _scratch_root(spark))
+    return {s.getPath().toString() for s in files.listStatus(root)} if files.exists(root) else set()
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession):
+    """Drop at the end what was settled inside, but for the tables whose paths were added to the set given."""
+    before, kept = scratch_tables(spark), set()
+    yield kept
+    names = {p.rstrip("/").rsplit("/", 1)[-1] for p in kept}
+    for path in scratch_tables(spark) - before:
+        if path.rsplit("/", 1)[-1] not in names:
+            drop_written(spark, path)
+
+
+def write_table(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """``settle`` that also tells the path, for ``drop_written``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def settle(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -68,14 +104,4 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     For a table that several later passes need: they then read only their own
     columns, and lost executors cost no recomputation of what came before.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so that later steps restart from files."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return write_table(df, name)[0]

@@ -22,6 +22,7 @@ from salesframe.operators.ordered import over_rows, with_position
 from salesframe.operators.rollup import (
     business_facts, dimension_totals, main_driver, month_by_dimension, monthly_totals, recent_days,
 )
+from salesframe.session import drop_written, passing_scratch, scratch_tables, settle, write_table
 from salesframe.sources import champions as H
 
 
@@ -355,3 +356,16 @@ def test_trees_predict_what_the_fitted_forest_does(spark, make_monthly):
     one = {r.k: r.Forecast for r in out.filter("step = 1").collect()}
     assert out.count() == 42 and set(one) == set("abc")
     assert M.random_forest_forecast(make_monthly({"a": [1, 2, 3]}), 3, ["k"]).count() == 0
+
+
+def test_scratch_of_a_scope_goes(spark):
+    outer = settle(spark.range(3).toDF("a"), "outer")
+    with passing_scratch(spark) as kept:
+        inner = settle(spark.range(5).toDF("a"), "inner")
+        result, path = write_table(inner.join(outer, "a"), "result")
+        kept.add(path)
+    assert result.count() == 3 and outer.count() == 3
+    left = scratch_tables(spark)
+    assert any("result-" in p for p in left) and not any("inner-" in p for p in left)
+    drop_written(spark, path)
+    assert not any("result-" in p for p in scratch_tables(spark))
