@@ -311,6 +311,33 @@ def test_kernel_is_the_blended_spectrum():
     assert langid.presence("12 ?") is None and langid.presence(None) is None
 
 
+def test_predictions_solve_the_ridge_regression():
+    """Scores against the normal equations of one-versus-rest ridge regression over landmarks, with plain sets of n-grams."""
+    rng = random.Random(16)
+    letters = {"aa": "abcdef", "bb": "defghi", "cc": "ghijka"}
+    make = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(1, 12)))
+    langs = [rng.choice(["aa", "bb", "bb", "cc"]) for _ in range(120)]
+    texts = [make(k) for k in langs]
+    model = langid.train(np.stack([langid.presence(t) for t in texts]), langs, landmarks=40)
+    grams = lambda t: {f" {t} "[i:i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    near = lambda a, b: len(grams(a) & grams(b)) / (len(grams(a)) * len(grams(b))) ** 0.5
+    points = texts[:40]
+    inside = np.array([[near(a, b) for b in points] for a in points])
+    across = np.array([[near(a, b) for b in points] for a in texts])
+    names = sorted(set(langs))
+    y = np.array([[1.0 if k == n else -1.0 for n in names] for k in langs])
+    w = np.array([1 / langs.count(k) for k in langs])
+    w /= np.mean([1 / langs.count(k) for k in langs])
+    solved = np.linalg.lstsq(across.T @ (across * w[:, None]) + langid.RIDGE * len(texts) * inside, across.T @ (y * w[:, None]), rcond=1e-9)[0]
+    fresh = [make(k) for k in names for _ in range(30)]
+    told, scores = model.predict(fresh)
+    values = np.array([[near(a, b) for b in points] for a in fresh]) @ solved
+    best = np.sort(values, axis=1)
+    clear = best[:, -1] - best[:, -2] > 0.05
+    assert clear.sum() > 60 and all(names[v.argmax()] == t for v, t, c in zip(values, told, clear) if c)
+    np.testing.assert_allclose(scores[clear], np.clip((1 + best[clear, -1]) / 2, 0, 1), atol=0.05)  # n-grams share buckets now and then
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(20, 200))) + "."
