@@ -21,7 +21,7 @@ import functools
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,26 +78,28 @@ def token_pieces(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     kind = docs.schema[id_column].dataType
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, rows, held = encoder(path), [], 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
         for batch in batches:
-            for key, body in zip(batch["id"], batch["body"]):
-                ids = array("I", encode(body))
+            keys, rows, held = batch.column("id"), [], 0
+            for at, body in enumerate(batch.column("body")):  # one text at a time leaves the batch
+                ids = array("I", encode(body.as_py()))
                 ids.append(end_id)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start:start + capacity]
-                    rows.append((None if key is None or key != key else key, start, len(piece), piece.tobytes(), len(ids)))
+                    rows.append((at, start, len(piece), piece.tobytes(), len(ids)))
                 held += len(ids)
-                if held >= _FLUSH:
-                    yield pd.DataFrame(rows, columns=names)
+                if held >= _FLUSH or at == batch.num_rows - 1:
+                    at_row, starts, lengths, raw, sizes = zip(*rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(at_row)), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
+                         pa.array(raw, pa.binary()), pa.array(sizes, pa.int64())], names=names)
                     rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
 
     names = [id_column, "start", "length", "ids", "doc_tokens"]
     schema = T.StructType([
         T.StructField(n, k) for n, k in zip(names, (kind, T.LongType(), T.LongType(), T.BinaryType(), T.LongType()))])
-    return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInPandas(
+    return docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).mapInArrow(
         cut, schema)
 
 
