@@ -1,8 +1,9 @@
 """Exact duplicates by a tree-merge of sorted digest runs.
 
-Every input partition yields one run of digests. Runs are then merged in binomial
-rounds: in each round ``fan_in`` (a power of two) neighbouring runs are exchanged by
-(merged run, digest) and merged, and of equal digests only the best identifier and the
+Every input partition yields one run of digests, which is reduced (one row per digest, with its best
+identifier and the number of rows), sorted by digest and written. Runs are then merged in binomial
+rounds: in each round every two neighbouring runs (``fan_in``, a power of two) are exchanged by
+(merged run, digest), merged in sorted order, and of equal digests only the best identifier and the
 number of rows survive. A digest that a third of all rows share so reaches any one task
 at most ``fan_in`` times. All steps are DataFrame functions.
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .common import KEY, SPACE, only_rows, row_key, text_or_empty
 
-#: Runs merged in one round; 16 is four binomial rounds at once.
-FAN_IN = 16
+#: Runs merged in one round.
+FAN_IN = 2
 
 _SAME = ["sha", "size", "check"]
 
@@ -42,17 +43,23 @@ def digest_runs(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
         F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")), "runs")
 
 
+def sorted_runs(runs: DataFrame) -> DataFrame:
+    """Each run reduced to one row per digest and sorted by digest, written once."""
+    best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row", *KEY)
+    reduced = runs.groupBy("run", *_SAME).agg(F.min(best).alias("best"), F.count("*").alias("n"))
+    return settle(reduced.sortWithinPartitions("run", *_SAME), "reduced")
+
+
 def merge_runs(runs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """The best row and the number of rows of each digest, merged over all runs."""
     last = runs.agg(F.max("run")).first()[0] or 0
-    best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "row", *KEY)
-    merged = runs.select("run", *_SAME, best.alias("best"), F.lit(1).cast("long").alias("n"))
-    while True:
+    merged = sorted_runs(runs)
+    while last:
+        # the exchange and the sort by digest that the aggregate runs on are the merge of neighbouring runs
         merged = (merged.withColumn("run", F.expr(f"run div {fan_in}")).groupBy("run", *_SAME)
                   .agg(F.min("best").alias("best"), F.sum("n").alias("n")))
         last //= fan_in
-        if not last:
-            return merged
+    return merged
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", fan_in: int = FAN_IN) -> DataFrame:
