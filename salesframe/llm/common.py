@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import drop_written, write_table
 
 #: What separates words: space and the ASCII controls from tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -57,21 +57,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star steps until the edge set stays the same. Minima are
     pre-aggregated and joined back, so a node with very many edges is a skewed join
     (split by adaptive execution), never one group. Each round is written to the shared
-    folder and read back, so a lost executor costs at most one round.
+    folder and read back, so a lost executor costs at most one round; what it came from is then dropped.
     """
+    spark = edges.sparkSession
     flat = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    current = settle(flat, "edges")
+    current, path = write_table(flat, "edges")
     seen = _signature(current)
     while seen[0]:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        large = settle(large, "edges")
+        large, step = write_table(large, "edges")
+        drop_written(spark, path)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        current = settle(
+        current, path = write_table(
             small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
             .union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop_written(spark, step)
         now = _signature(current)
         if now == seen:
             break
