@@ -39,7 +39,7 @@ def with_position(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     # copies have the same hash; their number of arrival parts even these
     dealt = df.withColumns({"_tie": _tie(df), "_copy": F.monotonically_increasing_id()}).repartitionByRange(
         spread, *by, "_tie", "_copy")
-    rows = settle(dealt.drop("_copy").withColumn("_part", F.spark_partition_id()), "ordered")
+    rows = settle(dealt.drop("_tie", "_copy").withColumn("_part", F.spark_partition_id()), "ordered")
     counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = counts.select(
@@ -49,7 +49,7 @@ def with_position(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = F.row_number().over(
-        Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_last() for c in order], "_tie"))
+        Window.partitionBy(*keys, "_part").orderBy(*[F.col(c).asc_nulls_last() for c in order], _tie(df)))
     return rows.withColumn("_in", inside).join(start, same).select(
         *df.columns, (F.col("_before") + F.col("_in")).alias(name))
 

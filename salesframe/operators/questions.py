@@ -199,11 +199,12 @@ def _mentions(rows: DataFrame, shown: Sequence[str], values: DataFrame, ids: Seq
     cut = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_PIECES), F.lit(0))
     pieces = rows.select(*ids, F.explode(F.array_distinct(cut(text_col))).alias("_piece"))
     found = pieces.join(settle(_indexed(values), "values"), "_piece").drop("_piece")
-    with_found = rows.select(*ids, F.col(text_col).alias("_q")).join(found.select(*ids).distinct(), list(ids), "left_semi")
+    # texts are taken apart only where something was found
+    named = rows.select(*ids, F.col(text_col).alias("_q")).join(found, list(ids))
     pieces_of = f"regexp_extract_all(lower(_q), r'{_PIECES}', 0)"
-    texts = staged(with_found, {"_text": _marked(pieces_of), "_about": (
+    named = staged(named, {"_text": _marked(pieces_of), "_about": (
         "CASE WHEN contains(lower(_q), 'category') THEN 'Category' WHEN contains(lower(_q), 'region') THEN 'Region' END")})
-    named = texts.drop("_q").join(found, list(ids)).where("contains(_text, _run)")
+    named = named.drop("_q").where("contains(_text, _run)")
     first = F.coalesce(F.col("dim") == F.col("_about"), F.lit(False))
     best = F.min(F.struct(F.when(first, -1).otherwise(F.col("place")).alias("o"), (-F.length("value")).alias("l"),
                           F.col("value").alias("v"), F.col("dim").alias("d")))
