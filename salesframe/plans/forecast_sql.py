@@ -73,7 +73,11 @@ fc AS (SELECT *, f + 1.96::DOUBLE * s AS u, greatest(f - 1.96::DOUBLE * s, 0) AS
 
 
 def all_models_sql(keys: Sequence[str], outer_sql: str) -> str:
-    """``af``: forecasts of all models at the (series, o, h) rows of ``outer_sql`` (a full SELECT)."""
+    """``af``: forecasts of all models at the (series, o, h) rows of ``outer_sql`` (a full SELECT).
+
+    Errors of members that forecast the same (a short seasonal trend is the linear one) are equal but for the order of
+    their sum, so the three best are picked by rounded errors.
+    """
     ids = ", ".join([*keys, "o", "h"])
     on = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in keys)
     return f"""WITH RECURSIVE {idx_sql(keys)},
@@ -87,7 +91,7 @@ sc AS (SELECT {cols(keys, 'n.')}n.oo AS o, n.oh AS h, fc.model_key,
   FROM inner_o n JOIN fc ON {on('n', 'fc')} AND n.o = fc.o AND n.h = fc.h
   JOIN idx ON {on('n', 'idx')} AND idx.i = n.o + fc.step - 1
   WHERE fc.model_key <> 'seasonal_naive' AND (fc.model_key <> 'seasonal_trend' OR n.oo >= 12) GROUP BY ALL),
-tp AS (SELECT *, 1 / (mape + 1) AS w FROM sc QUALIFY row_number() OVER (PARTITION BY {ids} ORDER BY mape,
+tp AS (SELECT *, 1 / (mape + 1) AS w FROM sc QUALIFY row_number() OVER (PARTITION BY {ids} ORDER BY round(mape, 9),
   list_position(['holts', 'linear_trend', 'exp_smoothing', 'moving_average', 'seasonal_trend'], model_key)) <= 3),
 bl AS (SELECT {ids}, step, sum(f * w) / sum(w) AS f, sum(u * w) / sum(w) AS u, sum(l * w) / sum(w) AS l
   FROM tp JOIN fc {_using(keys, 'o', 'h', 'model_key')} GROUP BY {ids}, step),
