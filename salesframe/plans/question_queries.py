@@ -176,9 +176,17 @@ UNION ALL SELECT 'model_info', model_key, 'MAPE', MAPE FROM rk
 UNION ALL SELECT 'data_info', unnest(['o_orderkey', 'Date', 'Sales', 'Category', 'Region', 'Nation']), 'missing', 0)"""
 
 
-@query("answer_facts", FACT_SQL + " SELECT route, subject, metric, round(value, 4) AS value FROM fx")
+# Monthly averages of cents, raised by a fifth, can lie exactly between two 4-digit values.
+_ROUNDED = "CASE WHEN metric LIKE '%month_avg' THEN round(value, 5) ELSE round(value, 4) END"
+
+
+def _digits(df):
+    return df.withColumn("value", F.when(F.col("metric").endswith("month_avg"), F.round("value", 5)).otherwise(F.round("value", 4)))
+
+
+@query("answer_facts", FACT_SQL + f" SELECT route, subject, metric, {_ROUNDED} AS value FROM fx")
 def answer_facts(spark, d):
-    return rounded(A.answer_facts(V.sales(spark, d)), 4)
+    return _digits(A.answer_facts(V.sales(spark, d)))
 
 
 _SCOPE = ["scope_dim", "scope_value"]
@@ -188,7 +196,7 @@ sales AS (SELECT '' AS scope_dim, '' AS scope_value, "Date", Sales FROM plain
   UNION ALL SELECT 'Nation', Nation, "Date", Sales FROM plain)"""
 _PATHS = all_models_sql(_SCOPE, champion_outer(_SCOPE) + """ UNION ALL SELECT scope_dim, scope_value, n AS o, horizon AS h
   FROM size, (SELECT DISTINCT horizon FROM asked WHERE starts_with(route, 'forecast'))""").replace(SALES_SQL, _SCOPED_SALES) + "," + metrics_sql(_SCOPE)
-_FOUND = "route, scope_dim, scope_value, horizon, questions, subject, coalesce(metric, 'no_result') AS metric, round(value, 4) AS value"
+_FOUND = "route, scope_dim, scope_value, horizon, questions, subject, coalesce(metric, 'no_result') AS metric, " + _ROUNDED + " AS value"
 
 
 @query("question_facts", f"""
@@ -213,7 +221,7 @@ def question_facts(spark, d):
     cube = roll_up(rows, (), SCOPES)
     asked = settle(A.asks(Q.route(V.questions(spark, d), cube.values(), IDS), IDS), "asked")
     paths = settle(A.scoped_forecasts(cube, asked, SCOPES), "paths")
-    return rounded(A.answers(asked, A.answer_facts(rows, cube=cube), paths), 4)
+    return _digits(A.answers(asked, A.answer_facts(rows, cube=cube), paths))
 
 
 @query("question_asks", f"""{ROUTE_SQL} SELECT conv_id, turn, route, coalesce(scope_dim, '') AS scope_dim,

@@ -15,7 +15,7 @@ CHECKED = ["monthly_totals", "dim_share", "dataset_summary", "clean_sales", "rol
            "insights_overall", "root_cause", "fc_champion", "eval_backtest", "scenario_summary", "question_routes",
            "schema_summary", "onehot_vectors", "fill_median_nan", "fc_grouped", "question_asks", "fc_fallback_customers",
            "fc_path_facts", "recommendations_rows", "fc_score_champion", "question_facts", "answer_facts", "cleaning_report",
-           "extra_checks", "upload_insights", "validation_checks", "clean_upload", "cleaning_steps", "dedup", "month_category",
+           "extra_checks", "upload_insights", "validation_checks", "clean_upload", "cleaning_steps", "month_category",
            "demo_panel_noise", "champion_replaced", "dimension_mention", "eval_holdout_forest_kept", "regression_normal"]
 if os.environ.get("SALESFRAME_ALL_TWINS"):
     CHECKED = [n for n in entry.oracle_sql() if n != "pipeline" and not n.startswith("op")]
