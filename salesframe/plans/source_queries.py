@@ -123,8 +123,13 @@ SELECT {_drawn(T.DEMO_CATEGORIES, 44)} AS "Category", {_drawn(T.DEMO_REGIONS, 45
   sum(CAST(floor(s / (45 + 40 * {_u(46)})) AS BIGINT)) AS "Orders", sum(CAST(floor(30 * {_u(47)}) AS BIGINT)) AS "Returns", count(*) AS n
 FROM v GROUP BY ALL""")
 def demo_panel_noise(spark, d):
-    """A noisy demo panel with segments, one series per supplier, as category totals."""
+    """A noisy demo panel with segments, one series per supplier, as category totals.
+
+    Sales are summed as whole cents: a total can lie exactly between two 1-digit values, and the error of a sum
+    of doubles, which depends on the order of rows, would then choose.
+    """
     panel = T.demo_panel(V.table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
     return rounded(panel.groupBy("Category", "Region").agg(
-        F.sum("Sales").alias("Sales"), F.sum("Orders").alias("Orders"), F.sum("Returns").alias("Returns"),
+        (F.sum(F.rint(F.col("Sales") * 100).cast("long")) / 100).alias("Sales"),
+        F.sum("Orders").alias("Orders"), F.sum("Returns").alias("Returns"),
         F.count(F.lit(1)).alias("n")), 1)

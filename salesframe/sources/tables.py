@@ -72,10 +72,17 @@ def _draw(shares: dict[str, float], keys: Sequence[str], salt: int):
 
 def demo_panel(series: DataFrame, keys: Sequence[str], start: str = "2022-01-01", end: str = "2024-12-31",
                noise: float = DEMO["noise"], segments: bool = True, seed: int = 42) -> DataFrame:
-    """A daily demo series for every row of ``series``: trend, yearly and weekly waves, noise."""
+    """A daily demo series for every row of ``series``: trend, yearly and weekly waves, noise.
+
+    Keys are few bytes, but each becomes a series of costly days. So they are dealt out to a fixed number of
+    tasks; after the shuffle of ``distinct`` adaptive execution would put them all into one. Dealing by the keys
+    would not help: Spark leaves it out as the same shuffle.
+    """
+    spark = series.sparkSession
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     day = F.explode(F.expr(f"sequence(DATE'{start}', DATE'{end}', interval 1 day)"))
     span = F.lit(1.0) * F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date"))
-    rows = series.select(*keys).distinct().select(*keys, day.alias("Date"))
+    rows = series.select(*keys).distinct().repartition(spread).select(*keys, day.alias("Date"))
     i = F.datediff("Date", F.lit(start).cast("date"))
     wave = lambda size, turn, period: size * F.sin(2 * F.pi() * turn / period)
     bell = F.sqrt(-2 * F.log(_uniform(keys, seed))) * F.cos(2 * F.pi() * _uniform(keys, seed + 1))

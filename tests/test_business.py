@@ -2,6 +2,7 @@
 
 import math
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from salesframe.operators import questions as Q
 from salesframe.operators import rollup as R
 from salesframe.operators import rules as U
 from salesframe.operators import scenario as S
+from salesframe.plans.source_queries import demo_panel_noise
 from salesframe.session import scratch_path
 from salesframe.sources import champions as H
 from salesframe.sources import tables as T
@@ -151,6 +153,27 @@ def test_demo_panel_is_the_same_each_time(spark):
     assert one.count() == 180 and one.filter("Sales < 0 OR Returns NOT BETWEEN 0 AND 29").count() == 0
 
 
+@pytest.mark.parametrize("segments", [True, False])
+def test_demo_panel_is_dealt_to_tasks(spark, segments):
+    """Keys of few bytes become many costly days: these must not meet in one task."""
+    series = spark.range(128).selectExpr("id % 64 AS s")
+    panel = T.demo_panel(series, ["s"], "2024-01-01", "2024-01-31", segments=segments)
+    sizes = [r["count"] for r in panel.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 64 * 31 and max(sizes) <= sum(sizes) / 4
+
+
+@pytest.mark.parametrize("count", [20, 80])
+def test_demo_panel_totals_are_exact(spark, tmp_path, count):
+    """Totals halfway between two 1-digit values go up, whatever the order in which tasks sum them."""
+    series = spark.range(count).withColumnRenamed("id", "s_suppkey")
+    series.write.parquet(f"{tmp_path}/supplier.parquet")
+    exact = T.demo_panel(series, ["s_suppkey"]).groupBy("Category", "Region").agg(
+        F.sum(F.col("Sales").cast("decimal(20,2)")).alias("total")).collect()
+    assert any(int(r.total * 100) % 10 == 5 for r in exact)
+    want = {(r.Category, r.Region): float(r.total.quantize(Decimal("0.1"), ROUND_HALF_UP)) for r in exact}
+    assert {(r.Category, r.Region): r.Sales for r in demo_panel_noise(spark, str(tmp_path)).collect()} == want
+
+
 def test_forest_forecast(make_monthly):
     rows = make_monthly({"a": [100, 112, 128, 145, 168, 190, 215, 238, 260, 284, 306, 330, 124, 140, 160, 182, 210, 238,
                                270, 300, 330, 362, 395, 430], "short": [1, 2, 3]})
